@@ -8,8 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, rules, simhash, token_files
-from millrace.llm.common import load, shared_folder
+from millrace.llm import ann, chat, classifier, html, mixing, packing, rules, simhash, token_files, warc
+from millrace.llm.common import load, shared_folder, staged
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(load(spark, sf_dir, "conversations"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,28 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages against a replica in which some records were changed, cut short or lost."""
+    pages = warc.records(load(spark, sf_dir, "pages"))
+    size = F.octet_length("record")
+    cut, changed = F.substring("record", 1, 20), F.concat(F.substring(F.col("record"), F.lit(1), size - 1), F.lit("X").cast("binary"))
+    other = F.when(F.col("page_id") % 119 == 3, cut).when(F.col("page_id") % 50 == 7, changed).otherwise(F.col("record"))
+    both = pages.select("page_id", size.cast("long").alias("bytes"), F.sha2("record", 256).alias("digest"), F.octet_length(other).cast("long").alias("bytes_b"), F.sha2(other, 256).alias("digest_b"))
+    rows = staged(warc.placed(both), "archives")
+    there = F.coalesce(F.col("page_id") % 83 != 11, F.lit(True))
+    replica = rows.where(there).select("archive", "offset", F.col("bytes_b").alias("bytes"), F.col("digest_b").alias("digest"))
+    found = warc.audit(rows, replica)
+    return found.join(rows.select("archive", "offset", "page_id"), ["archive", "offset"]).select("page_id", "bytes", "status", "good_digest", "other_digest")
+
+
+def op7_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(load(spark, sf_dir, "documents"))
 
@@ -35,6 +61,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(load(spark, sf_dir, "pages"))
+
+
 def _quality_sql() -> str:
     stop = ", ".join("'" + w + "'" for w in dict.fromkeys(rules.STOP_WORDS))
     flags = rules.verdicts()
@@ -62,12 +92,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rul
 FROM c"""
 
 
+_AUDIT_SQL = """
+WITH r AS (
+  SELECT page_id, 'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>\r\nWARC-Target-URI: ' || coalesce(url, '')
+         || '\r\nContent-Type: text/html\r\nContent-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || '\r\n\r\n' || coalesce(html, '') || '\r\n\r\n' AS rec FROM pages
+), b AS (
+  SELECT page_id, rec, CASE WHEN page_id % 83 = 11 THEN NULL WHEN page_id % 119 = 3 THEN substr(rec, 1, 20) WHEN page_id % 50 = 7 THEN substr(rec, 1, length(rec) - 1) || 'X' ELSE rec END AS other FROM r
+)
+SELECT page_id, CAST(strlen(rec) AS BIGINT) AS bytes, CASE WHEN other IS NULL THEN 'missing' ELSE 'corrupt' END AS status, sha256(rec) AS good_digest, sha256(other) AS other_digest
+FROM b WHERE other IS DISTINCT FROM rec""".replace("\r\n", "' || chr(13) || chr(10) || '")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_quality_rules": op2_quality_rules,
-    "op3_token_files": op3_token_files,
-    "op4_mixing": op4_mixing,
-    "op8_packing": op8_packing,
-    "op9_simhash": op9_simhash,
+    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_files, op4_mixing, op5_quality_classifier, op6_merkle_audit, op7_one_bit_search, op8_packing, op9_simhash, op10_html_text)
 }
 
-SQL: dict[str, str] = {"op2_quality_rules": _quality_sql()}
+SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_quality_rules": _quality_sql(), "op6_merkle_audit": _AUDIT_SQL}
