@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, packing, rules, simhash
+from millrace.llm import classifier, mixing, packing, rules, simhash
 from millrace.llm.common import load, staged
 
 
@@ -13,6 +13,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.keep_good(docs)
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, fitted on a sample of all labelled documents, scores as good."""
+    return classifier.keep_good(docs, classifier.train(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id."""
     return simhash.keep_one(docs)
@@ -28,7 +33,7 @@ def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_digests(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates), ("mixing to weights", mixing_weights), ("packing", windows)]
+STAGES = [("quality rules", quality_rules), ("quality classifier", quality_classifier), ("SimHash near-dedup", near_duplicates), ("mixing to weights", mixing_weights), ("packing", windows)]
 
 #: The classifier's scores and the tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
