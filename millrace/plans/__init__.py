@@ -1,4 +1,6 @@
-"""Named queries over the shared tables, each with SQL that gives the same rows."""
+"""Named queries over the shared tables, each with SQL that gives the same rows where SQL can say it."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from millrace.plans import monitoring  # noqa: F401
+from millrace.plans.views import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
