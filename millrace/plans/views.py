@@ -18,15 +18,15 @@ NUDGE = 3e-10
 
 
 def plain(sql: str) -> str:
-    """The SQL with nudged rounding, and with conditional counts as BIGINT."""
-    out, at = sql.replace("round(", f"round({NUDGE!r} + "), 0
-    while (at := out.find("count_if(", at)) >= 0:
-        end, depth = at + len("count_if("), 1
+    """The SQL with nudged rounding, and with conditional counts that are BIGINT and 0 over nothing."""
+    out = sql.replace("round(", f"round({NUDGE!r} + ")
+    while (at := out.find("count_if(")) >= 0:
+        begin = end = at + len("count_if(")
+        depth = 1
         while depth:
             depth += {"(": 1, ")": -1}.get(out[end], 0)
             end += 1
-        out = f"{out[:at]}CAST({out[at:end]} AS BIGINT){out[end:]}"
-        at += len("CAST(count_if(")
+        out = f"{out[:at]}count(*) FILTER (WHERE {out[begin : end - 1]}){out[end:]}"
     return out
 
 
