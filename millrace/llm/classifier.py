@@ -5,8 +5,8 @@ each chunk of 256 bytes, and chunks overlap by half. Mean, maximum and minimum o
 go through one logistic unit. Since a filter's weights depend on byte and place alone, the network is
 a sum of table look-ups; two places share a table when it scores, which saves half of them.
 
-Fitted on a bounded sample: at most `per_class` labelled texts of each class, those whose ids have the
-smallest hashes, of at most `max_bytes` each; rows with crc32(doc_id as text) mod 3 = 1 are never used.
+Fitted on a bounded sample: of each class the `per_class` labelled ids with the smallest hashes, as far as
+they have texts of at most `max_bytes`; rows with crc32(doc_id as text) mod 3 = 1 are never used.
 Inputs of a score are the bytes of the text and nothing else.
 
 Null and empty texts get the score of no bytes. Labels null or without a text are left out, doc_ids
@@ -143,11 +143,13 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 800, max_bytes: int = 1 << 16) -> Net:
     """Fit on at most per_class labelled texts of each class."""
-    usable = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    found = texts.join(usable, "doc_id")
-    sample = [r for q in (0, 1) for r in found.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_class).collect()]
-    return fit([r["text"].encode() for r in sample], np.array([r["quality"] for r in sample], np.float64))
+    usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # ids are chosen from the labels alone; texts are then looked up in one scan, by at most 2 * per_class ids
+    chosen = [r for q in (0, 1) for r in usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
+    wanted = docs.sparkSession.createDataFrame(chosen, usable.schema).withColumnRenamed("doc_id", "wanted__")
+    found = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted__"))
+    sample = sorted((r["quality"], r["doc_id"], r["text"]) for r in found.select("quality", "doc_id", "text").collect())
+    return fit([t.encode() for _, _, t in sample], np.array([q for q, _, _ in sample], np.float64))
 
 
 def scored(docs: DataFrame, net: Net, *carry: str) -> DataFrame:
