@@ -105,10 +105,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 11) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs."""
     # rows alike in id, text and source share their copies: so many each, and one more for the first of them
-    shared = mix(docs, weights, cap, seed).groupBy(F.col("salt").alias("salt__"), F.col("source").alias("of__")).agg(F.sum("copies").alias("sum__"), F.count("*").alias("rows__")).where("sum__ > 0")
-    joined = docs.join(shared, (F.xxhash64("doc_id", "text") == F.col("salt__")) & F.col("source").eqNullSafe(F.col("of__")))
+    shared = staged(mix(docs, weights, cap, seed).groupBy(F.col("salt").alias("salt__"), F.col("source").alias("of__")).agg(F.sum("copies").alias("sum__"), F.count("*").alias("rows__")).where("sum__ > 0"), "copies")
+    # the text is dealt by that key at every size, so that what a run needs grows in proportion
+    joined = docs.join(shared.hint("shuffle_hash"), (F.xxhash64("doc_id", "text") == F.col("salt__")) & F.col("source").eqNullSafe(F.col("of__")))
     names = docs.columns
     one = joined.where("rows__ = 1").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("sum__"))).alias("copy__"))
+    if shared.where("rows__ > 1").isEmpty():
+        return one.drop("copy__")
     order = Window.partitionBy("salt__", "of__").orderBy("salt__")
     many = joined.where("rows__ > 1").withColumn("k__", F.row_number().over(order))
     share = F.floor(F.col("sum__") / F.col("rows__")) + (F.col("k__") <= F.col("sum__") % F.col("rows__")).cast("long")

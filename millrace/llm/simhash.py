@@ -52,17 +52,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long), a row for each row of docs."""
+    """doc_id, salt (a hash of id and text) and fp (the fingerprint's bits as a long), a row for each row of docs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "salt", "fp"])
 
-    of = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return of.mapInArrow(run, f"doc_id {of.schema['doc_id'].dataType.simpleString()}, fp long")
+    of = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("salt"), F.col("text").cast("string").alias("text"))
+    return of.mapInArrow(run, f"doc_id {of.schema['doc_id'].dataType.simpleString()}, salt long, fp long")
 
 
 def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -150,19 +150,29 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links lead to), a row for each row of docs."""
+def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, salt, fp, root (of the component, a fingerprint) and component_id, a row for each row of docs."""
     rows = staged(fingerprints(docs, shingle), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     linked = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id that links lead to), a row for each row of docs."""
+    return grouped(docs, radius, shingle).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The row of docs with the smallest doc_id of each component, with the columns of docs."""
-    groups = near_duplicates(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = staged(groups.groupBy(F.col("doc_id").alias("chosen__")).agg(F.count("*").alias("rows__")), "chosen")
-    of = lambda cond: docs.join(chosen.where(cond).select("chosen__"), F.col("doc_id").eqNullSafe(F.col("chosen__")), "left_semi")
-    return of("rows__ = 1").unionByName(of("rows__ > 1").dropDuplicates(["doc_id"]))
+    """The row of docs with the smallest doc_id of each component (of several texts with that id, one), with the columns of docs."""
+    first = grouped(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_text = first.groupBy("root", "salt").agg(F.count("*").alias("n__"))
+    chosen = staged(by_text.groupBy("root").agg(F.min(F.struct("salt", "n__")).alias("s")).select(F.col("s.salt").alias("salt__"), F.col("s.n__").alias("rows__")), "chosen")
+    names = docs.columns
+    # the text is dealt by that key at every size, so that what a run needs grows in proportion
+    of = lambda cond: docs.withColumn("key__", F.xxhash64("doc_id", "text")).join(chosen.where(cond).select("salt__").hint("shuffle_hash"), F.col("key__") == F.col("salt__"), "left_semi")
+    if chosen.where("rows__ > 1").isEmpty():
+        return of("rows__ = 1").select(*names)
+    return of("rows__ = 1").unionByName(of("rows__ > 1").dropDuplicates(["key__"])).select(*names)
