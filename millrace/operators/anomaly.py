@@ -254,6 +254,9 @@ def reconstruction_error(df: DataFrame, cols: list[str], components: int = 2, pc
     """error of each row rebuilt from its principal components, flagged above the percentile, with severity and the three worst features."""
     clean = df.dropna(subset=cols)
     row = clean.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if row["m0"] is None:  # no complete row: no components, and no errors to report
+        none = F.lit(None)
+        return clean.where("false").select(*df.columns, none.cast("double").alias("error"), none.cast("boolean").alias("is_anomaly"), none.cast("string").alias("severity"), none.cast("array<string>").alias("top_features"))
     z = clean.withColumns({f"z{i}__": (F.col(c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0) for i, c in enumerate(cols)})
     packed = VectorAssembler(inputCols=[f"z{i}__" for i in range(len(cols))], outputCol="v__").transform(z)
     model = PCA(k=components, inputCol="v__", outputCol="p__").fit(packed)

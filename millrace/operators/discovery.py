@@ -179,7 +179,7 @@ def granger(df: DataFrame, cols: list[str], max_lag: int = 10, alpha: float = 0.
 
 
 def cross_correlation(df: DataFrame, cols: list[str], max_lag: int = 100, least: int = 2, threshold: float = 0.5, time: str = "time", direction: str = "lead") -> DataFrame:
-    """source, target, lag, r: the shift with the largest abs(normalized cross-correlation); the leader is source ("lead"), or labels as commonly inverted ("reference")."""
+    """source, target, lag, r: the shift with the largest abs(normalized cross-correlation); the leader is source ("lead"), or the follower ("follow")."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t__")

@@ -513,7 +513,8 @@ def capability_indices(spark, d):
     return _ppm(capability.capability_indices(v.sensors(spark, d), ["equipment_id", "param_id"]))
 
 
-@query(f"""WITH {_SUB}, b AS (SELECT equipment_id AS be, param_id AS bp, avg(range_value) / 2.326 AS bsw FROM ss WHERE n = 5 GROUP BY 1, 2), mr AS (SELECT m.*, bsw FROM m JOIN b ON be = equipment_id AND bp = param_id), {_capability_sql("any_value(bsw)")} {_INDICES}""")
+@query(f"""WITH {_SUB}, b AS (SELECT equipment_id AS be, param_id AS bp, count(*) AS nb, avg(range_value) / 2.326 AS bsw FROM ss WHERE n = 5 GROUP BY 1, 2), mr AS (SELECT m.*, nb, bsw FROM m LEFT JOIN b ON be = equipment_id AND bp = param_id),
+{_capability_sql("CASE WHEN any_value(nb) >= 2 THEN any_value(bsw) ELSE stddev_samp(value) END")} {_INDICES}""")
 def capability_indices_subgroups(spark, d):
     return _ppm(capability.capability_indices(v.sensors(spark, d), ["equipment_id", "param_id"], 5))
 
