@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import classifier, mixing, packing, rules, simhash
+from millrace.llm import classifier, mixing, packing, rules, similar
 from millrace.llm.common import load, staged
 
 
@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (5-word shingles, Jaccard similarity of 0.8 or more), the document with the smallest doc_id."""
+    return similar.keep_one(docs)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

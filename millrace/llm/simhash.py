@@ -167,7 +167,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """The row of docs with the smallest doc_id of each component (of several texts with that id, one), with the columns of docs."""
-    first = grouped(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return one_of_each(docs, grouped(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def one_of_each(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """One row of docs for each root of first (root, salt), that with the smallest salt."""
     by_text = first.groupBy("root", "salt").agg(F.count("*").alias("n__"))
     chosen = staged(by_text.groupBy("root").agg(F.min(F.struct("salt", "n__")).alias("s")).select(F.col("s.salt").alias("salt__"), F.col("s.n__").alias("rows__")), "chosen")
     names = docs.columns

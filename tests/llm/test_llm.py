@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import ann, chat, classifier, html, mixing, packing, rules, simhash, token_files, warc
+from millrace.llm import ann, chat, classifier, html, mixing, packing, rules, simhash, similar, token_files, warc
 from millrace.llm.common import load
 from millrace.llm.queries import QUERIES, SQL
 from millrace.llm.tokens import BYTE_BPE, WORD_BPE, Encoder
@@ -335,6 +335,29 @@ def test_near_duplicates(spark, data, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+def test_similar_texts_are_joined(spark, data, odd, block):
+    words = [f"w{i}" for i in range(400)]
+    edited = [(10_000 + i, " ".join(w if k not in range(i, 400, 57) else f"x{k}" for k, w in enumerate(words[: 300 + 5 * i])), "s1") for i in range(20)]
+    docs = load(spark, data, "documents").select("doc_id", "text", "source")
+    for df in (docs.unionByName(spark.createDataFrame(edited, docs.schema)), odd):
+        rows = similar.grouped(df, block=block).collect()
+        pairs = sorted(texts_of(df), key=repr)
+        sets = []
+        for _, t in pairs:
+            ws = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(t or "")]
+            sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set())
+        lab = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                b = sets[j]
+                if lab[i] != lab[j] and (a == b or len(a & b) / len(a | b) >= 0.8):
+                    lab = [lab[j] if x == lab[i] else x for x in lab]
+        first = {k: min((d for (d, _), x in zip(pairs, lab, strict=True) if x == k and d is not None), default=None) for k in set(lab)}
+        assert sorted((repr(d), repr(first[k])) for (d, _), k in zip(pairs, lab, strict=True)) == sorted((repr(r["doc_id"]), repr(r["component_id"])) for r in rows)
+        assert corpus_pipeline.near_duplicates(spark, df, data).count() == len(first)
+
+
 def test_main_text(spark, data):
     import html as entities
 
