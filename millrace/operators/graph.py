@@ -112,17 +112,20 @@ def trace_lot_forward(edges: DataFrame, lot: str, depth: int = 3) -> DataFrame:
     return traverse(edges, edges.sparkSession.range(1).select(F.lit(lot).alias("node")), depth, "forward")
 
 
-def closure(pairs: DataFrame, most: int = 64) -> DataFrame:
-    """a, b, length: all pairs joined by one edge or more, with the fewest edges (at most `most`); frontier pairs only are extended."""
-    steps = cut(pairs.select("a", "b").distinct())
-    seen = cut(steps.withColumn("length", F.lit(1)))
-    frontier = seen
-    for n in range(2, most + 1):
-        new = cut(frontier.select("a", F.col("b").alias("mid")).join(steps.select(F.col("a").alias("mid"), "b"), "mid").select("a", "b").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("length", F.lit(n)))
+def closure(pairs: DataFrame) -> DataFrame:
+    """a, b, length: all pairs joined by one edge or more, with the fewest edges, however many.
+
+    A pair of more than `far` edges starts with one of exactly `far`, so each round extends only those by all
+    pairs found so far and doubles `far`: rounds grow with the logarithm of the longest length.
+    """
+    seen, far = cut(pairs.select("a", "b").distinct().withColumn("length", F.lit(1))), 1
+    while True:
+        ends = seen.where(F.col("length") == far).select("a", F.col("b").alias("mid"))
+        on = seen.select(F.col("a").alias("mid"), "b", (F.col("length") + far).alias("length"))
+        new = cut(ends.join(on, "mid").groupBy("a", "b").agg(F.min("length").alias("length")).join(seen.select("a", "b"), ["a", "b"], "left_anti"))
         if new.isEmpty():
-            break
-        seen, frontier = seen.unionByName(new), new
-    return seen
+            return seen
+        seen, far = cut(seen.unionByName(new)), 2 * far
 
 
 def process_route(edges: DataFrame) -> DataFrame:

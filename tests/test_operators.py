@@ -157,6 +157,18 @@ def test_graph(spark):
     assert kinds == {"cycle"}
 
 
+def test_route_longer_than_64_steps(spark):
+    edge = "src_label string, src_id string, type string, dst_label string, dst_id string"
+    chain = spark.createDataFrame([("N", str(i), "NEXT_STEP", "N", str(i + 1)) for i in range(70)], edge)
+    got = {(int(r[0]), int(r[1])) for r in graph.process_route(chain).collect()}
+    assert got == {(a, b) for a in range(71) for b in range(a + 1, 71)}
+    lengths = graph.closure(chain.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))).collect()
+    assert all(r["length"] == int(r["b"]) - int(r["a"]) for r in lengths)
+    cycle = spark.createDataFrame([("N", str(i), "NEXT_STEP", "N", str((i + 1) % 70)) for i in range(70)], edge)
+    found = graph.check_link_constraints(spark.createDataFrame([("N", str(i)) for i in range(70)], "label string, id string"), cycle).collect()
+    assert {(r["kind"], r["key"]) for r in found} == {("cycle", str(i)) for i in range(70)} and len(found) == 70
+
+
 def test_chunks():
     assert documents.chunks("") == []
     text = "One. " * 300
