@@ -97,13 +97,17 @@ def _path_length(n: np.ndarray) -> np.ndarray:
 
 
 def grow_forest(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7) -> np.ndarray:
-    """Isolation trees as one array (tree, node, 4): feature (-1: leaf), cut, and depth plus expected rest for leaves; children of i are 2i+1 and 2i+2."""
+    """Isolation trees as one array (tree, node, 4): feature (-1: leaf), cut, and depth plus expected rest for leaves; children of i are 2i+1 and 2i+2.
+
+    Each tree draws its own rows; where there are enough, no two trees share one.
+    """
     rng = np.random.default_rng(seed)
     size = min(sample, len(x))
+    dealt = rng.permutation(len(x))[: trees * size].reshape(trees, size) if len(x) >= trees * size else None
     depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
     out = np.full((trees, (2 << depth) - 1, 3), -1.0)
     for t in range(trees):
-        todo = [(0, rng.choice(len(x), size, replace=False), 0)]
+        todo = [(0, rng.choice(len(x), size, replace=False) if dealt is None else dealt[t], 0)]
         while todo:
             node, rows, d = todo.pop()
             span = np.ptp(x[rows], axis=0) if len(rows) else np.zeros(x.shape[1])
@@ -157,7 +161,8 @@ def scored_by_model(rows: DataFrame, models: DataFrame, key: str, out: str, scor
 def isolation_forest(df: DataFrame, cols: list[str], key: str, contamination: float = 0.05, least: int = 1000, trees: int = 100, sample: int = 256) -> DataFrame:
     """decision (negative: unusual), is_anomaly and severity for all rows of keys with at least `least` rows.
 
-    A key's forest grows from its sampled rows and meets the key's rows in bounded runs. The cut is the
+    A key's trees grow from `sample` rows each, drawn from all rows of the key (for keys above trees * sample
+    rows, from that many smallest hashes, cut into disjoint samples), and meet the key's rows in bounded runs. The cut is the
     key's contamination quantile.
     """
     enough = df.groupBy(key).agg(F.count("*").alias("n__")).where(F.col("n__") >= least).select(key)
@@ -168,7 +173,7 @@ def isolation_forest(df: DataFrame, cols: list[str], key: str, contamination: fl
         return pd.DataFrame({key: [pdf[key].iloc[0]], "size__": [min(sample, len(x))], "forest__": [grow_forest(x, trees, sample).astype(np.float32).tobytes()]})
 
     kind = df.schema[key].dataType.simpleString()
-    forests = sampled(usable.select(key, TIE, *cols), [key], sample).groupBy(key).applyInPandas(grow, f"{key} {kind}, size__ int, forest__ binary")
+    forests = sampled(usable.select(key, TIE, *cols), [key], trees * sample).groupBy(key).applyInPandas(grow, f"{key} {kind}, size__ int, forest__ binary")
 
     def decide(rows: pd.DataFrame, model: pd.Series) -> np.ndarray:
         return 0.5 - forest_score(np.frombuffer(model["forest__"], np.float32).reshape(trees, -1, 3), rows[cols].to_numpy(float), int(model["size__"]))

@@ -134,6 +134,21 @@ def test_lof_finds_the_outlier():
     assert anomaly.forest_score(f, x, 101).argmax() == 100
 
 
+def test_trees_draw_from_more_than_one_sample(spark, monkeypatch):
+    kept, sampled = [], anomaly.sampled
+
+    def watched(*args):
+        out = sampled(*args)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(anomaly, "sampled", watched)
+    anomaly.isolation_forest(series(spark, range(2000)), ["value"], "param_id", least=100, trees=20, sample=8)
+    assert kept == [160]
+    x = np.arange(2000.0)[:, None]
+    assert len(np.unique(anomaly.grow_forest(x, 20, 8)[:, 0, 1])) == 20
+
+
 def test_interpolation(spark):
     got = [r[0] for r in features.fill_missing(series(spark, [None, 1, None, None, 4, None]), ["value"], ["equipment_id"]).orderBy("measurement_id").select("value").collect()]
     assert got == [1, 1, 2, 3, 4, 4]
