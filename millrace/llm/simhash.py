@@ -8,7 +8,8 @@ is lost, and no probability is involved.
 Work is done once for each distinct fingerprint, so groups of copies of any size cost one row. Of a
 bucket, only a spanning forest of its links leaves a task. A bucket above `big` fingerprints is split
 again by covering masks over the bits that its table left free; after that at most about 2^17
-fingerprints can share a bucket, whatever the data.
+fingerprints can share a bucket, whatever the data. Tables with one row for each component or node are
+written before they are joined back, so that Spark can split a component that holds most rows.
 
 Null text: no words, fingerprint zero. Repeated rows: each gets the same component. Null doc_id: the
 row takes part; a component's id is null only if none of its rows has an id. Other columns are ignored.
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import signed, small_batches, staged
+from millrace.llm.common import discard, signed, small_batches, staged
 
 RADIUS = 4
 SHINGLE = 4
@@ -41,14 +42,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, n)
-    a, b = begins[: n - k + 1].tolist(), ends[k - 1 :].tolist()
-    counts, total = np.zeros(64, np.int64), len(a)
-    for at in range(0, total, 25_500):
-        h = np.fromiter((xxh64_intdigest(joined[x:y], SEED) for x, y in zip(a[at : at + 25_500], b[at : at + 25_500], strict=True)), np.uint64, min(25_500, total - at))
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    spans = zip(begins[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
+    return majority(np.fromiter((xxh64_intdigest(joined[x:y], SEED) for x, y in spans), np.uint64, n - k + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 25_500):
+        bits = np.unpackbits(hashes[at : at + 25_500].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
         counts += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -122,8 +127,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, big: int = 2048) -> DataFra
     """Pairs (a, b) of fingerprints whose connected components are those of all pairs within the radius. distinct: one column fp, each once."""
     masks = covering_masks(list(range(64)), radius)
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged(keyed.join(sizes, ["t", "key"]).select("t", "key", "fp", "n"), "buckets")
+    # one shuffle of all tables' rows: what shares no bucket ends here
+    shared = staged(keyed.withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).where("n > 1").select("t", "key", "fp", "n"), "buckets")
     small = _bucket_links(shared.where(F.col("n") <= big).select("t", "key", "fp"), radius)
 
     free = [[b for b in range(64) if not m >> b & 1] for m in masks]
@@ -139,11 +144,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        pairs = staged(small.where("u <> v").distinct(), "links")
+        before, pairs = pairs, staged(small.where("u <> v").distinct(), "links")
+        discard(before, low)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return pairs.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
@@ -156,7 +162,7 @@ def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     linked = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    smallest = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     return rows.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
 
 
@@ -167,16 +173,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """The row of docs with the smallest doc_id of each component (of several texts with that id, one), with the columns of docs."""
-    return one_of_each(docs, grouped(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    first = grouped(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_text = first.groupBy("root", "salt").agg(F.count("*").alias("n__"))
+    chosen = by_text.groupBy("root").agg(F.min(F.struct("salt", "n__")).alias("s"))
+    return rows_of_texts(docs, staged(chosen.select(F.col("s.salt").alias("salt__"), F.col("s.n__").alias("rows__")), "chosen")).select(*docs.columns)
 
 
-def one_of_each(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """One row of docs for each root of first (root, salt), that with the smallest salt."""
-    by_text = first.groupBy("root", "salt").agg(F.count("*").alias("n__"))
-    chosen = staged(by_text.groupBy("root").agg(F.min(F.struct("salt", "n__")).alias("s")).select(F.col("s.salt").alias("salt__"), F.col("s.n__").alias("rows__")), "chosen")
-    names = docs.columns
+def rows_of_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of docs, with key__ and chosen's other columns, for each row of chosen: salt__ (a hash of id and text) and rows__ (how often docs has it)."""
     # the text is dealt by that key at every size, so that what a run needs grows in proportion
-    of = lambda cond: docs.withColumn("key__", F.xxhash64("doc_id", "text")).join(chosen.where(cond).select("salt__").hint("shuffle_hash"), F.col("key__") == F.col("salt__"), "left_semi")
+    keyed = docs.withColumn("key__", F.xxhash64("doc_id", "text"))
+    of = lambda cond: keyed.join(chosen.where(cond).drop("rows__").hint("shuffle_hash"), F.col("key__") == F.col("salt__")).drop("salt__")
     if chosen.where("rows__ > 1").isEmpty():
-        return of("rows__ = 1").select(*names)
-    return of("rows__ = 1").unionByName(of("rows__ > 1").dropDuplicates(["key__"])).select(*names)
+        return of("rows__ = 1")
+    return of("rows__ = 1").unionByName(of("rows__ > 1").dropDuplicates(["key__"]))

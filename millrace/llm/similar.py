@@ -1,16 +1,20 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: every pair of texts at or above `least` ends in one group.
+"""Near-duplicates of word shingles: candidates by covering SimHash, verified by exact Jaccard similarity.
 
-Of a text with n distinct shingles, any text that is similar enough shares one of the first
-n - ceil(least * n) + 1 in any fixed order of all shingles, so no pair is lost. The order is by hash, with
-shingles that are common in a bounded sample last; the sample changes the work, never the result.
+A fingerprint of 5-word shingles can't find a similarity of 0.8: its expected distance there is 9.7 of 64
+bits, and a word that changes takes five shingles with it. So candidates come from fingerprints of the
+distinct words, where a changed word counts once; covering masks find every pair of fingerprints within
+`radius`. Only inside the connected components of these pairs are the texts themselves compared, by the
+whole sets of their shingles: a group is what links of similarity `least` or more connect.
 
-Work is done once for each distinct set of shingles. Texts that share a leading shingle are chained by
-size, so a bucket of n rows gives n - 1 links at most. Only inside the components of these links are whole
-sets compared, in pairs of blocks of at most about `block` sets each, and only a spanning forest of the
-similar pairs leaves a task.
+Work is done once for each text (lower case, single spaces), so groups of exact copies cost one row. A
+component's texts meet in slices of about `block` texts or `block_bytes`; some of a large component's texts
+(`pivots` of them, by hash) go to each of its slices and connect these. Texts that are still apart from a
+component's largest group are then compared with everything outside their own group, in pairs of blocks.
+Of similar texts only a spanning forest leaves a task, and texts of one group aren't compared again.
 
 Words are those of op9. Null text: no words; texts without words form one group. Null doc_id: the row
-takes part. Other columns are kept and ignored.
+takes part, and is kept only where no row of its group has an id. Repeated rows are copies of one
+another. Other columns are kept and ignored.
 """
 
 from __future__ import annotations
@@ -20,17 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches, staged
-from millrace.llm.simhash import components, one_of_each
+from millrace.llm.common import small_batches, staged, uniform
+from millrace.llm.simhash import SEED, components, majority, rows_of_texts
+from millrace.llm.simhash import links as fingerprint_links
 
 SHINGLE = 5
 LEAST = 0.8
-SEED = 42
-#: Texts in the sample that finds common shingles, and how many of these are kept.
-SAMPLE, COMMON = 4000, 20_000
+RADIUS = 6
+BLOCK, BLOCK_BYTES, PIVOTS = 2048, 1 << 25, 16
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -47,123 +51,129 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(joined[x:y], SEED) for x, y in zip(begins[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n - k + 1))
 
 
-def prefix(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """The leading shingles, one of which any similar enough text has among its own."""
-    n = len(found)
-    first = n - int(np.ceil(least * n - 1e-9)) + 1
-    rare = ~np.isin(found, common)
-    return np.concatenate([found[rare], found[~rare]])[:first] if n else found
-
-
-def _salted(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("salt"), F.col("text").cast("string").alias("text"))
-
-
-def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Hashes that three texts or more of a bounded sample have, at most COMMON of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0).cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py() or b"", shingle).view(np.int64))], ["h"])
+def word_print(text: bytes) -> tuple[int, int]:
+    """A hash of the text's words in order, and the fingerprint of its distinct words."""
+    from xxhash import xxh64_intdigest
 
-    some = _salted(docs).where(F.pmod("salt", F.lit(max(1, docs.count() // SAMPLE))) == 0).select("text").limit(2 * SAMPLE)
-    rows = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    return np.array(sorted(r[0] for r in rows), np.int64).view(np.uint64)
+    ws = text.lower().split()
+    distinct = set(ws)
+    return xxh64_intdigest(b" ".join(ws), SEED), majority(np.fromiter((xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct)))
 
 
-def _sets(docs: DataFrame, shingle: int, least: float, common: np.ndarray) -> DataFrame:
-    """doc_id, salt, unit (the hash of the text's set of shingles), size and prefix, a row for each row of docs."""
-    from xxhash import xxh64_intdigest
+def prints(docs: DataFrame) -> DataFrame:
+    """doc_id, salt (a hash of id and text), size (bytes), unit (a hash of the words in order) and fp, a row for each row of docs."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(x.as_py() or b"", shingle) for x in batch.column(2).cast(pa.binary())]
-            unit = np.fromiter((xxh64_intdigest(x.tobytes(), SEED) for x in found), np.uint64, len(found)).view(np.int64)
-            lead = pa.array([prefix(x, common, least).view(np.int64) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unit), pa.array([len(x) for x in found], pa.int64()), lead], ["doc_id", "salt", "unit", "size", "prefix"])
-
-    return _salted(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, salt long, unit long, size long, prefix array<long>")
+            both = [word_print(x.as_py() or b"") for x in batch.column(3).cast(pa.binary())]
+            unit, fp = (np.array(x, np.uint64).view(np.int64) for x in (zip(*both, strict=True) if both else ([], [])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(unit), pa.array(fp)], ["doc_id", "salt", "size", "unit", "fp"])
 
+    of = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("salt"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), F.col("text").cast("string").alias("text"))
+    return of.mapInArrow(run, f"doc_id {of.schema['doc_id'].dataType.simpleString()}, salt long, size long, unit long, fp long")
 
-def _chains(units: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between units that follow one another by size among those with a leading shingle, where the sizes allow the similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((0, 3), np.int64)
-        for batch in batches:
-            rows = np.concatenate([last, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-            last = rows[-1:]
-            a, b = rows[:-1], rows[1:]
-            link = (a[:, 0] == b[:, 0]) & (a[:, 1] >= least * b[:, 1] - 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(a[link, 2]), pa.array(b[link, 2])], ["a", "b"])
-
-    keyed = units.select(F.explode("prefix").alias("h"), "size", "unit")
-    return keyed.repartition("h").sortWithinPartitions("h", "size", "unit").mapInArrow(run, "a long, b long").distinct()
+def candidates(rows: DataFrame, radius: int) -> DataFrame:
+    """One row for each unit: unit, first (the smallest doc_id of its rows, with the salt and number of those), and root, n, bytes of its component where that has several units."""
+    by_row = rows.groupBy("unit", "fp", "size", "doc_id", "salt").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "salt", "rows", "size"))
+    units = staged(by_row.groupBy("unit", "fp").agg(first.alias("first")), "units")
+    near = components(fingerprint_links(units.select("fp").distinct(), radius))
+    rooted = units.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("unit", "first", F.coalesce("root", "fp").alias("root"))
+    sizes = staged(rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("first.size").alias("bytes")).where("n > 1"), "components")
+    return staged(rooted.join(sizes, "root", "left").select("unit", "first", F.when(F.col("n").isNotNull(), F.col("root")).alias("root"), "n", "bytes"), "candidates")
 
 
-def similar(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
-    """A spanning forest, as places in the list, of the pairs of sets with a Jaccard similarity of `least` or more."""
+def similar(sets: list[np.ndarray], least: float = LEAST, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest, as places in the list, of the pairs of sets with a Jaccard similarity of `least` or more; those with one number in group are connected already."""
+    if not sets:
+        return []
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     size, sets = size[order], [sets[i] for i in order]
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.concatenate(([0], np.cumsum(size)))
-    mark, group, out = np.zeros(int(codes.max(initial=-1)) + 1, np.int64), np.arange(len(sets)), []
+    group = np.arange(len(sets)) if group is None else np.unique(group, return_inverse=True)[1][order]
+    mark, out = np.zeros(int(codes.max(initial=-1)) + 1, np.int64), []
     for i in range(len(sets)):
         j = int(np.searchsorted(size * least, size[i] + 1e-9, "right"))  # the longest that can be similar
-        if not size[i] or j <= i + 1:
+        others = i + 1 + np.flatnonzero(group[i + 1 : j] != group[i])
+        if not size[i] or not len(others):
             continue
+        theirs = codes[starts[i + 1] : starts[j]] if len(others) == j - i - 1 else np.concatenate([codes[starts[x] : starts[x + 1]] for x in others.tolist()])
         mine = codes[starts[i] : starts[i + 1]]
         mark[mine] = 1
-        both = np.add.reduceat(mark[codes[starts[i + 1] : starts[j]]], starts[i + 1 : j] - starts[i + 1])
+        both = np.add.reduceat(mark[theirs], np.cumsum(size[others]) - size[others])
         mark[mine] = 0
-        for x in i + 1 + np.flatnonzero(both / (size[i] + size[i + 1 : j] - both) >= least):
+        for x in others[both / (size[i] + size[others] - both) >= least].tolist():
             if group[x] != group[i]:
                 out.append((int(order[i]), int(order[x])))
                 group[group == group[x]] = group[i]
     return out
 
 
-def links(docs: DataFrame, units: DataFrame, least: float, shingle: int, block: int) -> DataFrame:
-    """Pairs (a, b) of units whose components are those of all pairs at or above `least`. units: unit, salt, size and prefix."""
-    below = components(_chains(units, least)).select(F.col("node").alias("unit"), "root")
-    members = below.unionByName(below.select(F.col("root").alias("unit"), "root").distinct())
-    rooted = staged(members.join(units.select("unit", "salt"), "unit"), "candidates")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(x.as_py() or b"", shingle).tobytes() for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["salt", "set"])
-
-    # texts are dealt by key at every size, so that what a run needs grows in proportion; of rows with one id and text, one counts
-    texts = _salted(docs).join(rooted.select("salt").distinct().hint("shuffle_hash"), "salt", "left_semi").dropDuplicates(["salt"]).select("salt", "text")
-    blocks = rooted.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    sets = texts.mapInArrow(run, "salt long, set binary").join(rooted, "salt").join(blocks, "root")
-    own = F.pmod(F.xxhash64(F.lit(53), "unit"), F.col("blocks")).cast("int")
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(other)).select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "unit", "set")
+def verified(texts: DataFrame, least: float, shingle: int, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """unit and group (the smallest unit that links lead to) of the units with a link. texts: unit, root, n, bytes and text, each unit once."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("unit")
         unit = pdf["unit"].to_numpy()
-        return pd.DataFrame([(unit[i], unit[j]) for i, j in similar([np.frombuffer(s, np.uint64) for s in pdf["set"]], least)], columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("root", "lo", "hi").applyInPandas(compare, "a long, b long")
-
-
-def grouped(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, block: int = 2048) -> DataFrame:
+        found = similar([shingles((t or "").encode(), shingle) for t in pdf["text"]], least, pdf["group"].to_numpy() if "group" in pdf else None)
+        return pd.DataFrame([(unit[i], unit[j]) for i, j in found], columns=["a", "b"], dtype="int64")
+
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "unit"), n).cast("int")
+    slices: Column = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)).cast("int")
+    sliced = texts.withColumn("slices", slices)
+    everywhere = (F.col("slices") > 1) & (uniform(F.lit(59), F.col("unit")) < PIVOTS / F.col("n"))
+    once = sliced.withColumn("slice", F.explode(F.when(everywhere, upto(F.col("slices"))).otherwise(F.array(dealt(F.col("slices"), 53)))))
+    found = staged(once.select("root", "slice", "unit", "text").groupBy("root", "slice").applyInPandas(compare, "a long, b long"), "similar")
+
+    large = sliced.where("slices > 1")
+    if large.isEmpty():
+        return components(found).withColumnRenamed("node", "unit").withColumnRenamed("root", "group")
+    groups = components(found).select(F.col("node").alias("unit"), F.col("root").alias("group"))
+    named = staged(large.select("unit", "root").join(groups, "unit", "left").select("unit", "root", F.coalesce("group", "unit").alias("group")), "groups")
+    sizes = named.groupBy("root", "group").agg(F.count("*").alias("k"))
+    main = staged(sizes.groupBy("root").agg(F.max(F.struct("k", "group")).alias("m"), F.sum("k").alias("all")).where(F.col("all") > F.col("m.k")).select(F.col("root").alias("of__"), F.col("m.group").alias("main"), F.col("m.k").alias("inside"), (F.col("all") - F.col("m.k")).alias("outside")), "main")
+    apart = large.drop("root").join(named, "unit").join(main, F.col("root") == F.col("of__"))
+    share = F.col("slices") / F.col("n")
+    ins, outs = F.ceil(F.col("inside") * share).cast("int"), F.ceil(F.col("outside") * share).cast("int")
+    own = dealt(outs, 61)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    with_main = F.transform(upto(outs), lambda j: cell("main", dealt(ins, 61), j))
+    with_rest = F.concat(F.transform(upto(ins), lambda i: cell("main", i, own)), F.transform(upto(outs), lambda j: cell("rest", F.least(own, j), F.greatest(own, j))))
+    pairs = apart.withColumn("cell", F.explode(F.when(F.col("group") == F.col("main"), with_main).otherwise(with_rest)))
+    more = pairs.select("root", "cell", "unit", "group", "text").groupBy("root", "cell").applyInPandas(compare, "a long, b long")
+    return components(found.unionByName(more)).select(F.col("node").alias("unit"), F.col("root").alias("group"))
+
+
+def _texts(units: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of docs that are first of their unit, with unit__, root__, n__ and bytes__."""
+    chosen = staged(units.select(F.col("first.salt").alias("salt__"), F.col("first.rows").alias("rows__"), *[F.col(c).alias(f"{c}__") for c in ("unit", "root", "n", "bytes")]), "chosen")
+    return rows_of_texts(docs, chosen).drop("key__")
+
+
+def grouped(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """doc_id, salt, unit, root (of the group, a unit) and component_id (the group's smallest doc_id), a row for each row of docs."""
-    small_batches(docs.sparkSession)
-    rows = staged(_sets(docs, shingle, least, common_shingles(docs, shingle)), "sets")
-    units = rows.groupBy("unit").agg(F.min("doc_id").alias("first_id"), F.min("salt").alias("salt"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
-    linked = components(links(docs, units.drop("first_id"), least, shingle, block)).withColumnRenamed("node", "unit")
-    first = rows.groupBy("unit").agg(F.min("doc_id").alias("first_id"))
-    rooted = first.join(linked, "unit", "left").select("unit", "first_id", F.coalesce("root", "unit").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rows = staged(prints(docs), "prints")
+    units = candidates(rows, radius)
+    texts = _texts(units.where("root IS NOT NULL"), docs.select("doc_id", "text")).select(F.col("unit__").alias("unit"), F.col("root__").alias("root"), F.col("n__").alias("n"), F.col("bytes__").alias("bytes"), F.col("text").cast("string").alias("text"))
+    groups = verified(staged(texts, "texts"), least, shingle, block)
+    rooted = staged(units.select("unit", "first.doc_id").join(groups, "unit", "left").select("unit", "doc_id", F.coalesce("group", "unit").alias("root")), "rooted")
+    smallest = staged(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     return rows.select("doc_id", "salt", "unit").join(rooted.join(smallest, "root").select("unit", "root", "component_id"), "unit")
 
 
-def keep_one(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """The row of docs with the smallest doc_id of each group (of several texts with that id, one), with the columns of docs."""
-    return one_of_each(docs, grouped(docs, least, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    units = candidates(staged(prints(docs), "prints"), radius)
+    # of a unit only its first row can stay, so the texts are dealt once
+    firsts = staged(_texts(units, docs), "firsts")
+    texts = firsts.where("root__ IS NOT NULL").select(F.col("unit__").alias("unit"), F.col("root__").alias("root"), F.col("n__").alias("n"), F.col("bytes__").alias("bytes"), F.col("text").cast("string").alias("text"))
+    groups = verified(texts, least, shingle, block)
+    near = units.where("root IS NOT NULL").select("unit", "first").join(groups, "unit", "left")
+    best = F.min(F.struct("first.none", "first.doc_id", "first.salt", "unit")).alias("best")
+    stay = staged(near.groupBy(F.coalesce("group", "unit").alias("group")).agg(best).select(F.col("best.unit").alias("stay__")), "stay")
+    alone, several = firsts.where("root__ IS NULL"), firsts.where("root__ IS NOT NULL")
+    return alone.unionByName(several.join(stay.hint("shuffle_hash"), F.col("unit__") == F.col("stay__"), "left_semi")).select(*docs.columns)
