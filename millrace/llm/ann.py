@@ -1,22 +1,30 @@
-"""Nearest neighbours by inner product through randomly rotated one-bit codes.
+"""Nearest neighbours by inner product through randomly rotated one-bit codes, in lists around centres.
 
 A vector is rotated at random (a few rotations after one another make the code longer) and keeps the
 signs alone, packed, with two scalars: its norm and how well the signs point along it. The inner product with a
 rotated query is estimated from the signs; the estimate is unbiased and its error shrinks with the
-bits, which gives a bound on each side. Only vectors whose upper bound reaches the k-th largest lower
-bound are compared exactly, in double precision, with the vector itself.
+bits, which gives a bound on each side. Only vectors whose upper bound reaches what the k-th nearest has
+at least are compared exactly, in double precision, with the vector itself.
 
-Codes and queries are dealt into blocks, and each pair of blocks is one small task whose answer is k
-rows a query; the answers of all tasks meet by query. Equal vectors count once in a block, with their k + 1 smallest ids.
+Every vector lies in the list of its nearest centre; centres are fitted on a bounded sample (at most about
+`SAMPLE` vectors and `SAMPLE_BYTES` of each length). The k-th best inner product of a query with that sample is one that
+its k-th nearest reaches at least. A query goes to the lists that may hold such a product: that of the
+centre, and a share (`Lists.reach`, at most 1) of the product of the query's length and the distance between the
+centre and the list's farthest vector. That share is a tenth more than any of the sample's own nearest pairs needs. Long lists are dealt into blocks, and so are the queries of a list; a vector is copied
+only for each `QUERIES` queries that its list gets. The answers of all tasks meet by query. Equal vectors
+count once in a block, with their k + 1 smallest ids.
 
 Vectors that are null, empty, zero or hold null or non-finite values take no part, neither as queries
-nor as candidates. Vectors are compared with those of the same length. Ties go to the smaller id, rows
-that repeat an id stay candidates of their own; as a query such an id counts once, with the least of its vectors. A query's own id is no candidate.
+nor as candidates. Vectors are compared with those of the same length; the 64 commonest lengths have
+centres, any other is one list. Ties go to the smaller id, rows that repeat an id stay candidates of
+their own; as a query such an id counts once, with the least of its vectors. A query's own id is no
+candidate. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,10 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import staged, uniform
+
 ROTATIONS = 2
 #: Half the width of the bounds, in standard errors of the estimate.
 ERRORS = 3.0
-VECTORS, QUERIES = 8192, 512
+VECTORS, QUERIES = 8192, 4096
+#: Vectors to a list and lists to a length; the sample's vectors and bytes.
+PER_LIST, LISTS, SAMPLE, SAMPLE_BYTES, LENGTHS = 512, 4096, 1 << 14, 1 << 25, 64
+#: Nearest pairs of each of 512 vectors of the sample that fix the share of the distance that counts.
+CALIBRATE = 20
 
 
 def rotations(dim: int, seed: int = 17, count: int = ROTATIONS) -> np.ndarray:
@@ -62,14 +76,69 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest_in_block(vectors: np.ndarray, ids: np.ndarray, packed: tuple, queries: np.ndarray, query_ids: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, id and exact score of each query's k nearest in a block; vectors are distinct by (vector, place among equals)."""
+class Lists(NamedTuple):
+    """Centres, the sample they come from, and the largest share of |query| * |vector - centre| by which a near vector may exceed its centre."""
+
+    centres: np.ndarray
+    ids: np.ndarray
+    sample: np.ndarray
+    reach: float
+
+    def of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """List and distance to its centre."""
+        near = ((self.centres**2).sum(axis=1) - 2 * (vectors @ self.centres.T)).argmin(axis=1)
+        return near, np.linalg.norm(vectors - self.centres[near], axis=1)
+
+    def scores(self, queries: np.ndarray, query_ids: np.ndarray) -> np.ndarray:
+        """(query, vector of the sample): inner products, but for a query's own id."""
+        score = queries @ self.sample.T
+        score[query_ids[:, None] == self.ids] = -np.inf
+        return score
+
+    def least(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> np.ndarray:
+        """An inner product that each query's k-th nearest has at least."""
+        if len(self.ids) <= k:
+            return np.full(len(queries), -np.inf)
+        score = self.scores(queries, query_ids)
+        best = np.partition(score, len(self.ids) - k, axis=1)[:, len(self.ids) - k]
+        return best - 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(self.sample, axis=1).max()
+
+    def reached(self, queries: np.ndarray, least: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """(query, list): whether a list whose farthest vector is so far from the centre may hold a product of `least` or more."""
+        slack = self.reach * np.linalg.norm(queries, axis=1)[:, None] * far
+        return queries @ self.centres.T + slack >= least[:, None]
+
+
+def fit_lists(ids: np.ndarray, sample: np.ndarray, count: int, rounds: int = 8, seed: int = 5) -> Lists:
+    """Centres by a few rounds of k-means."""
+    rng = np.random.default_rng(seed)
+    order = np.lexsort((*sample.T[:1], ids))
+    ids, sample = ids[order], sample[order]
+    out = Lists(sample[np.sort(rng.choice(len(ids), min(count, len(ids)), replace=False))].copy(), ids, sample, 1.0)
+    for _ in range(rounds):
+        near, _ = out.of(sample)
+        n = np.bincount(near, minlength=len(out.centres))
+        total = np.stack([np.bincount(near, column, len(out.centres)) for column in sample.T], axis=1)
+        out.centres[n > 0] = total[n > 0] / n[n > 0, None]
+    near, _ = out.of(sample)
+    some = rng.permutation(len(ids))[:512]
+    score = out.scores(sample[some], ids[some])
+    q = np.repeat(np.arange(len(some)), min(CALIBRATE, len(ids)))
+    v = np.argsort(-score, axis=1)[:, :CALIBRATE].ravel()
+    off = sample[v] - out.centres[near[v]]
+    size = np.linalg.norm(sample[some[q]], axis=1) * np.linalg.norm(off, axis=1)
+    share = (sample[some[q]] * off).sum(axis=1) / np.maximum(size, 1e-300)
+    return out._replace(reach=min(1.0, 1.1 * max(float(share.max(initial=0)), 1 / np.sqrt(sample.shape[1]))))
+
+
+def nearest_in_block(vectors: np.ndarray, ids: np.ndarray, packed: tuple, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, id and exact score of each query's k nearest in a block, as far as they may reach `least`; vectors are distinct by (vector, place among equals)."""
     guess, error = estimate(*packed, queries, turn)
     low, high = guess - ERRORS * error, guess + ERRORS * error
     n = len(ids)
     # one more than k, for the query itself
     floor = np.partition(low, n - (k + 1), axis=1)[:, n - (k + 1)] if n > k + 1 else np.full(len(queries), -np.inf, np.float32)
-    q, v = np.nonzero(high >= floor[:, None])
+    q, v = np.nonzero(high >= np.maximum(floor, least)[:, None])
     keep = query_ids[q] != ids[v]
     q, v = q[keep], v[keep]
     score = np.concatenate([np.einsum("ij,ij->i", queries[q[a : a + 65536]], vectors[v[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0)])
@@ -80,53 +149,102 @@ def nearest_in_block(vectors: np.ndarray, ids: np.ndarray, packed: tuple, querie
     return q[top], ids[v[top]], score[top]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of every row for which is_query holds."""
-    base = vectors.where(valid(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    base = base.withColumn("dim", F.size("v"))
-    sizes = base.agg(F.count("*"), F.sum(F.col("q").cast("long"))).first()
-    v_blocks, q_blocks = -(-(sizes[0] or 1) // VECTORS), -(-(sizes[1] or 1) // QUERIES)
+def _arrays(rows: list, dims: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, places and vectors of each length."""
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        yield dim, at, np.array([rows[i] for i in at.tolist()])
+
+
+def _models(base: DataFrame) -> dict[int, Lists]:
+    """Lists for the commonest lengths, from a bounded sample of distinct rows."""
+    sizes = {r["dim"]: r["n"] for r in base.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()}
+    wanted = {dim: min(SAMPLE, SAMPLE_BYTES // (8 * dim)) / n for dim, n in sizes.items()}
+    rate = F.coalesce(*[F.when(F.col("dim") == d, F.lit(r)) for d, r in wanted.items()], F.lit(0.0))
+    rows = base.where(uniform(F.lit(3), F.col("id"), F.col("v")) < rate).select("id", "dim", "v").distinct().collect()
+    dims, ids = np.array([r["dim"] for r in rows], np.int64), np.array([r["id"] if r["id"] is not None else -1 for r in rows], np.int64)
+    return {dim: fit_lists(ids[at], x, min(LISTS, -(-sizes[dim] // PER_LIST))) for dim, at, x in _arrays([r["v"] for r in rows], dims)}
+
+
+def _index(base: DataFrame, models: dict[int, Lists]) -> DataFrame:
+    """id, v, dim, list (-1: the length has no centres), far (distance to the centre), code, norm, along of every row."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
         for batch in batches:
             rows = batch.column(1).to_pylist()
-            out = [(None, None, None)] * len(rows)
-            dims = np.array([len(r) for r in rows], np.int64)
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                turn = turns[dim] = turns[dim] if dim in turns else rotations(dim)
-                for i, c, n, a in zip(at.tolist(), *encode(np.array([rows[i] for i in at]), turn), strict=True):
-                    out[i] = (c.tobytes(), float(n), float(a))
-            code, norm, along = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.binary()), pa.array(norm, pa.float64()), pa.array(along, pa.float64())], ["id", "v", "dim", "code", "norm", "along"])
-
-    index = base.select("id", "v", "dim").mapInArrow(coded, "id long, v array<double>, dim int, code binary, norm double, along double")
-    spread = lambda n, *key: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
-    left = index.withColumn("vb", spread(v_blocks, "id", "v")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+            n = len(rows)
+            lists, far, norm, along, code = np.full(n, -1, np.int32), np.zeros(n), np.zeros(n), np.zeros(n), [b""] * n
+            for dim, at, x in _arrays(rows, np.array([len(r) for r in rows], np.int64)):
+                turns[dim] = turns[dim] if dim in turns else rotations(dim)
+                packed, norm[at], along[at] = encode(x, turns[dim])
+                for i, c in zip(at.tolist(), packed, strict=True):
+                    code[i] = c.tobytes()
+                if dim in models:
+                    lists[at], far[at] = models[dim].of(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists), pa.array(far), pa.array(code, pa.binary()), pa.array(norm), pa.array(along)], ["id", "v", "dim", "list", "far", "code", "norm", "along"])
+
+    return staged(base.select("id", "v", "dim").mapInArrow(coded, "id long, v array<double>, dim int, list int, far double, code binary, norm double, along double"), "codes")
+
+
+def _probes(asked: DataFrame, models: dict[int, Lists], far: dict[int, np.ndarray], k: int) -> DataFrame:
+    """id, v, dim, list, least: a row for each list that a query goes to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                rows, ids = part.column(1).to_pylist(), part.column(0).fill_null(-1).to_numpy()
+                least, lists = np.full(len(rows), -np.inf), [[-1]] * len(rows)
+                for dim, at, x in _arrays(rows, np.array([len(r) for r in rows], np.int64)):
+                    if dim in models:
+                        least[at] = models[dim].least(x, ids[at], k)
+                        for i, hit in zip(at.tolist(), models[dim].reached(x, least[at], far[dim]), strict=True):
+                            lists[i] = np.flatnonzero(hit).tolist()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "dim", "least", "lists"])
+
+    found = asked.mapInArrow(run, "id long, v array<double>, dim int, least double, lists array<int>")
+    return found.select("id", "v", "dim", "least", F.explode("lists").alias("list"))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of every row for which is_query holds."""
+    base = vectors.where(valid(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    base = base.withColumn("dim", F.size("v"))
+    models = _models(base)
+    index = _index(base, models)
+    stats = staged(index.groupBy("dim", "list").agg(F.count("*").alias("n"), F.max("far").alias("far")), "lists")
+    far = {dim: np.full(len(m.centres), -np.inf) for dim, m in models.items()}
+    for r in stats.where("list >= 0").collect():  # at most LISTS rows for each of LENGTHS lengths
+        far[r["dim"]][r["list"]] = r["far"]
     asked = base.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    right = asked.select("id", "v", "dim", spread(q_blocks, "v", "id").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("vb"))
+    probes = staged(_probes(asked, models, far, k), "probes")
+
+    blocks = stats.select("dim", "list", F.ceil(F.col("n") / VECTORS).cast("int").alias("v_blocks")).join(probes.groupBy("dim", "list").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("q_blocks")), ["dim", "list"])
+    blocks = staged(blocks, "blocks")
+    keys = ["dim", "list", "vb", "qb"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    left = index.drop("far").join(blocks, ["dim", "list"]).withColumn("vb", dealt("v_blocks", "id", "v")).withColumn("qb", every("q_blocks")).drop("v_blocks", "q_blocks")
+    right = probes.join(blocks, ["dim", "list"]).withColumn("qb", dealt("q_blocks", "v", "id")).withColumn("vb", every("v_blocks")).drop("v_blocks", "q_blocks")
 
     def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(a) or not len(b):
-            return empty
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         a = a.sort_values("id", kind="stable")
-        rows = np.stack(a["v"].to_numpy())
         # of equal vectors only the k + 1 smallest ids can be among the nearest
-        _, group = np.unique(rows, axis=0, return_inverse=True)
-        a = a[pd.Series(group.ravel()).groupby(group.ravel()).cumcount().to_numpy() <= k]
+        a = a[a["v"].map(lambda x: x.tobytes()).groupby(a["v"].map(lambda x: x.tobytes()), sort=False).cumcount().to_numpy() <= k]
         rows = np.stack(a["v"].to_numpy())
         packed = (np.frombuffer(b"".join(a["code"]), np.uint8).reshape(len(a), -1), a["norm"].to_numpy(), a["along"].to_numpy())
         turn, ids, found = rotations(rows.shape[1]), a["id"].to_numpy(np.int64), []
-        queries, query_ids = np.stack(b["v"].to_numpy()), b["id"].to_numpy(np.int64)
-        for at in range(0, len(b), 128):
-            q, v, s = nearest_in_block(rows, ids, packed, queries[at : at + 128], query_ids[at : at + 128], turn, k)
+        queries, query_ids, least = np.stack(b["v"].to_numpy()), b["id"].to_numpy(np.int64), b["least"].to_numpy()
+        for at in range(0, len(b), 256):
+            to = slice(at, at + 256)
+            q, v, s = nearest_in_block(rows, ids, packed, queries[to], query_ids[to], least[to], turn, k)
             found.append((query_ids[at + q], v, s))
         q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
-    keys = ["dim", "vb", "qb"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

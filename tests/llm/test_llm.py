@@ -225,6 +225,43 @@ def test_search_is_complete(spark, data):
     assert ann.search(e.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clustered", "normal", "few directions", "one large", "lengths", "given"])
+def test_search_over_several_lists_and_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "VECTORS", 300)
+    monkeypatch.setattr(ann, "QUERIES", 60)
+    monkeypatch.setattr(ann, "PER_LIST", 128)
+    monkeypatch.setattr(ann, "SAMPLE", 1000)
+    rng = np.random.default_rng(12)
+    n = 4000
+    x = rng.normal(size=(n, 32))
+    if kind == "clustered":
+        x = rng.normal(size=(40, 32))[rng.integers(0, 40, n)] + 0.2 * x
+    if kind == "few directions":
+        x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, 32))
+    if kind == "one large":
+        x[:, 0] += 8
+    if kind == "lengths":
+        x *= rng.lognormal(0, 1, n)[:, None]
+        x[:1500] = x[7]  # and many equal vectors
+    if kind == "given":
+        df = load(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding")
+    else:
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = df.collect()
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    got: dict = {}
+    for r in ann.search(df.repartition(4), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    found = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = v @ v[i]
+        best = [int(ids[j]) for j in np.lexsort((ids, -score)) if j != i][:20]
+        mine = got[int(ids[i])]
+        assert len(mine) == 20 and all(s == pytest.approx(v[np.flatnonzero(ids == j)[0]] @ v[i], rel=1e-12, abs=1e-12) for j, s in mine.items())
+        found.append(len(set(best) & set(mine)) / 20)
+    assert len(got) == len(found) and np.mean(found) >= 0.97
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     v, q = rng.normal(size=(500, 64)), rng.normal(size=(20, 64))
