@@ -410,6 +410,42 @@ def test_main_text(spark, data):
     assert html.main_text(df.where("false")).count() == 0
 
 
+@pytest.fixture(scope="module")
+def trees(spark):
+    pages = [r["html"] for r in load(spark, "/root/testdata/sf0.01", "pages").orderBy("page_id").limit(100).collect()]
+    return html.fit(pages)
+
+
+MENU, FOOT, PARA = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>", "<footer>&copy; 2020 Example</footer>", "<p>Sixty five characters of plain text stand in this one paragraph.</p>"
+TEXT = "Sixty five characters of plain text stand in this one paragraph."
+LAYOUTS = {
+    f"{MENU}<article>{PARA}</article>{FOOT}": TEXT,
+    "<article><h1>Hi</h1><p>Two words.</p></article>": "Hi Two words.",
+    f"{MENU}<article><p>Hi.</p></article>{FOOT}": "Hi.",
+    f"<html><body>{MENU}<h1>Title here</h1>{PARA * 4}{FOOT}</body></html>": " ".join(["Title here", *[TEXT] * 4]),
+    f"<html><body><form action='/x' method=post>{MENU}<article><h1>Title</h1>{PARA * 3}</article>{FOOT}</form></body></html>": " ".join(["Title", *[TEXT] * 3]),
+    f"<body><form>{MENU}<div id='content'><h1>T</h1>{PARA * 3}</div>{FOOT}<input name=q></form></body>": " ".join(["T", *[TEXT] * 3]),
+    f"{MENU}<article><h1>T</h1><p>Some words stand here <span class='ad'>Buy now</span> and then go on to the end of it.</p>{PARA}</article>{FOOT}": f"T Some words stand here and then go on to the end of it. {TEXT}",
+    f"<body>{MENU}<article><h1>T</h1>{PARA}<section class='comments'><div class='comment'><b>Ann</b><p>I liked this a lot, thank you.</p></div></section></article>{FOOT}</body>": f"T {TEXT}",
+    "<article><p>so <math><mi>x</mi></math> is</p></article>": "so x is",
+    "Plain text without any tag.": "Plain text without any tag.",
+}
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_main_text_of_other_layouts(trees, page):
+    assert html.extract_all([page], *trees) == [LAYOUTS[page]]
+
+
+@pytest.mark.parametrize("piece", ["<div ", "<div>", "<p>a</p>", "<ul><li>x", '<p ">"', "<b><i>", "</p></span>", "<tr><td>x", "<!--", '<a "', "<textarea>", "<p>x</div>", "<span class=x>a"])
+def test_long_malformed_pages_take_their_time_in_proportion(trees, piece):
+    import time
+
+    began = time.time()
+    html.extract_all([piece * (1_000_000 // len(piece))], *trees)
+    assert time.time() - began < 40
+
+
 def test_decoding_never_contradicts():
     rng = np.random.default_rng(6)
     page = "<body><div><nav><ul><li>a</ul></nav><div><p>b<div>c</div></div><aside><p>d</aside></div></body>"
@@ -437,6 +473,21 @@ def test_chat_collapse(spark):
     assert chat.render(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("table", ["gap", "shifted", "long", "same turn", "nulls"])
+def test_chat_places_are_those_of_the_sql(spark, tmp_path, table):
+    said = lambda conv, turns: [(conv, t, "user", x) for t, x in turns]
+    rows = {
+        "gap": said(1, [(0, "a"), (1, "b"), (2, "c")]) + said(2, [(0, "a"), (300, "b"), (301, "c"), (302, "d")]),
+        "shifted": said(1, [(300 + i, f"t{i}") for i in range(300)]) + said(2, [(i, f"t{i}") for i in range(400)]) + said(3, [(5 * i, f"t{i}") for i in range(256)]),
+        "long": said(1, [(i, f"t{i}") for i in range(1500)]) + said(2, [(i + 7, f"t{i}") for i in range(1024)]) + said(3, [(i, f"t{i + (i == 700)}") for i in range(900)]),
+        "same turn": said(1, [(0, "b")]) + said(2, [(0, "a"), (0, "b"), (0, "c")]) + said(3, [(0, "a"), (0, "b")]) + said(4, [(0, "a"), (1, "b"), (1, "a")]),
+        "nulls": [(None, None, None, None), (None, 3, "user", "x"), (1, None, "user", "x"), (1, 2, None, "y"), (2, 0, "user", "x"), (3, 0, "user", "x"), (3, 1, "unknown", "y"), (3, 2, "user", None), (2, 0, "user", "x")],
+    }[table]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert rows_of(QUERIES["op1_chat_format"](spark, str(tmp_path))) == rows_of_sql(SQL["op1_chat_format"], str(tmp_path))
+
+
 def test_pipeline(spark, data):
     docs = load(spark, data, "documents")
     columns, held = docs.columns, docs
