@@ -1,10 +1,14 @@
 """Chat formatting: conversations logged again and again as they grow are collapsed to the longest, then rendered.
 
 In DataFrame functions only. Every turn gets a hash of role and text, and every prefix of a
-conversation a hash of its turns' hashes. A conversation whose hash is that of a shorter prefix of
-another one adds nothing and goes; of equal conversations the smallest conv_id stays. Turns are
-handled in parts of 256 turn numbers, for hashing and for rendering, so that a conversation of any
-length is many small groups; a prefix is its part's own hash and one of all parts before.
+conversation a rolling hash: that of the prefix before and the next turn. A conversation whose hash is that
+of a shorter prefix of another one adds nothing and goes; of equal conversations the smallest conv_id
+stays. Prefixes are compared by position, so gaps and offsets in turn numbers don't matter. Positions come
+from one sort over all rows, dealt by ranges, and the counts of each range; hashes roll through parts of
+256 positions, and a prefix is its part's own hash and one of all parts before. So a conversation of any
+length is many small groups.
+
+Rendering gives one text for each 256 turn numbers of a conversation.
 
 Null role: "unknown". Null text: empty. Null turn: before the others. Rows without conv_id are one
 conversation. Rows that repeat conv_id, turn, role and text count once; different rows of one turn are
@@ -13,7 +17,7 @@ ordered by role and text. Control marks inside a text are broken up. Other colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import staged
@@ -34,13 +38,34 @@ def turns(conversations: DataFrame) -> DataFrame:
     )
 
 
+def placed(conversations: DataFrame) -> DataFrame:
+    """key, conv_id, part, i and two hashes of role and text: every distinct turn by its place in the conversation, part * PART + i."""
+    order = ["key", "turn", "role", "text"]
+    distinct = turns(conversations).groupBy(*order).agg(F.min("conv_id").alias("conv_id"))
+    ranged = staged(distinct.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "conv_id", F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit(7), "text", "role").alias("b"), F.monotonically_increasing_id().alias("at")), "turns")
+    in_range = ranged.withColumn("range", F.shiftright("at", 33))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    runs = in_range.groupBy("key", "range").agg(F.min("at").alias("first"), F.count("*").alias("n")).select("key", "range", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    place = F.col("at") + F.col("shift")
+    return in_range.join(runs, ["key", "range"]).select("key", "conv_id", F.floor(place / PART).cast("long").alias("part"), (place % PART).cast("int").alias("i"), "a", "b")
+
+
+def rolling(hashes: Column) -> Column:
+    """The hash of every prefix, each from the one before and the next element."""
+    empty = F.struct(F.lit(0).cast("long").alias("h"), F.slice(hashes, 1, 0).alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        h = F.xxhash64(acc["h"], x)
+        return F.struct(h.alias("h"), F.concat(acc["all"], F.array(h)).alias("all"))
+
+    return F.aggregate(hashes, empty, step)["all"]
+
+
 def maximal(conversations: DataFrame) -> DataFrame:
-    """key, part of every part of the conversations that no longer one begins with."""
-    hashed = turns(conversations).select("key", "conv_id", "part", F.struct("turn", F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit(7), "text", "role").alias("b")).alias("t"))
-    parts = hashed.groupBy("key", "part").agg(F.min("conv_id").alias("conv_id"), F.sort_array(F.collect_set("t")).alias("ts"))
-    rolling = lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.xxhash64(F.slice(x, F.lit(1), i)))
-    parts = parts.select("key", "conv_id", "part", F.transform("ts", lambda t: t["a"]).alias("a"), F.transform("ts", lambda t: t["b"]).alias("b"))
-    parts = staged(parts.select("key", "conv_id", "part", rolling(F.col("a")).alias("a"), rolling(F.col("b")).alias("b")), "prefixes")
+    """key of the conversations that no longer one begins with."""
+    parts = placed(conversations).groupBy("key", "part").agg(F.min("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("i", "a", "b"))).alias("ts"))
+    parts = parts.select("key", "conv_id", "part", *[rolling(F.col(f"ts.{c}")).alias(c) for c in ("a", "b")])
+    parts = staged(parts, "prefixes")
 
     along = Window.partitionBy("key").orderBy("part")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -50,13 +75,12 @@ def maximal(conversations: DataFrame) -> DataFrame:
     prefix = prefix.select("key", "conv_id", "part", (F.col("i") + 1).alias("i"), F.xxhash64("a0", "h.a").alias("ha"), F.xxhash64("b0", "h.b").alias("hb"), (F.col("ends") & (F.col("i") + 1 == F.col("n"))).alias("full"))
     same = ["part", "i", "ha", "hb"]
     full = prefix.where("full").groupBy(*same).agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id", "key")).alias("first")).select(*same, "first.key")
-    longest = full.join(prefix.where("NOT full").select(*same).distinct(), same, "left_anti").select("key")
-    return parts.select("key", "part").join(longest, "key", "left_semi")
+    return full.join(prefix.where("NOT full").select(*same).distinct(), same, "left_anti").select("key")
 
 
 def render(conversations: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, text: the maximal conversations, as one text for each part of up to 256 turn numbers."""
-    kept = turns(conversations).join(maximal(conversations), ["key", "part"], "left_semi")
+    kept = turns(conversations).join(maximal(conversations), "key", "left_semi")
     parts = kept.groupBy("key", "part").agg(F.min("conv_id").alias("conv_id"), F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("ts"))
     line = lambda t: F.concat(F.lit(OPEN), F.replace(t["role"], F.lit("<|im_"), F.lit("<| im_")), F.lit(MIDDLE), F.replace(t["text"], F.lit("<|im_"), F.lit("<| im_")), F.lit(CLOSE))
     return parts.select("conv_id", "part", F.size("ts").cast("long").alias("n_turns"), F.array_join(F.transform("ts", line), "").alias("text"))
