@@ -186,9 +186,10 @@ def write_token_files(docs: DataFrame, path: str, name: str = WORD_BPE, end: int
         if held:
             yield flush()
 
-    rows = tokens.mapInArrow(coded, "doc_id long, n long, offsets binary, code binary").withColumn("tie", F.xxhash64("code"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n", "offsets", "code")
-    ordered.mapInArrow(blocks, "part int, block int, start long, n_ids long, body binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    # finding the ranges reads the ids once more, so they are dealt before they are coded
+    ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    rows = ordered.mapInArrow(coded, "doc_id long, n long, offsets binary, code binary")
+    rows.mapInArrow(blocks, "part int, block int, start long, n_ids long, body binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A text is cut at single spaces between two characters that are not white space. Both vocabularies here
 start a new token at each such place, so the pieces' ids, one after another, are the ids of the whole
 text; the tokenizer sees each different piece once, and a worker keeps what it has seen (at most
-`keep` pieces) for the texts and tasks that follow.
+`keep` pieces of at most LONGEST characters) for the texts and tasks that follow.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from array import array
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
+LONGEST = 64
 
 #: Letters that normalization leaves alone (but for case), marks without the apostrophe, single line ends: between
 #: two of these parts both vocabularies start a new token.
@@ -42,15 +43,18 @@ class Known(dict):
         else:
             parts = PARTS.findall(piece)
             if len(parts) > 1 and "".join(parts) == piece and "\n\n" not in piece and "<|" not in piece:
-                self[piece] = out = b"".join([self[p] for p in parts])
-                return out
+                return self._keep(piece, b"".join([self[p] for p in parts]))
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self[piece] = out = array("H", ids).tobytes()
-        return out
+        return self._keep(piece, array("H", ids).tobytes())
+
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
-    def __init__(self, name: str, keep: int = 1_000_000):
+    def __init__(self, name: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
