@@ -3,11 +3,12 @@
 The ids of a task's documents form one stream, in the order of the rows. It is cut into windows of at
 most `limit` ids where the sum of padding and of penalties for cut documents is least: cuts fall after
 documents (no penalty) or after sentences inside them; where a stretch without such a place is longer
-than a window, every `limit / 8` ids. A window is padded to `limit`, except at a power of two. The
+than a window, also every `limit / 8` ids. A window is padded to `limit`, except at a power of two. The
 best cost up to a boundary needs the least (cost + position) among the boundaries of the last `limit`
 ids, which a monotone queue keeps at one step a boundary, and one look at each power of two.
 
-Streams are cut into independent spans of about `span` ids, so a task holds little at a time. Null text
+A stream is handled in spans of about `span` ids, so a task holds little at a time; the last window of a
+span is not written but begins the next span, so only a task's last window is padded for want of text. Null text
 is empty: one id, the end. Repeated rows are packed as often as they occur. Other columns are ignored.
 """
 
@@ -41,7 +42,7 @@ def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, limit: int = LIM
     ends = np.union1d(np.union1d(doc_ends, sentence_ends), [0])
     gaps = np.diff(ends)
     step = max(1, limit // 8)
-    forced = [np.arange(a + step, a + g, step) for a, g in zip(ends[:-1][gaps > step], gaps[gaps > step], strict=True)]
+    forced = [np.arange(a + step, a + g, step) for a, g in zip(ends[:-1][gaps > limit], gaps[gaps > limit], strict=True)]
     at = np.union1d(ends, np.concatenate([*forced, ends[:0]]))
     cost = np.where(np.isin(at, doc_ends) | (at == 0), 0, np.where(np.isin(at, sentence_ends), SENTENCE_CUT, FORCED_CUT))
     return at, cost
@@ -94,39 +95,50 @@ def pack(docs: DataFrame, name: str = BYTE_BPE, end: int = 0, limit: int = LIMIT
         for text, i in of.tokenizer.get_vocab().items():
             stops[i] = text[-1:] in (".", "!", "?", "Ċ")
         stops[end] = False
-        window, held, size = TaskContext.get().partitionId() << 36, [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal window
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u2")
-            counts = np.fromiter((len(x) // 2 for _, x in held), np.int64, len(held))
+        # a document's ids, how many of them are written, and how many it has
+        held: list[tuple[int | None, bytes, int, int]] = []
+        window, size = TaskContext.get().partitionId() << 36, 0
+
+        def flush(last: bool) -> pa.RecordBatch:
+            nonlocal window, held, size
+            ids = np.frombuffer(b"".join(x[1] for x in held), "<u2")
+            counts = np.fromiter((len(x[1]) // 2 for x in held), np.int64, len(held))
             doc_ends = np.cumsum(counts)
             at, cost = boundaries(doc_ends, np.flatnonzero(stops[ids]) + 1, limit)
             cuts = best_cuts(at, cost, limit)
+            if not last:
+                cuts = cuts[:-1]
             a, b, w = pieces(counts, cuts)
+            a, b, w = (x[a < cuts[-1]] for x in (a, b, w))
+            b = np.minimum(b, cuts[-1])
             d = np.searchsorted(doc_ends, a, "right")
             raw = ids.astype("<u4").tobytes()
+            gone, total = (np.array([x[k] for x in held], np.int64) for k in (2, 3))
             out = [
                 pa.array([held[i][0] for i in d.tolist()], pa.int64()),
-                pa.array(a - (doc_ends - counts)[d]),
+                pa.array(a - (doc_ends - counts)[d] + gone[d]),
                 pa.array(b - a),
                 pa.array([raw[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()),
-                pa.array(counts[d]),
+                pa.array(total[d]),
                 pa.array(window + w),
                 pa.array(a - np.array(cuts)[w]),
             ]
             window += len(cuts) - 1
+            k = int(np.searchsorted(doc_ends, cuts[-1], "right"))
+            split = cuts[-1] - int(doc_ends[k] - counts[k]) if k < len(held) else 0
+            held = [(x[0], x[1][2 * split :], x[2] + split, x[3]) if i == 0 else x for i, x in enumerate(held[k:])]
+            size = len(ids) - cuts[-1]
             return pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((doc, of.encode(text.as_py() or "") + tail))
-                size += len(held[-1][1]) // 2
+                ids = of.encode(text.as_py() or "") + tail
+                held.append((doc, ids, 0, len(ids) // 2))
+                size += len(ids) // 2
                 if size >= span:
-                    yield flush()
-                    held, size = [], 0
+                    yield flush(False)
         if held:
-            yield flush()
+            yield flush(True)
 
     of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return of.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
