@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words is exactly these code points; everything else belongs to a word.
@@ -47,6 +47,18 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def in_order(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with place__ (its place in that order, from 0) and, for each name, the sum over all rows before; the sort is dealt by ranges, and only a row for each range meets in one task."""
+    ranged = df.withColumns({f"{k}__own": v for k, v in sums.items()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = staged(ranged.withColumn("at__", F.monotonically_increasing_id()), "ordered").withColumn("range__", F.shiftright("at__", 33))
+    here, ranges = (Window.partitionBy(k).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for k, o in (("range__", "at__"), (F.lit(0), "range__")))
+    of = ranged.groupBy("range__").agg(F.count("*").alias("n__"), *[F.sum(f"{k}__own").alias(f"{k}__all") for k in sums])
+    none = lambda c: F.coalesce(c, F.lit(0))
+    of = of.select("range__", none(F.sum("n__").over(ranges)).alias("n__"), *[none(F.sum(f"{k}__all").over(ranges)).alias(f"{k}__all") for k in sums])
+    out = ranged.join(of, "range__").select("*", (F.col("n__") + F.col("at__") - F.shiftleft("range__", 33)).alias("place__"), *[(F.col(f"{k}__all") + none(F.sum(f"{k}__own").over(here))).alias(k) for k in sums])
+    return out.drop("at__", "range__", "n__", *[f"{k}__{x}" for k in sums for x in ("own", "all")])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in an Arrow batch, for columns of whole texts; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
