@@ -24,6 +24,12 @@ def _ordered(keys: list[str], tie: str = TIE):
     return Window.partitionBy(*keys).orderBy("time", tie)
 
 
+def _fresh(df: DataFrame, *names: str) -> None:
+    """Raise where a column that an operator adds would take the place of one of df's own."""
+    if clash := sorted(set(names) & set(df.columns)):
+        raise ValueError(f"columns {', '.join(clash)} exist already; rename them first")
+
+
 def _largest(cs: list[Column]) -> Column:
     return F.greatest(*cs) if len(cs) > 1 else cs[0]
 
@@ -165,6 +171,7 @@ def isolation_forest(df: DataFrame, cols: list[str], key: str, contamination: fl
     rows, from that many smallest hashes, cut into disjoint samples), and meet the key's rows in bounded runs. The cut is the
     key's contamination quantile.
     """
+    _fresh(df, "decision", "is_anomaly", "severity")
     enough = df.groupBy(key).agg(F.count("*").alias("n__")).where(F.col("n__") >= least).select(key)
     usable = df.join(enough, key, "left_semi")
 
@@ -234,6 +241,7 @@ def lof(df: DataFrame, cols: list[str], key: str, k: int = 20, sample: int = 200
 
 def one_class_boundary(df: DataFrame, cols: list[str], nu: float = 0.05, features: int = 64, sample: int = 10_000, seed: int = 5) -> DataFrame:
     """decision and is_anomaly: a linear boundary over random Fourier features, fitted on at most `sample` rows (smallest hashes), scored on all."""
+    _fresh(df, "decision", "is_anomaly")
     rows = df.select(*cols, TIE).dropna().orderBy(F.xxhash64(F.lit(3), TIE), TIE).limit(sample).toPandas()
     x = rows[cols].to_numpy(float)
     mean, std = (x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)) if len(x) else (np.zeros(len(cols)), np.ones(len(cols)))
@@ -256,12 +264,16 @@ def one_class_boundary(df: DataFrame, cols: list[str], nu: float = 0.05, feature
 
 
 def reconstruction_error(df: DataFrame, cols: list[str], components: int = 2, pct: float = 0.95) -> DataFrame:
-    """error of each row rebuilt from its principal components, flagged above the percentile, with severity and the three worst features."""
+    """reconstruction_error of each complete row rebuilt from its principal components, flagged above the percentile, with severity and the three worst features.
+
+    Without a complete row the result is empty. A column of that name, is_anomaly, severity or top_features in df is an error.
+    """
+    _fresh(df, "reconstruction_error", "is_anomaly", "severity", "top_features")
     clean = df.dropna(subset=cols)
     row = clean.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if row["m0"] is None:  # no complete row: no components, and no errors to report
         none = F.lit(None)
-        return clean.where("false").select(*df.columns, none.cast("double").alias("error"), none.cast("boolean").alias("is_anomaly"), none.cast("string").alias("severity"), none.cast("array<string>").alias("top_features"))
+        return clean.where("false").select(*df.columns, none.cast("double").alias("reconstruction_error"), none.cast("boolean").alias("is_anomaly"), none.cast("string").alias("severity"), none.cast("array<string>").alias("top_features"))
     z = clean.withColumns({f"z{i}__": (F.col(c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0) for i, c in enumerate(cols)})
     packed = VectorAssembler(inputCols=[f"z{i}__" for i in range(len(cols))], outputCol="v__").transform(z)
     model = PCA(k=components, inputCol="v__", outputCol="p__").fit(packed)
@@ -271,12 +283,12 @@ def reconstruction_error(df: DataFrame, cols: list[str], components: int = 2, pc
     out = out.withColumns({f"e{i}__": (F.col(f"z{i}__") - back[i]) ** 2 for i in range(len(cols))})
     error = reduce(Column.__add__, [F.col(f"e{i}__") for i in range(len(cols))]) / len(cols)
     worst = F.slice(F.reverse(F.array_sort(F.array(*[F.struct(F.col(f"e{i}__").alias("e"), F.lit(c).alias("feature")) for i, c in enumerate(cols)]))), 1, 3)
-    out = out.withColumn("error", error).withColumn("top_features", F.transform(worst, lambda s: s["feature"]))
-    cut = out.agg(F.percentile_approx("error", F.lit(pct), F.lit(10_000)).alias("threshold"))
-    out = out.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col("error") > F.col("threshold"))  # one row
-    ratio = F.col("error") / F.col("threshold")
+    out = out.withColumn("reconstruction_error", error).withColumn("top_features", F.transform(worst, lambda s: s["feature"]))
+    cut = out.agg(F.percentile_approx("reconstruction_error", F.lit(pct), F.lit(10_000)).alias("threshold__"))
+    out = out.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col("reconstruction_error") > F.col("threshold__"))  # one row
+    ratio = F.col("reconstruction_error") / F.col("threshold__")
     severity = F.when(~F.col("is_anomaly"), "NORMAL").when(ratio >= 3, "CRITICAL").when(ratio >= 2, "MAJOR").when(ratio >= 1.5, "MINOR").otherwise("WARNING")
-    return out.withColumn("severity", severity).select(*df.columns, "error", "is_anomaly", "severity", "top_features")
+    return out.withColumn("severity", severity).select(*df.columns, "reconstruction_error", "is_anomaly", "severity", "top_features")
 
 
 def ensemble_online(df: DataFrame, scores: list[str], flags: list[str], keys: list[str], history: int = 1000) -> DataFrame:

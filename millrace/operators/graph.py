@@ -7,6 +7,7 @@ shared folder, so lineage stays short and a lost executor costs one hop.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where the session names none and runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -68,7 +72,7 @@ def neighbors(edges: DataFrame, node: str, kind: str | None = None) -> DataFrame
 
 def traverse(edges: DataFrame, start: DataFrame, depth: int = 3, direction: str = "forward", types: list[str] | None = None) -> DataFrame:
     """node, depth for all nodes within 1 to depth hops of the nodes in start (column node), at their smallest depth."""
-    steps = both_ways(edges, direction, types).select("a", "b").distinct()
+    steps = cut(both_ways(edges, direction, types).select("a", "b").distinct())
     seen = cut(start.select("node", F.lit(0).alias("depth")).distinct())
     frontier = seen.select("node")
     for hop in range(1, depth + 1):
@@ -82,6 +86,7 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int = 3, direction: str
 
 def traverse_edges(edges: DataFrame, start: DataFrame, depth: int = 3, direction: str = "forward", types: list[str] | None = None) -> DataFrame:
     """Edges between the nodes of traverse() that leave a node above the last hop, each once."""
+    edges = cut(edges.select("src_id", "type", "dst_id"))
     nodes = traverse(edges, start, depth, direction, types).unionByName(start.select("node", F.lit(0).alias("depth")))
     steps = both_ways(edges, direction, types)
     inside = steps.join(nodes.where(F.col("depth") < depth).select(F.col("node").alias("a")), "a").join(nodes.select(F.col("node").alias("b")), "b")
@@ -94,7 +99,7 @@ def shortest_path(edges: DataFrame, a: str, b: str, depth: int = 5) -> DataFrame
     Each hop keeps the smallest predecessor of a new node only, so the tables grow with nodes, not with paths.
     """
     spark = edges.sparkSession
-    steps = both_ways(edges).select("a", "b").distinct()
+    steps = cut(both_ways(edges).select("a", "b").distinct())
     seen = cut(spark.range(1).select(F.lit(a).alias("node"), F.lit(0).alias("step"), F.array(F.lit(a)).alias("path")))
     frontier = seen
     for hop in range(1, depth + 1):

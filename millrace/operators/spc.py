@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 #: Control chart constants by subgroup size: A2, A3, D3, D4, d2, c4.
 CONSTANTS = {
     2: (1.880, 2.659, 0.0, 3.267, 1.128, 0.7979),
-    3: (1.023, 1.954, 0.0, 2.574, 1.693, 0.8862),
+    3: (1.023, 1.954, 0.0, 2.575, 1.693, 0.8862),
     4: (0.729, 1.628, 0.0, 2.282, 2.059, 0.9213),
-    5: (0.577, 1.427, 0.0, 2.114, 2.326, 0.9400),
+    5: (0.577, 1.427, 0.0, 2.115, 2.326, 0.9400),
     6: (0.483, 1.287, 0.0, 2.004, 2.534, 0.9515),
     7: (0.419, 1.182, 0.076, 1.924, 2.704, 0.9594),
     8: (0.373, 1.099, 0.136, 1.864, 2.847, 0.9650),

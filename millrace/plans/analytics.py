@@ -70,7 +70,7 @@ def one_class_boundary(spark, d):
 
 @query()
 def reconstruction_error(spark, d):
-    return anomaly.reconstruction_error(v.wide_hours(spark, d), v.PARAMS).select("time", "error", "is_anomaly", "severity", "top_features")
+    return anomaly.reconstruction_error(v.wide_hours(spark, d), v.PARAMS).select("time", "reconstruction_error", "is_anomaly", "severity", "top_features")
 
 
 _SCORES = f"{M}, x AS (SELECT measurement_id, equipment_id, param_id, time, value / 200 AS s1, (measurement_id % 97) / 97 AS s2, value > 100 AS f1, measurement_id % 97 > 80 AS f2 FROM m)"
@@ -421,12 +421,19 @@ def trace_lot_forward(spark, d):
     return graph.trace_lot_forward(v.edges(spark, d), "L12")
 
 
-_NEXT = "nx AS (SELECT CAST(n_nationkey AS VARCHAR) AS a, CAST(n_nationkey + 1 + n_regionkey % 2 AS VARCHAR) AS b FROM nation WHERE n_nationkey < 22)"
+#: The lines of an order, one after another, are the steps of its route.
+_STEPS = "st AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"
+_NEXT = f"{_STEPS}, nx AS (SELECT o || '-' || i AS a, o || '-' || (i + 1) AS b FROM st WHERE i < n)"
+
+
+def _steps(spark, d):
+    line = Window.partitionBy("l_orderkey")
+    return v.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.row_number().over(line.orderBy("l_linenumber")).alias("i"), F.count("*").over(line).alias("n"))
 
 
 def _route(spark, d):
-    n = v.load(spark, d, "nation").where("n_nationkey < 22")
-    return n.select(F.lit("Step").alias("src_label"), F.col("n_nationkey").cast("string").alias("src_id"), F.lit("NEXT_STEP").alias("type"), F.lit("Step").alias("dst_label"), (F.col("n_nationkey") + 1 + F.col("n_regionkey") % 2).cast("string").alias("dst_id"))
+    step = lambda i: F.concat_ws("-", "o", i)
+    return _steps(spark, d).where("i < n").select(F.lit("Step").alias("src_label"), step("i").alias("src_id"), F.lit("NEXT_STEP").alias("type"), F.lit("Step").alias("dst_label"), step(F.col("i") + 1).alias("dst_id"))
 
 
 @query(f"WITH RECURSIVE {_NEXT}, t AS (SELECT a, b FROM nx UNION SELECT t.a, nx.b FROM t JOIN nx ON t.b = nx.a) SELECT a AS from_step, b AS to_step FROM t")
@@ -444,13 +451,21 @@ def affected_packs(spark, d):
     return graph.affected_packs(v.cells(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_NEXT}, t AS (SELECT a AS cause, 1 AS depth FROM nx WHERE b = '13' UNION SELECT nx.a, depth + 1 FROM t JOIN nx ON nx.b = cause WHERE depth < 4) SELECT cause, min(depth) AS depth, cause NOT IN (SELECT b FROM nx) AS is_root FROM t GROUP BY cause""")
+@query(f"""WITH RECURSIVE {_NEXT}, t AS (SELECT a AS cause, 1 AS depth FROM nx WHERE b = '7-4' UNION SELECT nx.a, depth + 1 FROM t JOIN nx ON nx.b = cause WHERE depth < 4) SELECT cause, min(depth) AS depth, cause NOT IN (SELECT b FROM nx) AS is_root FROM t GROUP BY cause""")
 def trace_root_causes(spark, d):
-    return graph.trace_root_causes(_route(spark, d).select(F.col("src_id").alias("source"), F.col("dst_id").alias("target")), "13", 4)
+    return graph.trace_root_causes(_route(spark, d).select(F.col("src_id").alias("source"), F.col("dst_id").alias("target")), "7-4", 4)
 
 
-@query(f"""WITH {G} SELECT 'unknown_dst' AS kind, 'Product|' || dst_id AS key, count(*) AS n FROM g WHERE type = 'MAKES' GROUP BY dst_id UNION ALL SELECT 'unknown_src', src_label || '|' || src_id, count(*) FROM g WHERE src_label = 'Wafer' GROUP BY 2 UNION ALL SELECT 'unknown_dst', 'Site|' || dst_id, count(*) FROM g WHERE type = 'LOCATED_IN' GROUP BY dst_id""")
+@query(f"""WITH {G}, {_STEPS} SELECT 'unknown_dst' AS kind, 'Product|' || dst_id AS key, count(*) AS n FROM g WHERE type = 'MAKES' GROUP BY dst_id UNION ALL SELECT 'unknown_src', src_label || '|' || src_id, count(*) FROM g WHERE src_label = 'Wafer' GROUP BY 2 UNION ALL SELECT 'unknown_dst', 'Site|' || dst_id, count(*) FROM g WHERE type = 'LOCATED_IN' GROUP BY dst_id
+UNION ALL SELECT 'cycle', o || '-' || i, 1 FROM st WHERE o % 50 = 3
+UNION ALL SELECT 'inverted_validity', o || '-' || i || '|NEXT_STEP|' || o || '-' || (i + 1), 1 FROM st WHERE i > 4 AND i < n""")
 def check_link_constraints(spark, d):
     lots = v.load(spark, d, "lineitem").select(F.lit("Lot").alias("label"), F.concat(F.lit("L"), "l_orderkey").alias("id")).unionByName(v.load(spark, d, "orders").select(F.lit("Lot").alias("label"), F.concat(F.lit("L"), "o_orderkey").alias("id"))).distinct()
     eq = v.load(spark, d, "supplier").select(F.lit("Equipment").alias("label"), F.concat(F.lit("E"), "s_suppkey").alias("id"))
-    return graph.check_link_constraints(lots.unionByName(eq), v.edges(spark, d).unionByName(_route(spark, d).where("false")))
+    steps = _steps(spark, d).select(F.lit("Step").alias("label"), F.concat_ws("-", "o", "i").alias("id"))
+    # routes of some orders lead back to their first step, and late steps end before they begin
+    back = _steps(spark, d).where("o % 50 = 3 AND i = n").select(F.lit("Step").alias("src_label"), F.concat_ws("-", "o", "n").alias("src_id"), F.lit("NEXT_STEP").alias("type"), F.lit("Step").alias("dst_label"), F.concat_ws("-", "o", F.lit(1)).alias("dst_id"))
+    late = F.split("src_id", "-")[1].cast("int") > 4
+    route = _route(spark, d).withColumns({"since": F.lit(5), "until": F.when(late, 1).otherwise(9)})
+    edges = v.edges(spark, d).unionByName(back).withColumns({"since": F.lit(0), "until": F.lit(1)}).unionByName(route)
+    return graph.check_link_constraints(lots.unionByName(eq).unionByName(steps), edges, "since", "until")

@@ -159,7 +159,8 @@ def label_failure_horizon(spark, d):
     return joins.label_failure_horizon(m, 24).select("measurement_id", "label")
 
 
-@query(f"WITH {G} SELECT x.src_id AS wafer_id, x.dst_id AS lot_id, y.dst_id AS equipment_id FROM g x JOIN g y ON x.dst_id = y.src_id WHERE x.type = 'BELONGS_TO' AND y.type = 'PROCESSED_AT'")
+@query(f"""WITH {v.S}, x AS (SELECT DISTINCT 'W' || step_id AS wafer_id, 'L' || lot_id AS lot_id FROM s), y AS (SELECT DISTINCT 'L' || lot_id AS lot_id, 'E' || equipment_id AS equipment_id FROM s)
+SELECT wafer_id, lot_id, equipment_id FROM x JOIN y USING (lot_id)""")
 def wafer_lot_equipment(spark, d):
     return joins.wafer_lot_equipment(v.edges(spark, d))
 
@@ -409,7 +410,7 @@ def xbar_limits(spark, d):
     return rounded(spc.xbar_limits(_subgroups(spark, d), ["equipment_id", "param_id"], "subgroup"))
 
 
-@query(f"WITH {_SUB}, x AS ({_LIM}) SELECT equipment_id, param_id, CAST(5 AS BIGINT) AS size, round(r, 6) AS center, round(2.114 * r, 6) AS r_ucl, round(0e0 * r, 6) AS r_lcl, round(r / 2.326, 6) AS r_sigma FROM x")
+@query(f"WITH {_SUB}, x AS ({_LIM}) SELECT equipment_id, param_id, CAST(5 AS BIGINT) AS size, round(r, 6) AS center, round(2.115 * r, 6) AS r_ucl, round(0e0 * r, 6) AS r_lcl, round(r / 2.326, 6) AS r_sigma FROM x")
 def r_limits(spark, d):
     return rounded(spc.r_limits(_subgroups(spark, d), ["equipment_id", "param_id"], "subgroup"))
 

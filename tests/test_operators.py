@@ -202,3 +202,25 @@ def test_detector_of_one_class(spark):
     df = spark.createDataFrame([("k", 0, 0, 0.1), ("k", 0, 1, 0.1)], "k string, y_true int, y_pred int, y_score double")
     r = predict.evaluate_detector(df, ["k"]).first()
     assert r["roc_auc"] is None and r["precision"] == 0 and r["fp"] == 1
+
+
+def test_added_columns_never_replace_others(spark):
+    import pytest
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(200, 1))
+    x = np.concatenate([base, 2 * base, rng.normal(size=(200, 1))], axis=1)
+    x[7] = (3.0, -6.0, 0.0)  # against the other rows' line
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "measurement_id long, error double, b double, c double")
+    out = anomaly.reconstruction_error(df, ["error", "b", "c"])
+    assert out.columns == ["measurement_id", "error", "b", "c", "reconstruction_error", "is_anomaly", "severity", "top_features"]
+    rows = {r["measurement_id"]: r for r in out.collect()}
+    assert all(rows[i]["error"] == x[i, 0] for i in range(200))
+    z = (x - x.mean(0)) / x.std(0)
+    _, vectors = np.linalg.eigh(np.cov(z.T))
+    back = z @ vectors[:, 1:] @ vectors[:, 1:].T
+    assert np.allclose([rows[i]["reconstruction_error"] for i in range(200)], ((z - back) ** 2).mean(1), atol=1e-9)
+    assert rows[7]["is_anomaly"] and rows[7]["severity"] == "CRITICAL" and set(rows[7]["top_features"][:2]) == {"error", "b"}
+    with pytest.raises(ValueError, match="severity"):
+        anomaly.reconstruction_error(df.withColumn("severity", F.lit("x")), ["error", "b", "c"])
+    assert anomaly.reconstruction_error(df.where("false"), ["error", "b", "c"]).count() == 0
