@@ -10,7 +10,8 @@ Every vector lies in the list of its nearest centre; centres are fitted on a bou
 `SAMPLE` vectors and `SAMPLE_BYTES` of each length). The k-th best inner product of a query with that sample is one that
 its k-th nearest reaches at least. A query goes to the lists that may hold such a product: that of the
 centre, and a share (`Lists.reach`, at most 1) of the product of the query's length and the distance between the
-centre and the list's farthest vector. That share is a tenth more than any of the sample's own nearest pairs needs. Long lists are dealt into blocks, and so are the queries of a list; a vector is copied
+centre and the list's farthest vector. That share is what `SURE` of the sample's own nearest pairs need; it is
+measured again by the tests, as recall. Long lists are dealt into blocks, and so are the queries of a list; a vector is copied
 only for each `QUERIES` queries that its list gets. The answers of all tasks meet by query. Equal vectors
 count once in a block, with their k + 1 smallest ids.
 
@@ -40,8 +41,8 @@ ERRORS = 3.0
 VECTORS, QUERIES = 8192, 4096
 #: Vectors to a list and lists to a length; the sample's vectors and bytes.
 PER_LIST, LISTS, SAMPLE, SAMPLE_BYTES, LENGTHS = 512, 4096, 1 << 14, 1 << 25, 64
-#: Nearest pairs of each of 512 vectors of the sample that fix the share of the distance that counts.
-CALIBRATE = 20
+#: Nearest pairs of each of 512 vectors of the sample that fix the share of the distance that counts, and how many of the pairs it covers.
+CALIBRATE, SURE = 20, 0.97
 
 
 def rotations(dim: int, seed: int = 17, count: int = ROTATIONS) -> np.ndarray:
@@ -77,7 +78,7 @@ def valid(vector: Column) -> Column:
 
 
 class Lists(NamedTuple):
-    """Centres, the sample they come from, and the largest share of |query| * |vector - centre| by which a near vector may exceed its centre."""
+    """Centres, the sample they come from, and the share of |query| * |farthest vector - centre| by which what a query has at least may exceed its product with the centre."""
 
     centres: np.ndarray
     ids: np.ndarray
@@ -120,15 +121,16 @@ def fit_lists(ids: np.ndarray, sample: np.ndarray, count: int, rounds: int = 8,
         n = np.bincount(near, minlength=len(out.centres))
         total = np.stack([np.bincount(near, column, len(out.centres)) for column in sample.T], axis=1)
         out.centres[n > 0] = total[n > 0] / n[n > 0, None]
-    near, _ = out.of(sample)
+    near, off = out.of(sample)
+    far = np.zeros(len(out.centres))
+    np.maximum.at(far, near, off)
     some = rng.permutation(len(ids))[:512]
-    score = out.scores(sample[some], ids[some])
-    q = np.repeat(np.arange(len(some)), min(CALIBRATE, len(ids)))
-    v = np.argsort(-score, axis=1)[:, :CALIBRATE].ravel()
-    off = sample[v] - out.centres[near[v]]
-    size = np.linalg.norm(sample[some[q]], axis=1) * np.linalg.norm(off, axis=1)
-    share = (sample[some[q]] * off).sum(axis=1) / np.maximum(size, 1e-300)
-    return out._replace(reach=min(1.0, 1.1 * max(float(share.max(initial=0)), 1 / np.sqrt(sample.shape[1]))))
+    asked = sample[some]
+    v = np.argsort(-out.scores(asked, ids[some]), axis=1)[:, :CALIBRATE]
+    least = (asked * sample[v[:, -1]]).sum(axis=1)
+    more = least[:, None] - np.einsum("qd,qkd->qk", asked, out.centres[near[v]])
+    share = more / np.maximum(np.linalg.norm(asked, axis=1)[:, None] * far[near[v]], 1e-300)
+    return out._replace(reach=float(np.clip(np.quantile(share, SURE), 0, 1)) if share.size else 1.0)
 
 
 def nearest_in_block(vectors: np.ndarray, ids: np.ndarray, packed: tuple, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +143,10 @@ def nearest_in_block(vectors: np.ndarray, ids: np.ndarray, packed: tuple, querie
     q, v = np.nonzero(high >= np.maximum(floor, least)[:, None])
     keep = query_ids[q] != ids[v]
     q, v = q[keep], v[keep]
+    # exactly, and without what the sample alone pushes out of the k nearest
     score = np.concatenate([np.einsum("ij,ij->i", queries[q[a : a + 65536]], vectors[v[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0)])
+    near = score >= least[q]
+    q, v, score = q[near], v[near], score[near]
     order = np.lexsort((ids[v], -score, q))
     q, v, score = q[order], v[order], score[order]
     first = np.searchsorted(q, q, "left")
