@@ -2,8 +2,8 @@
 
 A text is cut at single spaces between two characters that are not white space. Both vocabularies here
 start a new token at each such place, so the pieces' ids, one after another, are the ids of the whole
-text; the tokenizer sees each different piece once, and a worker keeps what it has seen (at most
-`keep` pieces of at most LONGEST characters) for the texts and tasks that follow.
+text; a worker keeps what it has seen for the texts and tasks that follow: two generations of at most
+`keep` pieces of at most LONGEST characters. A full one becomes the older, whose pieces come back when they are met again.
 """
 
 from __future__ import annotations
@@ -30,13 +30,14 @@ class Known(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         alone = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: alone.pre_tokenize_str(chr(i))[0][0] for i in range(32, 256) if i == 32 or PLAIN.fullmatch(chr(i))}
         self.tokenizer, self.tokenize, self.keep, self.spaced = tokenizer, tokenizer.model.tokenize, keep, tokenizer.normalizer is None
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.keep:
-            self.clear()
+        if (ids := self.older.pop(piece, None)) is not None:
+            return self._keep(piece, ids)
         if PLAIN.fullmatch(piece) and (self.spaced or piece[0] != " "):
             # the model alone: the steps before it only change case and spelling of bytes here
             ids = [t.id for t in self.tokenize((piece if self.spaced else piece.lower()).translate(self.letters))]
@@ -49,12 +50,15 @@ class Known(dict):
 
     def _keep(self, piece: str, ids: bytes) -> bytes:
         if len(piece) <= LONGEST:
+            if len(self) >= self.keep:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
 
 class Encoder:
-    def __init__(self, name: str, keep: int = 500_000):
+    def __init__(self, name: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
