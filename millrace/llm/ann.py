@@ -12,7 +12,7 @@ its k-th nearest reaches at least. A query goes to the lists that may hold such
 centre, and a share (`Lists.reach`, at most 1) of the product of the query's length and the distance between the
 centre and the list's farthest vector. That share is what `SURE` of the sample's own nearest pairs need; it is
 measured again by the tests, as recall. Long lists are dealt into blocks, and so are the queries of a list; a vector is copied
-only for each `QUERIES` queries that its list gets. The answers of all tasks meet by query. Equal vectors
+only for each `QUERIES` queries that its list gets. The answers of all tasks and those from the sample meet by query. Equal vectors
 count once in a block, with their k + 1 smallest ids.
 
 Vectors that are null, empty, zero or hold null or non-finite values take no part, neither as queries
@@ -96,13 +96,14 @@ class Lists(NamedTuple):
         score[query_ids[:, None] == self.ids] = -np.inf
         return score
 
-    def least(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> np.ndarray:
-        """An inner product that each query's k-th nearest has at least."""
-        if len(self.ids) <= k:
-            return np.full(len(queries), -np.inf)
+    def best(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of each query's k best in the sample, their inner products (-inf: its own id), and what its k-th nearest has at least."""
         score = self.scores(queries, query_ids)
-        best = np.partition(score, len(self.ids) - k, axis=1)[:, len(self.ids) - k]
-        return best - 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(self.sample, axis=1).max()
+        top = np.argpartition(-score, k - 1, axis=1)[:, :k] if len(self.ids) > k else np.broadcast_to(np.arange(len(self.ids)), score.shape)
+        exact = np.einsum("qd,qkd->qk", queries, self.sample[top])
+        exact[np.isneginf(np.take_along_axis(score, top, axis=1))] = -np.inf
+        least = exact.min(axis=1) if len(self.ids) > k else np.full(len(queries), -np.inf)
+        return top, exact, least - 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(self.sample, axis=1).max(initial=0)
 
     def reached(self, queries: np.ndarray, least: np.ndarray, far: np.ndarray) -> np.ndarray:
         """(query, list): whether a list whose farthest vector is so far from the centre may hold a product of `least` or more."""
@@ -166,8 +167,8 @@ def _models(base: DataFrame) -> dict[int, Lists]:
     sizes = {r["dim"]: r["n"] for r in base.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()}
     wanted = {dim: min(SAMPLE, SAMPLE_BYTES // (8 * dim)) / n for dim, n in sizes.items()}
     rate = F.coalesce(*[F.when(F.col("dim") == d, F.lit(r)) for d, r in wanted.items()], F.lit(0.0))
-    rows = base.where(uniform(F.lit(3), F.col("id"), F.col("v")) < rate).select("id", "dim", "v").distinct().collect()
-    dims, ids = np.array([r["dim"] for r in rows], np.int64), np.array([r["id"] if r["id"] is not None else -1 for r in rows], np.int64)
+    rows = base.where(F.col("id").isNotNull() & (uniform(F.lit(3), F.col("id"), F.col("v")) < rate)).select("id", "dim", "v").distinct().collect()
+    dims, ids = np.array([r["dim"] for r in rows], np.int64), np.array([r["id"] for r in rows], np.int64)
     return {dim: fit_lists(ids[at], x, min(LISTS, -(-sizes[dim] // PER_LIST))) for dim, at, x in _arrays([r["v"] for r in rows], dims)}
 
 
@@ -193,23 +194,24 @@ def _index(base: DataFrame, models: dict[int, Lists]) -> DataFrame:
 
 
 def _probes(asked: DataFrame, models: dict[int, Lists], far: dict[int, np.ndarray], k: int) -> DataFrame:
-    """id, v, dim, list, least: a row for each list that a query goes to."""
+    """id, v, dim, least, lists that the query goes to, and its nearest in the sample (near, scores)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 rows, ids = part.column(1).to_pylist(), part.column(0).fill_null(-1).to_numpy()
-                least, lists = np.full(len(rows), -np.inf), [[-1]] * len(rows)
+                least, lists, near, scores = np.full(len(rows), -np.inf), [[-1]] * len(rows), [[]] * len(rows), [[]] * len(rows)
                 for dim, at, x in _arrays(rows, np.array([len(r) for r in rows], np.int64)):
                     if dim in models:
-                        least[at] = models[dim].least(x, ids[at], k)
-                        for i, hit in zip(at.tolist(), models[dim].reached(x, least[at], far[dim]), strict=True):
+                        top, score, least[at] = models[dim].best(x, ids[at], k)
+                        for i, hit, t, s in zip(at.tolist(), models[dim].reached(x, least[at], far[dim]), top, score, strict=True):
                             lists[i] = np.flatnonzero(hit).tolist()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "dim", "least", "lists"])
+                            near[i], scores[i] = models[dim].ids[t[s > -np.inf]].tolist(), s[s > -np.inf].tolist()
+                more = [pa.array(least), pa.array(lists, pa.list_(pa.int32())), pa.array(near, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], ["id", "v", "dim", "least", "lists", "near", "scores"])
 
-    found = asked.mapInArrow(run, "id long, v array<double>, dim int, least double, lists array<int>")
-    return found.select("id", "v", "dim", "least", F.explode("lists").alias("list"))
+    return asked.mapInArrow(run, "id long, v array<double>, dim int, least double, lists array<int>, near array<long>, scores array<double>")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -223,7 +225,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     for r in stats.where("list >= 0").collect():  # at most LISTS rows for each of LENGTHS lengths
         far[r["dim"]][r["list"]] = r["far"]
     asked = base.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    probes = staged(_probes(asked, models, far, k), "probes")
+    sent = staged(_probes(asked, models, far, k), "probes")
+    probes = sent.select("id", "v", "dim", "least", F.explode("lists").alias("list"))
 
     blocks = stats.select("dim", "list", F.ceil(F.col("n") / VECTORS).cast("int").alias("v_blocks")).join(probes.groupBy("dim", "list").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("q_blocks")), ["dim", "list"])
     blocks = staged(blocks, "blocks")
@@ -251,5 +254,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    # the sample's vectors count where their list was not asked
+    known = sent.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "scores")).alias("s")).select("query_id", F.col("s.near").alias("vec_id"), F.col("s.scores").alias("score"))
+    both = near.withColumn("again", F.lit(0)).unionByName(known.withColumn("again", F.lit(1)))
+    near = both.withColumn("first", F.min("again").over(Window.partitionBy("query_id", "vec_id"))).where(F.col("again") == F.col("first")).drop("again", "first")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
