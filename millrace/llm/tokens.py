@@ -58,7 +58,7 @@ class Known(dict):
 
 
 class Encoder:
-    def __init__(self, name: str, keep: int = 700_000):
+    def __init__(self, name: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
