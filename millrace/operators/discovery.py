@@ -305,8 +305,7 @@ def sequential_patterns(seqs: DataFrame, max_len: int = 5, min_support: float =
 
     support = occurrences / sequences (it can exceed 1; count_mode "sequences" counts each sequence once).
     Confidence is relative to the pattern without its last event; patterns of two, whose prefix is one event
-    and is not counted, have confidence = support. Longer patterns are only counted where their prefix and
-    suffix have support, so the number of rows falls with the length.
+    and is not counted, have confidence = support. Every length up to max_len is counted in full.
     """
     total = seqs.count()
     schema_empty = seqs.select(F.lit("").alias("pattern"), F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("support"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("lift"), F.lit(0.0).alias("avg_gap"))
