@@ -25,7 +25,7 @@ RANGE_BITS, FANOUT_BITS = 16, 4
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """page_id and record: each page as one WARC response record."""
+    """page_id and record: each page as one WARC resource record."""
     body = F.coalesce("html", F.lit(""))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")),
