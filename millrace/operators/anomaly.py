@@ -1,7 +1,7 @@
 """Anomaly detectors and what follows them: ensembles, regions, alerts, contributions.
 
-Statistical detectors are window expressions per key. Forest, local outlier factor and one-class
-boundary fit on a bounded sample of each key and score all rows in Arrow batches.
+Statistical detectors are window expressions per key. Forest and one-class boundary fit on a bounded
+sample of each key and score all rows in Arrow batches; local outlier factors search all rows, cell by cell.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
+from millrace.operators.graph import cut
+
 TIE = "measurement_id"
 
 
@@ -192,51 +194,90 @@ def isolation_forest(df: DataFrame, cols: list[str], key: str, contamination: fl
     return out.withColumn("severity", severity)
 
 
-def lof_of(train: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Local outlier factors of x against train; a row equal to one of train does not count itself."""
-
-    def near(q: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
-        ds, ids = [], []
-        for a in range(0, len(q), 256):
-            d = np.sqrt(np.maximum((q[a : a + 256] ** 2).sum(1)[:, None] + (train**2).sum(1)[None] - 2 * q[a : a + 256] @ train.T, 0))
-            if own:
-                d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-            i = np.argpartition(d, k - 1, axis=1)[:, :k]
-            dk = np.take_along_axis(d, i, axis=1)
-            ds.append(dk)
-            ids.append(i)
-        return np.concatenate(ds), np.concatenate(ids)
-
-    k = min(k, len(train) - 1)
-    d, i = near(train, True)
-    reach = d.max(axis=1)
-    density = 1 / np.maximum(np.maximum(reach[i], d).mean(axis=1), 1e-10)
-    dq, iq = (d, i) if x is train else near(x, False)
-    own = density if x is train else 1 / np.maximum(np.maximum(reach[iq], dq).mean(axis=1), 1e-10)
-    return density[iq].mean(axis=1) / own
-
-
-def lof(df: DataFrame, cols: list[str], key: str, k: int = 20, sample: int = 2000, contamination: float = 0.05) -> DataFrame:
-    """lof and is_anomaly of all rows, against at most `sample` rows of their key (all of them for smaller keys)."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n__": [len(pdf)], "train__": [pdf.sort_values(TIE)[cols].to_numpy(np.float64).tobytes()], "ids__": [pdf.sort_values(TIE)[TIE].to_numpy(np.int64).tobytes()]})
-
-    trains = sampled(df.select(key, TIE, *cols), [key], sample).groupBy(key).applyInPandas(keep, f"{key} {kind}, n__ int, train__ binary, ids__ binary").where("n__ > 2")
-
-    def factor(rows: pd.DataFrame, model: pd.Series) -> np.ndarray:
-        t, known = np.frombuffer(model["train__"]).reshape(-1, len(cols)), np.frombuffer(model["ids__"], np.int64)
-        x, ids, out = rows[cols].to_numpy(float), rows[TIE].to_numpy(np.int64), np.zeros(len(rows))
-        inside = np.isin(ids, known)
-        out[inside] = lof_of(t, t, k)[np.searchsorted(known, ids[inside])]
-        if (~inside).any():
-            out[~inside] = lof_of(t, x[~inside], k)
-        return out
-
-    scored = scored_by_model(df, trains, key, "lof", factor)
-    cut = scored.groupBy(key).agg(F.percentile_approx("lof", F.lit(1 - contamination), F.lit(10_000)).alias("cut__"))
-    return scored.join(cut, key).withColumn("is_anomaly", F.col("lof") > F.col("cut__")).drop("cut__")
+def nearest(q: np.ndarray, t: np.ndarray, weight: np.ndarray, k: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row of q, row of t, squared distance and weight used, for the nearest rows of t until their weights reach k. Equal distances go by the row of t; with own, q is t and a row counts one time less for itself."""
+    out, keep = [], min(k + own, len(t))
+    for a in range(0, len(q), 256):
+        part = q[a : a + 256]
+        d = np.zeros((len(part), len(t)))
+        for c in range(t.shape[1]):
+            d += (part[:, c, None] - t[None, :, c]) ** 2
+        r, i = np.nonzero(d <= np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep])
+        order = np.lexsort((i, d[r, i], r))
+        r, i = r[order], i[order]
+        w = weight[i] - (own & (i == r + a))
+        before = np.cumsum(w) - w
+        used = np.minimum(w, k - (before - before[np.searchsorted(r, r)]))
+        hit = used > 0
+        out.append((r[hit] + a, i[hit], d[r, i][hit], used[hit]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def neighbor_links(points: DataFrame, cols: list[str], key: str, k: int, cell: int = 4096) -> DataFrame:
+    """key, id, near, d, w: the k nearest rows of each point among all points of its key (columns key, id, w rows that are equal, cols), w of them at near.
+
+    Points lie in cells of about `cell`, cut along the first column. A point searches its own cell, which bounds
+    the distance to its k-th neighbour, and then only the cells whose box comes within that bound: exact, with
+    work in proportion to the points where the bound is short against a cell.
+    """
+    kind, id_kind = points.schema[key].dataType.simpleString(), points.schema["id"].dataType.simpleString()
+    parts = max(1, -(-points.count() // cell))
+    points = cut(points.repartitionByRange(parts, key, cols[0], "id").withColumn("cell", F.spark_partition_id()))
+    schema = f"{key} {kind}, id {id_kind}, near {id_kind}, d2 double, w long"
+
+    def links(q: pd.DataFrame, t: pd.DataFrame, own: bool) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return pd.DataFrame({c: [] for c in (key, "id", "near", "d2", "w")})
+        t = t.sort_values("id")
+        q = t if own else q
+        r, i, d, w = nearest(q[cols].to_numpy(float), t[cols].to_numpy(float), t["w"].to_numpy(np.int64), k, own)
+        if not own:
+            within = d <= q["reach"].to_numpy()[r]
+            r, i, d, w = r[within], i[within], d[within], w[within]
+        return pd.DataFrame({key: t[key].iloc[0], "id": q["id"].to_numpy()[r], "near": t["id"].to_numpy()[i], "d2": d, "w": w})
+
+    at_home = cut(points.groupBy(key, "cell").applyInPandas(lambda t: links(t, t, True), schema))
+    reach = at_home.groupBy(key, "id").agg(F.when(F.sum("w") >= k, F.max("d2")).alias("reach"))
+    known = cut(points.join(reach, [key, "id"], "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf")))))
+    gap = lambda lo, hi, lo2, hi2: F.greatest(lo2 - hi, lo - hi2, F.lit(0.0)) ** 2
+    sides = [f(c).alias(f"{n}{j}__") for j, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = cut(known.groupBy(key, "cell").agg(*sides, F.max("reach").alias("most__")))
+    other = boxes.select(key, F.col("cell").alias("to"), *[F.col(f"{n}{j}__").alias(f"{n}{j}_to__") for j in range(len(cols)) for n in ("lo", "hi")])
+    span = lambda j: (F.col(f"lo{j}_to__"), F.col(f"hi{j}_to__"))
+    total = lambda gaps: reduce(Column.__add__, gaps)
+    meet = boxes.join(other, key).where((F.col("cell") != F.col("to")) & (total([gap(F.col(f"lo{j}__"), F.col(f"hi{j}__"), *span(j)) for j in range(len(cols))]) <= F.col("most__")))
+    meet = meet.select(key, "cell", "to", *other.columns[2:])
+    visits = known.join(meet, [key, "cell"]).where(total([gap(F.col(c), F.col(c), *span(j)) for j, c in enumerate(cols)]) <= F.col("reach"))
+    visits = cut(visits.select(key, F.col("to").alias("cell"), "id", "reach", *cols))
+    runs = visits.groupBy(key, "cell").agg(F.ceil(F.count("*") / RUN).alias("runs__"))
+    q = visits.join(runs, [key, "cell"]).withColumn("run__", F.pmod(F.xxhash64(F.lit(41), "id"), F.col("runs__"))).drop("runs__")
+    t = points.join(runs, [key, "cell"]).withColumn("run__", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs__") - 1))).drop("runs__")
+    abroad = q.groupBy(key, "cell", "run__").cogroup(t.groupBy(key, "cell", "run__")).applyInPandas(lambda a, b: links(a, b, False), schema)
+    before = F.coalesce(F.sum("w").over(Window.partitionBy(key, "id").orderBy("d2", "near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    best = at_home.unionByName(abroad).withColumn("w", F.least(F.col("w"), k - before)).where("w > 0")
+    return best.select(key, "id", "near", F.sqrt("d2").alias("d"), "w")
+
+
+def lof(df: DataFrame, cols: list[str], key: str, k: int = 20, contamination: float = 0.05, cell: int = 4096) -> DataFrame:
+    """lof and is_anomaly of all rows: the local outlier factor among all rows of the row's key, and whether it is above the key's (1 - contamination) quantile.
+
+    Equal rows are one point that counts as often as it occurs. Keys of up to k rows use all their rows; a key's
+    only row has the factor 1. Rows with a null or NaN value, or without a key, have no factor and are no neighbours.
+    """
+    _fresh(df, "lof", "is_anomaly")
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols]) & F.col(key).isNotNull()
+    names = [f"x{j}__" for j in range(len(cols))]
+    rows = df.withColumns({n: F.when(whole, F.col(c).cast("double")) for n, c in zip(names, cols, strict=True)})
+    points = cut(rows.where(whole).groupBy(key, *names).agg(F.min(TIE).alias("id"), F.count("*").alias("w")))
+    links = cut(neighbor_links(points, names, key, k, cell))
+    mean = lambda c: F.sum(F.col("w") * c) / F.sum("w")
+    reach = links.groupBy(key, F.col("id").alias("near")).agg(F.max("d").alias("reach"))
+    density = cut(links.join(reach, [key, "near"]).groupBy(key, "id").agg((1 / F.greatest(mean(F.greatest("reach", "d")), F.lit(1e-10))).alias("density")))
+    around = links.join(density.withColumnRenamed("id", "near"), [key, "near"]).groupBy(key, "id").agg(mean(F.col("density")).alias("around"))
+    factors = points.join(around.join(density, [key, "id"]), [key, "id"], "left").select(key, *names, F.coalesce(F.col("around") / F.col("density"), F.lit(1.0)).alias("lof"))
+    scored = rows.join(factors, [key, *names], "left")
+    limit = scored.groupBy(key).agg(F.percentile_approx("lof", F.lit(1 - contamination), F.lit(10_000)).alias("cut__"))
+    return scored.join(limit, key, "left").select(*df.columns, "lof", F.coalesce(F.col("lof") > F.col("cut__"), F.lit(False)).alias("is_anomaly"))
 
 
 def one_class_boundary(df: DataFrame, cols: list[str], nu: float = 0.05, features: int = 64, sample: int = 10_000, seed: int = 5) -> DataFrame:

@@ -38,12 +38,22 @@ def cep_consecutive_alarms(alarms: DataFrame, n: int = 5, seconds: int = 300) ->
 
 
 def cep_drift(df: DataFrame, seconds: int = 600, sigma: float = 2.0, least: int = 10) -> DataFrame:
-    """At least `least` earlier points: the means of both halves differ by sigma sample standard deviations or more."""
-    w = _trailing(["equipment_id", "param_id"], seconds)
-    x = df.withColumn("n__", F.count("value").over(w)).withColumn("s__", F.stddev_samp("value").over(w)).withColumn("vs__", F.when(F.col("n__") > least, F.collect_list(F.struct(micros(F.col("time")).alias("t"), "measurement_id", "value")).over(w)))
-    x = x.where((F.col("n__") > least) & (F.col("s__") > 0)).withColumn("vs__", F.transform(F.array_sort("vs__"), lambda v: v["value"])).withColumn("mid__", F.floor(F.size("vs__") / 2).cast("int"))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    x = x.withColumn("diff__", mean(F.slice("vs__", F.col("mid__") + 1, F.size("vs__") - F.col("mid__"))) - mean(F.slice("vs__", F.lit(1), F.col("mid__"))))
+    """At least `least` earlier points: the means of both halves of the window differ by sigma sample standard deviations or more.
+
+    No window is gathered: with C the running sum of the values less their key's mean, the first half's sum is C at
+    its last place less C before its first, so each row looks up C at one place. Rows of one time count as one
+    place's peers in the window, by measurement_id within the halves; rows without a value take no part.
+    """
+    keys = ["equipment_id", "param_id"]
+    w, order = _trailing(keys, seconds), Window.partitionBy(*keys).orderBy(micros(F.col("time")), "measurement_id")
+    upto = Window.partitionBy(*keys).orderBy(micros(F.col("time"))).rangeBetween(Window.unboundedPreceding, 0)
+    x = df.where(F.col("value").isNotNull()).withColumn("v__", F.col("value") - F.avg("value").over(Window.partitionBy(*keys)))
+    x = x.withColumns({"i__": F.row_number().over(order), "at__": F.sum("v__").over(order.rowsBetween(Window.unboundedPreceding, 0)), "end__": F.count("*").over(upto), "sum__": F.sum("v__").over(upto)})
+    x = x.withColumns({"n__": F.count("*").over(w), "s__": F.stddev_samp("value").over(w), "all__": F.sum("v__").over(w)})
+    first = F.floor(F.col("n__") / 2)
+    middle = x.select(*keys, F.col("i__").cast("long").alias("mid__"), F.col("at__").alias("half__"))
+    x = x.where((F.col("n__") > least) & (F.col("s__") > 0)).withColumn("mid__", F.col("end__") - F.col("n__") + first).drop("i__", "at__").join(middle, [*keys, "mid__"])
+    x = x.withColumn("diff__", (F.col("sum__") - F.col("half__")) / (F.col("n__") - first) - (F.col("half__") - F.col("sum__") + F.col("all__")) / first)
     x = x.withColumn("sigmas__", F.abs("diff__") / F.col("s__")).where(F.col("sigmas__") >= sigma)
     direction = F.when(F.col("diff__") > 0, "UP").otherwise("DOWN")
     return _alert(x, "DRIFT_DETECTED", "measurement_id", F.when(F.col("sigmas__") < 3, "WARNING").otherwise("MAJOR"), F.least(F.lit(1.0), F.col("sigmas__") / 4), F.array("measurement_id"), F.create_map(F.lit("param_id"), F.col("param_id"), F.lit("direction"), direction, F.lit("count"), F.col("n__").cast("string")))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -16,6 +14,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.graph import cut
+
 
 def train_failure_model(df: DataFrame, cols: list[str], label: str = "label", kind: str = "rf", seed: int = 42) -> PipelineModel:
     """A forest or boosted trees with balanced class weights."""
@@ -91,55 +91,37 @@ def optimal_conditions(df: DataFrame, model: PipelineModel, cols: list[str], tar
     return scored.orderBy(gap, "id").select(*cols, "prediction").limit(k)
 
 
-def fit_curve(t: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
-    """a, b, c of y = a exp(b t) + c by least squares (Gauss-Newton with damping), and r squared."""
-    span = max(np.ptp(t), 1e-9)
-    u = (t - t.min()) / span
-    best = None
-    for b0 in (-3.0, -1.0, -0.1, 0.1, 1.0, 3.0):
-        e = np.exp(b0 * u)
-        a0, c0 = np.linalg.lstsq(np.stack([e, np.ones_like(e)], axis=1), y, rcond=None)[0]
-        p, lam = np.array([a0, b0, c0]), 1e-3
-        err = float(((a0 * e + c0 - y) ** 2).sum())
-        for _ in range(60):
-            e = np.exp(np.clip(p[1] * u, -50, 50))
-            r = p[0] * e + p[2] - y
-            j = np.stack([e, p[0] * u * e, np.ones_like(e)], axis=1)
-            h = j.T @ j
-            step = np.linalg.lstsq(h + lam * np.diag(np.diag(h) + 1e-12), -j.T @ r, rcond=None)[0]
-            q = p + step
-            now = float(((q[0] * np.exp(np.clip(q[1] * u, -50, 50)) + q[2] - y) ** 2).sum())
-            if now < err:
-                done = err - now < 1e-12 * max(err, 1e-12)
-                p, err, lam = q, now, lam / 3
-                if done:
-                    break
-            else:
-                lam *= 4
-                if lam > 1e9:
-                    break
-        if best is None or err < best[0]:
-            best = (err, p)
-    err, (a, b, c) = best
-    b = b / span
-    total = float(((y - y.mean()) ** 2).sum())
-    return float(a * np.exp(-b * t.min())), float(b), float(c), 1 - err / total if total > 0 else 0.0
-
-
-def fit_degradation(df: DataFrame, key: str = "equipment_id", hours: str = "hours", health: str = "health", most: int = 10_000) -> DataFrame:
-    """Per key: a, b, c, r2 of health = a exp(b hours) + c and the last hour. Keys with more rows than `most` are averaged in `most` equal steps of time before they are gathered."""
-    ends = df.groupBy(key).agg(F.min(hours).alias("lo__"), F.max(hours).alias("hi__"), F.count("*").alias("n__"))
-    step = F.when(F.col("n__") > most, F.floor((F.col(hours) - F.col("lo__")) / F.nullif(F.col("hi__") - F.col("lo__"), F.lit(0.0)) * most)).otherwise(F.col(hours))
-    thin = df.join(ends, key).groupBy(key, step.alias("s__")).agg(F.avg(hours).alias("t"), F.avg(health).alias("y"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values("t")
-        if len(pdf) < 4:
-            return pd.DataFrame({key: [], "a": [], "b": [], "c": [], "r2": [], "last_hour": []})
-        a, b, c, r2 = fit_curve(pdf["t"].to_numpy(float), pdf["y"].to_numpy(float))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "a": [a], "b": [b], "c": [c], "r2": [r2], "last_hour": [float(pdf["t"].max())]})
-
-    return thin.groupBy(key).applyInPandas(work, f"{key} {df.schema[key].dataType.simpleString()}, a double, b double, c double, r2 double, last_hour double")
+#: Growth over the whole span, exp(bend), that a curve may start its search from; one decaying and one rising way for each size.
+BENDS = [*[-60 / 2**i for i in range(10)], *[60 / 2**i for i in reversed(range(10))]]
+
+
+def fit_degradation(df: DataFrame, key: str = "equipment_id", hours: str = "hours", health: str = "health", rounds: int = 7) -> DataFrame:
+    """Per key: a, b, c, r2 of health = a exp(b hours) + c by least squares over all its rows, and the last hour.
+
+    For a given b the best a and c are a regression on the exponential, so only b is searched: each round fits
+    every key for a row of bends at once, by sums that combine before the shuffle, and keeps the two steps around
+    the best. Nothing is gathered. Rows with a null take no part; keys with fewer than 4 rows have no curve; a flat
+    one has r2 0.
+    """
+    rows = df.select(key, F.col(hours).cast("double").alias("t"), F.col(health).cast("double").alias("y")).dropna()
+    ends = rows.groupBy(key).agg(F.min("t").alias("lo"), F.max("t").alias("last_hour"), F.count("*").alias("n")).where("n > 3")
+    ends = ends.withColumn("span", F.greatest(F.col("last_hour") - F.col("lo"), F.lit(1e-9))).drop("n")
+    bends = cut(ends.withColumn("bends", F.array(*map(F.lit, BENDS))))
+    rows = cut(rows.join(bends.select(key, "lo", "span"), key).select(key, ((F.col("t") - F.col("lo")) / F.col("span")).alias("u"), "y"))
+    shape = lambda b: F.when(F.abs(b) < 1e-6, F.col("u")).otherwise(F.expm1(b * F.col("u")) / b) * F.exp(-F.greatest(b, F.lit(0.0)))
+    for _ in range(rounds):
+        n = len(BENDS)
+        fits = rows.join(bends.select(key, "bends"), key).groupBy(key).agg(F.array(*[F.coalesce(F.regr_r2("y", shape(F.col("bends")[j])), F.lit(-1.0)) for j in range(n)]).alias("fits"))
+        best = F.array_position("fits", F.array_max("fits")).cast("int")
+        near = bends.join(fits, key).withColumns({"from": F.col("bends")[F.greatest(best - 2, F.lit(0))], "to": F.col("bends")[F.least(best, F.lit(n - 1))]})
+        bends = cut(near.withColumn("bends", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("from") + (F.col("to") - F.col("from")) * i / (n - 1))).drop("fits", "from", "to"))
+    middle = (F.col("bends")[0] + F.col("bends")[len(BENDS) - 1]) / 2
+    bends = bends.withColumn("bend", F.when(F.abs(middle) < 1e-6, 1e-6).otherwise(middle))
+    g = shape(F.col("bend"))
+    line = rows.join(bends.select(key, "bend"), key).groupBy(key).agg(F.regr_slope("y", g).alias("s"), F.regr_intercept("y", g).alias("d"), F.when(F.var_pop("y") == 0, 0.0).otherwise(F.coalesce(F.regr_r2("y", g), F.lit(0.0))).alias("r2"), F.avg("y").alias("m"))
+    rise = F.coalesce(F.col("s"), F.lit(0.0)) * F.exp(-F.greatest("bend", F.lit(0.0))) / F.col("bend")
+    b = F.col("bend") / F.col("span")
+    return bends.join(line, key).select(key, (rise * F.exp(-b * F.col("lo"))).alias("a"), b.alias("b"), (F.coalesce("d", "m") - rise).alias("c"), "r2", "last_hour")
 
 
 def predict_rul(curves: DataFrame, threshold: float, horizon: int = 10_000) -> DataFrame:
@@ -187,20 +169,53 @@ def rank_algorithms(metrics: DataFrame, weights: dict[str, float], among: list[s
     return metrics.withColumn("weighted_score", total).withColumn("place", place)
 
 
-#: What each algorithm suits: rows needed, many features, trend, seasonality, autocorrelation, speed, explainability (0 to 1).
+#: Kind, least rows, complexity and interpretability of each algorithm; equal scores keep this order.
 ALGORITHMS = {
-    "zscore": (30, 0.3, 0.2, 0.2, 0.3, 1.0, 1.0), "cusum": (50, 0.3, 0.9, 0.3, 0.6, 1.0, 0.9), "spc": (25, 0.2, 0.7, 0.2, 0.5, 1.0, 1.0), "isolation_forest": (256, 0.9, 0.5, 0.5, 0.4, 0.8, 0.5),
-    "lof": (100, 0.7, 0.4, 0.4, 0.4, 0.4, 0.6), "one_class": (200, 0.7, 0.4, 0.4, 0.4, 0.5, 0.4), "reconstruction": (500, 1.0, 0.6, 0.6, 0.6, 0.6, 0.4), "ensemble": (500, 0.9, 0.8, 0.7, 0.7, 0.3, 0.3),
-}
-
-
-def recommend_algorithms(chars: DataFrame, keys: list[str], speed: float = 0.5, explain: float = 0.5) -> DataFrame:
-    """Suitability of each algorithm for each profiled data set, with its place."""
-    table = F.array(*[F.struct(F.lit(n).alias("algorithm"), *[F.lit(float(x)).alias(c) for c, x in zip(("need", "wide", "trend", "season", "auto", "fast", "clear"), v, strict=True)]) for n, v in ALGORITHMS.items()])
-    x = chars.select(*keys, "rows", "features", "has_trend", "seasonality", "autocorrelation", F.explode(table).alias("a"))
-    score = (
-        F.when(F.col("rows") >= F.col("a.need"), 1.0).otherwise(F.col("rows") / F.col("a.need")) + F.col("a.wide") * F.least(F.col("features") / 10, F.lit(1.0)) + F.col("a.trend") * F.col("has_trend").cast("double")
-        + F.col("a.season") * F.col("seasonality").cast("double") + F.col("a.auto") * F.coalesce("autocorrelation", F.lit(0.0)) + speed * F.col("a.fast") + explain * F.col("a.clear")
-    )
-    out = x.select(*keys, "a.algorithm", score.alias("suitability"))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("suitability").desc(), "algorithm")))
+    "Z-Score Detector": ("statistical", 100, "low", "high"),
+    "CUSUM Detector": ("statistical", 100, "low", "high"),
+    "SPC Control Chart Detector": ("statistical", 200, "low", "high"),
+    "Isolation Forest": ("ml", 500, "medium", "medium"),
+    "Local Outlier Factor": ("ml", 300, "medium", "medium"),
+    "One-Class SVM": ("ml", 300, "medium", "low"),
+    "AutoEncoder": ("deep_learning", 5000, "high", "low"),
+    "LSTM AutoEncoder": ("deep_learning", 10000, "high", "low"),
+}
+#: Points for complexity and for interpretability.
+EASE = {"low": 1.0, "medium": 0.6, "high": 0.3}
+CLARITY = {"high": 1.0, "medium": 0.6, "low": 0.3}
+#: Weights where the caller names none.
+PRIORITIES = {"speed": 0.2, "accuracy": 0.4, "interpretability": 0.2, "early_detection": 0.2}
+#: What a data set's profile adds to an algorithm, by its name or else by its kind.
+BONUSES = {
+    "autocorrelation > 0.5": {"LSTM AutoEncoder": 0.3, "CUSUM Detector": 0.2, "statistical": 0.1},
+    "mean_cv > 0.3": {"deep_learning": 0.1, "Isolation Forest": 0.1, "Local Outlier Factor": 0.1},
+    "mean_cv <= 0.3": {"statistical": 0.1},
+    "anomaly_ratio < 0.01": {"Isolation Forest": 0.15},
+    "features > 20": {"Isolation Forest": 0.15, "deep_learning": 0.1, "statistical": -0.1},
+    "pair_correlation > 0.5": {"deep_learning": 0.1},
+}
+EARLY = {"CUSUM Detector": 0.1, "LSTM AutoEncoder": 0.1}
+
+
+def recommend_algorithms(chars: DataFrame, keys: list[str], priorities: dict[str, float] | None = None) -> DataFrame:
+    """algorithm, suitability (0 to 1), reasons, warnings and place for each row of data_characteristics().
+
+    Up to 0.2 for enough rows; ease and clarity weigh by the priorities (below a speed of 0.3 more complex
+    algorithms gain); the profile adds BONUSES, named in reasons. A null in the profile adds nothing; accuracy
+    has a weight but no measure of its own before anything is run.
+    """
+    p, about = PRIORITIES | (priorities or {}), ["rows", "features", "autocorrelation", "mean_cv", "anomaly_ratio", "pair_correlation"]
+    choices = []
+    for name, (kind, need, complexity, clarity) in ALGORITHMS.items():
+        ease = EASE[complexity] if p["speed"] > 0.3 else 1 - EASE[complexity] / 2
+        fixed = ease * p["speed"] + CLARITY[clarity] * p["interpretability"] + (EARLY.get(name, 0.0) if p["early_detection"] > 0.3 else 0.0)
+        given = {on: by.get(name, by.get(kind, 0.0)) for on, by in BONUSES.items()}
+        score = F.least(F.col("rows") / need, F.lit(1.0)) * 0.2 + fixed + reduce(Column.__add__, [F.when(F.expr(on), x).otherwise(0.0) for on, x in given.items()])
+        named = lambda texts: F.array_compact(F.array(*[F.when(F.expr(on), F.lit(on)) for on in texts]))
+        enough = f"rows >= {need}"
+        choices.append(F.struct(
+            F.lit(name).alias("algorithm"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9).alias("suitability"), F.lit(len(choices)).alias("order__"),
+            named([enough, *[on for on, x in given.items() if x > 0]]).alias("reasons"), named([f"NOT {enough}", "anomaly_ratio > 0.1", *[on for on, x in given.items() if x < 0]]).alias("warnings"),
+        ))
+    out = chars.select(*keys, *about).select(*keys, F.inline(F.array(*choices)))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("suitability").desc(), "order__"))).drop("order__")

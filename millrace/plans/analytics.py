@@ -56,10 +56,14 @@ def isolation_forest(spark, d):
     return anomaly.isolation_forest(v.sensors(spark, d).withColumn("half", F.col("value") / 2 + F.col("measurement_id") % 7), ["value", "half"], "param_id", least=200).select("measurement_id", "decision", "is_anomaly", "severity")
 
 
-@query()
+@query(f"""WITH {M}, x AS (SELECT measurement_id AS id, param_id AS key, value AS a, CAST(measurement_id % 11 AS DOUBLE) AS b, min(measurement_id) OVER (PARTITION BY param_id, value, measurement_id % 11) AS first FROM m),
+near AS (SELECT id, n.i AS near, sqrt(n.d) AS d FROM (SELECT p.id, unnest(min(struct_pack(d := (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b), f := q.first, i := q.id), 20)) AS n FROM x p JOIN x q ON p.key = q.key AND p.id <> q.id GROUP BY p.id)),
+reach AS (SELECT id, max(d) AS r FROM near GROUP BY id), dense AS (SELECT n.id, 1 / greatest(avg(greatest(r, d)), 1e-10) AS e FROM near n JOIN reach ON reach.id = near GROUP BY n.id),
+around AS (SELECT n.id, avg(e) AS e FROM near n JOIN dense ON dense.id = near GROUP BY n.id), f AS (SELECT x.id, key, around.e / dense.e AS lof FROM x JOIN around USING (id) JOIN dense USING (id))
+SELECT id AS measurement_id, round(lof, 6) AS lof, lof > quantile_disc(lof, 0.95) OVER (PARTITION BY key) AS is_anomaly FROM f""")
 def lof(spark, d):
     m = v.sensors(spark, d).withColumn("k", (F.col("measurement_id") % 11).cast("double"))
-    return anomaly.lof(m, ["value", "k"], "param_id").select("measurement_id", "lof", "is_anomaly")
+    return rounded(anomaly.lof(m, ["value", "k"], "param_id").select("measurement_id", "lof", "is_anomaly"))
 
 
 @query()

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import documents, features, joins, predict
 from millrace.operators.graph import shared_folder
 from millrace.plans import views as v
 from millrace.plans.analytics import KEYS, W
-from millrace.plans.monitoring import _STATS, _found, _we_sql
+from millrace.plans.monitoring import _ALARMS, _DRIFT, _STATS, _THRESHOLD, _found, _we_sql
 from millrace.plans.views import EQ, M, query, rounded
 from millrace.sources import files, topics
 from millrace.streaming import jobs
@@ -117,10 +119,19 @@ def rank_algorithms(spark, d):
     return rounded(predict.rank_algorithms(m, {"f1": 0.5, "roc_auc": 0.5}).select("param_id", "weighted_score", "place"), 5)
 
 
-@query()
+_SHAPE = f"""{M}, x AS (SELECT *, lag(value) OVER {W}) AS l FROM m), c AS (SELECT equipment_id, param_id, count(*) AS n, avg(CAST(status = 'ALARM' AS INTEGER)) AS anomalies, abs(corr(value, l)) AS auto, stddev_samp(value) / abs(avg(value)) AS cv FROM x GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_SHAPE}, a(algorithm, kind, need, ease, clear, o) AS (VALUES ('Z-Score Detector', 's', 100, 1.0, 1.0, 1), ('CUSUM Detector', 's', 100, 1.0, 1.0, 2), ('SPC Control Chart Detector', 's', 200, 1.0, 1.0, 3),
+  ('Isolation Forest', 'm', 500, 0.6, 0.6, 4), ('Local Outlier Factor', 'm', 300, 0.6, 0.6, 5), ('One-Class SVM', 'm', 300, 0.6, 0.3, 6), ('AutoEncoder', 'd', 5000, 0.3, 0.3, 7), ('LSTM AutoEncoder', 'd', 10000, 0.3, 0.3, 8)),
+y AS (SELECT *, least(1e0, n / need) * 0.2e0 + (1 - ease / 2) * 0.2e0 + clear * 0.2e0
+  + CASE WHEN auto > 0.5 THEN CASE WHEN o = 8 THEN 0.3e0 WHEN o = 2 THEN 0.2e0 WHEN kind = 's' THEN 0.1e0 ELSE 0 END ELSE 0 END
+  + CASE WHEN cv > 0.3 THEN CASE WHEN kind = 'd' OR o IN (4, 5) THEN 0.1e0 ELSE 0 END WHEN kind = 's' THEN 0.1e0 ELSE 0 END + CASE WHEN anomalies < 0.01 AND o = 4 THEN 0.15e0 ELSE 0 END AS s FROM c, a)
+SELECT equipment_id, param_id, algorithm, round(least(1, s), 6) AS suitability, n >= need AS enough_rows, row_number() OVER (PARTITION BY equipment_id, param_id ORDER BY round(s, 9) DESC, o) AS place FROM y""")
 def recommend_algorithms(spark, d):
     m = v.sensors(spark, d).withColumn("is_anomaly", F.col("status") == "ALARM")
-    return rounded(predict.recommend_algorithms(features.data_characteristics(m, ["value"], KEYS), KEYS))
+    out = predict.recommend_algorithms(features.data_characteristics(m, ["value"], KEYS), KEYS)
+    return rounded(out.withColumn("enough_rows", ~F.exists("warnings", lambda w: w.startswith("NOT rows"))).drop("reasons", "warnings"))
 
 
 # --- documents and vectors --------------------------------------------------------------------------
@@ -295,10 +306,14 @@ def export_relationships(spark, d):
 # --- streams ----------------------------------------------------------------------------------------
 
 
+def _events(spark, d):
+    """Events as a stream of files. A pattern stands for one file or a folder of them."""
+    return spark.readStream.schema(v.load(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+
+
 def _stream(spark, d):
-    """The measurements as a stream of files. A pattern stands for one file or a folder of them."""
-    schema = v.load(spark, d, "events").schema
-    e = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
+    """The measurements as a stream."""
+    e = _events(spark, d)
     base = e.select(F.col("event_id").alias("measurement_id"), (F.col("user_id") % 10).cast("string").alias("equipment_id"), F.col("event_type").alias("param_id"), F.col("ts").alias("time"), "value", *[F.lit(x).alias(c) for c, x in (("usl", 150.0), ("lsl", 0.0), ("ucl", 200.0), ("lcl", -100.0), ("center", 50.0), ("sigma", 50.0))])
     return jobs.with_event_time(base.withColumn("status", v.fdc_status(F.col("value"), F.col("usl"), F.col("lsl"))))
 
@@ -333,9 +348,11 @@ def spc_stream(spark, d):
     return rounded(jobs.run_now(jobs.spc_stream(_stream(spark, d))).drop("batch_id").replace(float("nan"), None))
 
 
-@query(f"""WITH {M} SELECT 'CEP-THRESHOLD_BREACH-' || measurement_id AS alert_id, equipment_id, c AS points, round(least(1, c / 3), 6) AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY equipment_id, param_id ORDER BY time RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS c FROM m WHERE status <> 'NORMAL') WHERE c >= 3""")
+@query(f"WITH {M}, {v.A} SELECT alert_id, equipment_id, severity, confidence, points FROM ({_THRESHOLD} UNION ALL {_ALARMS} UNION ALL {_DRIFT})")
 def cep_stream(spark, d):
-    return rounded(jobs.run_now(jobs.cep_stream(_stream(spark, d), 3, 21_600)).drop("batch_id"))
+    m, a = _stream(spark, d), jobs.with_event_time(v.as_alarms(_events(spark, d)))
+    found = [jobs.run_now(x) for x in (jobs.cep_stream(m, 3, 21_600), jobs.cep_alarms_stream(a, 5, 21_600), jobs.cep_drift_stream(m, 172_800, 1.0))]
+    return rounded(reduce(DataFrame.unionByName, found).drop("batch_id", "detected_at"))
 
 
 @query()

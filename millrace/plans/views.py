@@ -75,7 +75,11 @@ M = """m AS (
 
 def alarms(spark: SparkSession, d: str) -> DataFrame:
     """Error events as alarms; code and level from the number in props."""
-    e = load(spark, d, "events").where(F.col("event_type") == "error")
+    return as_alarms(load(spark, d, "events"))
+
+
+def as_alarms(events: DataFrame) -> DataFrame:
+    e = events.where(F.col("event_type") == "error")
     k = F.get_json_object("props", "$.k").cast("int")
     level: Column = F.element_at(F.array(*[F.lit(x) for x in ("CRITICAL", "MAJOR", "MINOR", "WARNING", "INFO")]), k % 5 + 1)
     return e.select(F.col("event_id").alias("alarm_id"), (F.col("user_id") % 10).cast("string").alias("equipment_id"), F.concat(F.lit("A"), (k % 7).cast("string")).alias("alarm_code"), level.alias("severity"), F.lit("FDC").alias("source_system"), F.col("ts").alias("time"), F.when(k % 3 == 0, "ACTIVE").otherwise("CLEARED").alias("status"), "value")

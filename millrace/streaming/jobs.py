@@ -99,26 +99,77 @@ def spc_stream(df: DataFrame, history: int = 25, ttl_ms: int = 86_400_000) -> Da
     return cols.groupBy("equipment_id", "param_id").applyInPandasWithState(work, "measurement_id long, rules string, x_bar double, std_dev double, cpk double", "past array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cep_stream(df: DataFrame, n: int = 3, seconds: int = 180) -> DataFrame:
-    """The threshold pattern: rows in ALARM or WARNING with at least n such rows of their key in the window that ends at them. State: the window's times, kept for window + 60 s."""
-    width = seconds * 1_000_000
+ALERTS = "alert_id string, equipment_id string, detected_at timestamp, severity string, confidence double, points long"
+
+
+def _trailing_alerts(df: DataFrame, keys: list[str], pattern: str, kept: dict[str, str], seconds: int, find) -> DataFrame:
+    """Alerts of rows whose trailing window fires. df: keys, time, us, id and the columns of `kept`, which the state holds for the window and 60 s.
+
+    find(rows, lo, hi) gets a key's known rows in order and, for each new one, where its window begins and ends among
+    them; it returns which fire, their severity and confidence.
+    """
+    names = ["us", "id", *kept]
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        past = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["us", "measurement_id"])
-        us = np.sort(np.concatenate([np.array(past, np.int64), pdf["us"].to_numpy(np.int64)]))
-        own = pdf["us"].to_numpy(np.int64)
-        count = np.searchsorted(us, own, "right") - np.searchsorted(us, own - width, "left")
-        state.update((us[us >= us[-1] - width].tolist(),))
+        new = pd.concat(list(batches))[names].assign(new=True)
+        rows = pd.concat([pd.DataFrame(dict(zip(names, state.get, strict=True))).assign(new=False), new]) if state.exists else new
+        rows = rows.sort_values(["us", "id"], ignore_index=True)
+        us, own = rows["us"].to_numpy(np.int64), np.flatnonzero(rows["new"])
+        lo, hi = np.searchsorted(us, us[own] - seconds * 1_000_000, "left"), np.searchsorted(us, us[own], "right")
+        fires, severity, confidence = find(rows, lo, hi)
+        state.update(tuple(rows.loc[us >= us[-1] - (seconds + 60) * 1_000_000, c].tolist() for c in names))
         state.setTimeoutTimestamp(int(us[-1]) // 1000 + (seconds + 60) * 1000)
-        hit = count >= n
-        yield pd.DataFrame({"alert_id": "CEP-THRESHOLD_BREACH-" + pdf["measurement_id"][hit].astype(str), "equipment_id": key[0], "points": count[hit], "confidence": np.minimum(1.0, count[hit] / n)})
+        hit = own[fires]
+        yield pd.DataFrame({"alert_id": [f"CEP-{pattern}-{i}" for i in rows["id"][hit]], "equipment_id": key[0], "detected_at": pd.to_datetime(us[hit], unit="us"), "severity": severity[fires], "confidence": confidence[fires], "points": (hi - lo)[fires]})
+
+    kinds = ", ".join(f"{c} array<{t}>" for c, t in {"us": "bigint", "id": dict(df.dtypes)["id"], **kept}.items())
+    return df.select(*keys, "time", *names).groupBy(*keys).applyInPandasWithState(work, ALERTS, kinds, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cep_stream(df: DataFrame, n: int = 3, seconds: int = 180) -> DataFrame:
+    """cep_threshold() over a stream: rows in ALARM or WARNING with at least n such rows of their key in the window that ends at them."""
+
+    def find(rows: pd.DataFrame, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return hi - lo >= n, np.full(len(lo), "MAJOR", object), np.minimum(1.0, (hi - lo) / n)
+
+    rows = df.where(F.col("status").isin("ALARM", "WARNING")).select("equipment_id", "param_id", "time", micros(F.col("time")).alias("us"), F.col("measurement_id").alias("id"))
+    return _trailing_alerts(rows, ["equipment_id", "param_id"], "THRESHOLD_BREACH", {}, seconds, find)
+
+
+def cep_alarms_stream(alarms: DataFrame, n: int = 5, seconds: int = 300) -> DataFrame:
+    """cep_consecutive_alarms() over a stream: at least n alarms of one equipment in the window, CRITICAL with three codes or more."""
+
+    def find(rows: pd.DataFrame, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes = np.zeros(len(lo), int)
+        for c in rows["code"].dropna().unique():
+            at = np.flatnonzero(rows["code"] == c)
+            codes += np.searchsorted(at, hi) > np.searchsorted(at, lo)
+        return hi - lo >= n, np.where(codes >= 3, "CRITICAL", "MAJOR").astype(object), np.minimum(1.0, (hi - lo) / n)
+
+    rows = alarms.select("equipment_id", "time", micros(F.col("time")).alias("us"), F.col("alarm_id").alias("id"), F.col("alarm_code").alias("code"))
+    return _trailing_alerts(rows, ["equipment_id"], "CONSECUTIVE_ALARMS", {"code": "string"}, seconds, find)
+
+
+def cep_drift_stream(df: DataFrame, seconds: int = 600, sigma: float = 2.0, least: int = 10) -> DataFrame:
+    """cep_drift() over a stream, by sums up to each place among the key's known rows."""
+
+    def find(rows: pd.DataFrame, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = rows["value"].to_numpy(float)
+        v = v - v.mean()
+        s, q = np.concatenate([[0.0], np.cumsum(v)]), np.concatenate([[0.0], np.cumsum(v * v)])
+        n = hi - lo
+        mid, many = lo + n // 2, n > least
+        with np.errstate(divide="ignore", invalid="ignore"):
+            std = np.sqrt(np.maximum(q[hi] - q[lo] - (s[hi] - s[lo]) ** 2 / n, 0) / (n - 1))
+            far = np.abs((s[hi] - s[mid]) / (hi - mid) - (s[mid] - s[lo]) / (mid - lo)) / std
+        fires = many & (std > 0) & (far >= sigma)
+        return fires, np.where(far < 3, "WARNING", "MAJOR").astype(object), np.minimum(1.0, far / 4)
 
-    cols = df.where(F.col("status").isin("ALARM", "WARNING")).select("equipment_id", "param_id", "measurement_id", "time", micros(F.col("time")).alias("us"))
-    return cols.groupBy("equipment_id", "param_id").applyInPandasWithState(work, "alert_id string, equipment_id string, points long, confidence double", "past array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = df.where(F.col("value").isNotNull()).select("equipment_id", "param_id", "time", micros(F.col("time")).alias("us"), F.col("measurement_id").alias("id"), "value")
+    return _trailing_alerts(rows, ["equipment_id", "param_id"], "DRIFT_DETECTED", {"value": "double"}, seconds, find)
 
 
 def ensemble_stream(df: DataFrame, history: int = 1000, drift: float = 0.5, ttl_ms: int = 86_400_000) -> DataFrame:

@@ -127,9 +127,26 @@ def test_p_values():
     assert anomaly.f_p_value(4.965, 1, 10) == pytest.approx(0.05, abs=2e-4)
 
 
-def test_lof_finds_the_outlier():
+@pytest.mark.parametrize("cell", [7, 4096])
+def test_lof_over_all_rows(spark, cell):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(100, 2)), [[8.0, 8.0]], np.repeat([[1.0, 1.0]], 30, axis=0), rng.normal(5, 0.1, size=(20, 2))])
+    rows = [(i, "k", float(a), float(b)) for i, (a, b) in enumerate(x)]
+    rows += [(1000, "one", 1.0, 1.0), (1001, "few", 1.0, 1.0), (1002, "few", 2.0, 1.0), (1003, "few", 3.0, 1.0), (1004, "k", None, 1.0), (1005, "k", float("nan"), 1.0), (1006, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "measurement_id long, key string, a double, b double")
+    got = {r["measurement_id"]: r for r in anomaly.lof(df, ["a", "b"], "key", k=10, cell=cell).collect()}
+    assert len(got) == len(rows) and got[100]["lof"] > 2
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag(np.full(len(x), np.inf))
+    near = np.argsort(d, axis=1, kind="stable")[:, :10]
+    dk = np.take_along_axis(d, near, axis=1)
+    dense = 1 / np.maximum(np.maximum(dk.max(1)[near], dk).mean(1), 1e-10)
+    assert [got[i]["lof"] for i in range(len(x))] == pytest.approx((dense[near].mean(1) / dense).tolist(), rel=1e-9)
+    assert got[1000]["lof"] == 1.0 and got[1002]["lof"] == pytest.approx(4 / 3) and all(got[i]["lof"] is None and not got[i]["is_anomaly"] for i in (1004, 1005, 1006))
+    assert anomaly.lof(df.where("false"), ["a", "b"], "key").count() == 0
+
+
+def test_forest_finds_the_outlier():
     x = np.concatenate([np.random.default_rng(0).normal(size=(100, 2)), [[8.0, 8.0]]])
-    assert anomaly.lof_of(x, x, 10).argmax() == 100
     f = anomaly.grow_forest(x)
     assert anomaly.forest_score(f, x, 101).argmax() == 100
 
@@ -192,10 +209,34 @@ def test_chunks():
     assert documents.chunks("x" * 1000, 500, 50)[0] == "x" * 500
 
 
-def test_degradation():
-    t = np.linspace(0, 100, 60)
-    a, b, c, r2 = predict.fit_curve(t, 2 * np.exp(0.03 * t) + 5)
-    assert (a, b, c) == pytest.approx((2, 0.03, 5), rel=1e-3) and r2 > 0.9999
+def test_degradation(spark):
+    rng = np.random.default_rng(3)
+    t = rng.uniform(0, 100, 400)
+    rows = [("up", x, 2 * math.exp(0.03 * x) + 5) for x in t.tolist()] + [("down", x, 3 * math.exp(-0.2 * x) + 1) for x in t.tolist()] + [("noisy", x, 20 + math.exp(x / 30) + float(e)) for x, e in zip(t.tolist(), rng.normal(size=400), strict=True)]
+    rows += [("flat", x, 4.0) for x in t[:5].tolist()] + [("once", 1.0, float(i)) for i in range(5)] + [("few", x, x) for x in t[:3].tolist()] + [("up", None, 1.0), ("up", 1.0, None)]
+    df = spark.createDataFrame([(k, float(x) if x is not None else None, y) for k, x, y in rows], "equipment_id string, hours double, health double")
+    got = {r["equipment_id"]: r for r in predict.fit_degradation(df).collect()}
+    assert set(got) == {"up", "down", "noisy", "flat", "once"}
+    assert [got["up"][c] for c in "abc"] == pytest.approx([2, 0.03, 5], rel=1e-5) and [got["down"][c] for c in "abc"] == pytest.approx([3, -0.2, 1], rel=1e-5)
+    assert got["up"]["r2"] > 1 - 1e-9 and got["flat"]["r2"] == 0 and got["flat"]["c"] == pytest.approx(4) and got["once"]["r2"] == 0 and got["once"]["c"] == 2
+    x, y = np.array([r[1] for r in rows if r[0] == "noisy"]), np.array([r[2] for r in rows if r[0] == "noisy"])
+    best = max(np.corrcoef(np.exp(b * x), y)[0, 1] ** 2 for b in np.linspace(0.02, 0.05, 3001))
+    assert got["noisy"]["r2"] >= best - 1e-12 and got["noisy"]["last_hour"] == x.max()
+    left = {r["equipment_id"]: r["rul_hours"] for r in predict.predict_rul(predict.fit_degradation(df), 60.0).collect()}
+    assert left["up"] == math.ceil(math.log((60 - 5) / 2) / 0.03 - t.max()) or left["up"] == 0
+    assert predict.fit_degradation(df.where("false")).count() == 0
+
+
+def test_recommendations(spark):
+    chars = spark.createDataFrame([("s", 50, 1, 0.9, 0.1, 0.2, 0.0), ("l", 20000, 30, 0.0, 0.5, 0.001, 0.9), ("n", 10, 1, None, None, None, None)], "k string, rows long, features int, autocorrelation double, mean_cv double, anomaly_ratio double, pair_correlation double")
+    got = {(r["k"], r["algorithm"]): r for r in predict.recommend_algorithms(chars, ["k"]).collect()}
+    # half the rows: 0.1; low complexity at a low speed weight: (1 - 0.5) * 0.2; clear: 0.2; drift: 0.2; little noise: 0.1
+    assert got["s", "CUSUM Detector"]["suitability"] == pytest.approx(0.7) and got["s", "CUSUM Detector"]["place"] == 1
+    assert got["s", "CUSUM Detector"]["warnings"] == ["NOT rows >= 100", "anomaly_ratio > 0.1"]
+    assert got["l", "Isolation Forest"]["suitability"] == pytest.approx(0.2 + 0.7 * 0.2 + 0.6 * 0.2 + 0.1 + 0.15 + 0.15) and got["l", "Isolation Forest"]["place"] == 1
+    assert got["n", "Z-Score Detector"]["suitability"] == pytest.approx(0.02 + 0.1 + 0.2)
+    fast = {r["algorithm"]: r["suitability"] for r in predict.recommend_algorithms(chars.where("k = 's'"), ["k"], {"speed": 0.5, "early_detection": 0.4}).collect()}
+    assert fast["CUSUM Detector"] == 1.0 and fast["LSTM AutoEncoder"] == pytest.approx(0.001 + 0.3 * 0.5 + 0.3 * 0.2 + 0.3 + 0.1)
 
 
 def test_detector_of_one_class(spark):
