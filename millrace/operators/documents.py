@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -53,11 +54,46 @@ def split_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return parts.select(id_col, "section", F.nullif(title, F.lit("")).alias("title"), "body")
 
 
+def _percent(c: str) -> Column:
+    return F.concat(F.round(F.col(c) * 100).cast("long").cast("string"), F.lit("%"))
+
+
+def _documents(df: DataFrame, doc_type: str, ids: list[str], text: Column, named: list[str]) -> DataFrame:
+    meta = F.map_concat(F.create_map(F.lit("doc_type"), F.lit(doc_type)), F.create_map(*[x for c in named for x in (F.lit(c), F.col(c).cast("string"))]))
+    return df.select(F.concat_ws("|", F.lit(doc_type), *ids).alias("id"), text.alias("content"), meta.alias("metadata"))
+
+
+def _lines(*parts) -> Column:
+    """A text of lines; each part is a list of columns and literal texts, and a line with a null in it goes."""
+    return F.concat_ws("\n", *[F.concat(*[F.col(x[1:]).cast("string") if isinstance(x, str) and x.startswith("$") else F.lit(x) if isinstance(x, str) else x for x in p]) for p in parts])
+
+
 def relationship_documents(rel: DataFrame) -> DataFrame:
-    """Relations as texts with metadata."""
-    text = F.format_string("%s %s %s with confidence %.2f (%s)", "source", F.lower("relation_type"), "target", "confidence", "method")
-    meta = F.create_map(F.lit("doc_type"), F.lit("relationship"), F.lit("source"), F.col("source"), F.lit("target"), F.col("target"))
-    return rel.select(F.concat_ws("|", "source", "relation_type", "target", "method").alias("id"), text.alias("content"), meta.alias("metadata"))
+    """Discovered relations (source, relation_type, target, confidence, method) as texts with metadata."""
+    text = _lines(["Discovered relation: ", "$source", " -> ", "$target"], ["Type: ", "$relation_type"], ["Confidence: ", _percent("confidence")], ["Found by: ", "$method"])
+    return _documents(rel, "discovered_relationship", ["source", "relation_type", "target", "method"], text, ["source", "target", "relation_type", "method"])
+
+
+def knowledge_documents(tables: dict[str, DataFrame]) -> DataFrame:
+    """The experts' tables (sources.files.read_expert_knowledge) as texts with metadata; a line whose value is null is left out."""
+    move = F.when(F.col("direction") == "positive", "rises").otherwise("falls")
+    minutes = F.format_string("%.1f", F.col("lead_time") / 60)
+    known = {
+        "causal_relationships": ("causal_relationship", ["source", "relation_type", "target"], lambda: _lines(["Cause: ", "$source", " -> ", "$target"], ["Type: ", "$relation_type"], ["When ", "$source", " rises, ", "$target", " ", move], ["Delay in seconds: ", F.array_join(F.transform("lag_range", lambda x: x.cast("string")), " to ")], ["Confidence: ", _percent("confidence")], ["Physics: ", "$physics"]), ["source", "target", "relation_type", "confidence"]),
+        "alarm_causes": ("alarm_cause", ["alarm_code", "cause_parameter"], lambda: _lines(["Alarm ", "$alarm_code", ": check ", "$cause_parameter"], ["Condition: ", "$condition"], ["Probability: ", _percent("probability")], ["Priority: ", "$priority"], ["Action: ", "$action"]), ["alarm_code", "cause_parameter", "priority", "probability"]),
+        "leading_indicators": ("leading_indicator", ["indicator", "pattern", "target_event"], lambda: _lines(["Leading indicator: ", "$indicator", " -> ", "$target_event"], ["Pattern: ", "$pattern"], ["About ", minutes, " minutes before ", "$target_event"]), ["target_event", "indicator", "lead_time"]),
+        "impossible_relationships": ("impossible_relationship", ["param1", "param2"], lambda: _lines(["No causal relation is possible between ", "$param1", " and ", "$param2"], ["Reason: ", "$reason"]), ["param1", "param2"]),
+    }
+    return reduce(DataFrame.unionByName, [_documents(tables[t], kind, ids, text(), named) for t, (kind, ids, text, named) in known.items() if t in tables])
+
+
+def discovery_summary(rel: DataFrame, high: float = 0.7) -> DataFrame:
+    """One text on a run of discovery: relations, those of high confidence, and for each method how many and how sure."""
+    each = rel.groupBy("method").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") > high).alias("sure"), F.max("confidence").alias("most"))
+    line = F.concat_ws("", F.lit("- "), "method", F.lit(": "), F.col("n").cast("string"), F.lit(", at most "), _percent("most"))
+    all_ = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("sure"), F.lit(0)).alias("sure"), F.array_sort(F.collect_list(line)).alias("lines"))
+    text = F.concat_ws("\n", F.concat(F.lit("Discovered relations: "), F.col("total").cast("string")), F.concat(F.lit("Of high confidence: "), F.col("sure").cast("string")), F.array_join("lines", "\n"))
+    return _documents(all_, "discovery_summary", [], text, ["total", "sure"])
 
 
 def vector_search(docs: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, block: int = 1024) -> DataFrame:

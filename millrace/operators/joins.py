@@ -120,10 +120,22 @@ def find_bidirectional(causal: DataFrame) -> DataFrame:
     return d.groupBy("a", "b").agg(F.count_distinct("up").alias("n")).where("n = 2").select("a", "b")
 
 
-def knowledge_lookup(rules: DataFrame, kind: str, key: str) -> DataFrame:
-    """kind 'causes' or 'effects' of a parameter, most confident first."""
+def knowledge_lookup(table: DataFrame, kind: str, key: str) -> DataFrame:
+    """What the experts' tables (sources.files.read_expert_knowledge) say of one key.
+
+    kind 'causes' or 'effects' of a parameter, from the causal rules, most confident first; 'alarm_causes' of an alarm
+    code by priority; 'leading_indicators' of an event, earliest first; 'group' of a parameter, the first by name that holds it.
+    """
+    if kind == "alarm_causes":
+        return table.where(F.col("alarm_code") == key).orderBy("priority", "cause_parameter")
+    if kind == "leading_indicators":
+        return table.where(F.col("target_event") == key).orderBy(F.col("lead_time").desc(), "indicator")
+    if kind == "group":
+        return table.where(F.array_contains("parameters", key)).orderBy("group_name").limit(1)
+    if kind not in ("causes", "effects"):
+        raise ValueError(f"unknown kind {kind}")
     own, other = ("target", "source") if kind == "causes" else ("source", "target")
-    return rules.where(F.col(own) == key).select(F.col(other).alias("parameter"), "relation_type", "confidence").orderBy(F.col("confidence").desc(), "parameter")
+    return table.where(F.col(own) == key).select(F.col(other).alias("parameter"), "relation_type", "confidence").orderBy(F.col("confidence").desc(), "parameter")
 
 
 def alarm_checklist(causes: DataFrame, code: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from millrace.operators import documents, features, joins, predict
 from millrace.operators.graph import shared_folder
 from millrace.plans import views as v
 from millrace.plans.analytics import KEYS, W
-from millrace.plans.monitoring import _ALARMS, _DRIFT, _STATS, _THRESHOLD, _found, _we_sql
+from millrace.plans.monitoring import FOUND, _ALARMS, _DRIFT, _STATS, _THRESHOLD, _found, _we_sql
 from millrace.plans.views import EQ, M, query, rounded
 from millrace.sources import files, topics
 from millrace.streaming import jobs
@@ -150,9 +150,31 @@ def split_sections(spark, d):
     return out.groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("body")).cast("long").alias("characters"))
 
 
-@query(f"WITH {v.G.split(', g AS')[0]}, {'''r AS (SELECT *, CASE WHEN confidence > 0.5 THEN 'CAUSES' ELSE 'CORRELATES' END AS relation_type FROM (SELECT 'P' || CAST(l_partkey % 30 AS VARCHAR) AS source, 'P' || CAST(s_nationkey AS VARCHAR) AS target, avg(l_quantity) / 50 AS confidence FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2))'''} SELECT source || '|' || relation_type || '|' || target || '|quantity' AS id, source || ' ' || lower(relation_type) || ' ' || target AS head FROM r")
+_KNOWN = f"""WITH {FOUND}, texts AS (
+  SELECT 'discovered_relationship|' || source || '|' || relation_type || '|' || target || '|quantity' AS id, 'Discovered relation: ' || source || ' -> ' || target || chr(10) || 'Type: ' || relation_type || chr(10) || 'Confidence: ' || CAST(CAST(round(confidence * 100) AS BIGINT) AS VARCHAR) || '%' || chr(10) || 'Found by: quantity' AS content FROM r
+  UNION ALL SELECT 'causal_relationship|' || source || '|' || relation_type || '|' || target, 'Cause: ' || source || ' -> ' || target || chr(10) || 'Type: ' || relation_type || chr(10) || 'When ' || source || ' rises, ' || target || ' rises' || chr(10) || 'Confidence: ' || CAST(CAST(round(confidence * 100) AS BIGINT) AS VARCHAR) || '%' FROM r WHERE relation_type = 'CAUSES'
+  UNION ALL SELECT 'alarm_cause|' || code || '|' || cause, 'Alarm ' || code || ': check ' || cause || chr(10) || 'Condition: ' || p_type || chr(10) || 'Priority: ' || CAST(p_partkey % 9 AS VARCHAR) FROM a
+  UNION ALL SELECT 'leading_indicator|' || cause || '|' || p_type || '|' || p_brand, 'Leading indicator: ' || cause || ' -> ' || p_brand || chr(10) || 'Pattern: ' || p_type || chr(10) || 'About ' || CAST(p_size AS VARCHAR) || '.0 minutes before ' || p_brand FROM a
+  UNION ALL SELECT 'impossible_relationship|' || s_name || '|' || n_name, 'No causal relation is possible between ' || s_name || ' and ' || n_name || chr(10) || 'Reason: ' || 'apart' FROM supplier JOIN nation ON s_nationkey <> n_nationkey AND n_regionkey = 0
+  UNION ALL SELECT 'discovery_summary', 'Discovered relations: ' || CAST(count(*) AS VARCHAR) || chr(10) || 'Of high confidence: ' || CAST(count_if(confidence > 0.7) AS VARCHAR) || chr(10) || '- quantity: ' || CAST(count(*) AS VARCHAR) || ', at most ' || CAST(CAST(round(max(confidence) * 100) AS BIGINT) AS VARCHAR) || '%' FROM r)"""
+
+
+def _knowledge(spark, d):
+    """Parts, suppliers and nations as the experts' tables."""
+    part, s, n = (v.load(spark, d, t) for t in ("part", "supplier", "nation"))
+    cause = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    causal = _found(spark, d).where("relation_type = 'CAUSES'").withColumns({"direction": F.lit("positive"), "lag_range": F.lit(None).cast("array<double>"), "physics": F.lit(None).cast("string")})
+    alarms = part.select(F.concat(F.lit("A"), F.col("p_size").cast("string")).alias("alarm_code"), cause.alias("cause_parameter"), F.col("p_type").alias("condition"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("action"), (F.col("p_partkey") % 9).alias("priority"))
+    ahead = part.select(F.col("p_brand").alias("target_event"), cause.alias("indicator"), F.col("p_type").alias("pattern"), (F.col("p_size") * 60.0).alias("lead_time"))
+    apart = s.join(n.where("n_regionkey = 0"), s.s_nationkey != n.n_nationkey).select(F.col("s_name").alias("param1"), F.col("n_name").alias("param2"), F.lit("apart").alias("reason"))
+    return {"causal_relationships": causal, "alarm_causes": alarms, "leading_indicators": ahead, "impossible_relationships": apart}
+
+
+@query(f"{_KNOWN.replace(', texts AS', ", a AS (SELECT *, 'A' || CAST(p_size AS VARCHAR) AS code, 'P' || CAST(p_partkey AS VARCHAR) AS cause FROM part), texts AS")} SELECT id, content FROM texts")
 def relationship_documents(spark, d):
-    return documents.relationship_documents(_found(spark, d)).select("id", F.substring_index("content", " with", 1).alias("head"))
+    found = _found(spark, d)
+    parts = [documents.relationship_documents(found), documents.knowledge_documents(_knowledge(spark, d)), documents.discovery_summary(found)]
+    return reduce(DataFrame.unionByName, parts).select("id", "content")
 
 
 def _vectors(spark, d):
@@ -260,8 +282,8 @@ def read_expert_knowledge(spark, d):
     n = v.load(spark, d, "nation")
     p = lambda c: F.concat(F.lit("P"), F.col(c).cast("string"))
     rule = F.struct(p("n_nationkey").alias("source"), p("n_regionkey").alias("target"), (F.col("n_nationkey") / 25).alias("confidence"))
-    n.agg(F.collect_list(rule).alias("causal_relations")).coalesce(1).write.json(path)
-    return rounded(files.read_expert_knowledge(spark, path)["causal_relations"].select("source", "target", "confidence"))
+    n.agg(F.collect_list(rule).alias("causal_relationships")).coalesce(1).write.json(path)
+    return rounded(files.read_expert_knowledge(spark, path)["causal_relationships"].select("source", "target", "confidence"))
 
 
 @query(f"WITH {M} SELECT CAST(time AS DATE) AS date, count(*) AS n FROM m GROUP BY 1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import columns as fn
@@ -221,9 +224,18 @@ def find_bidirectional(spark, d):
     return joins.find_bidirectional(_found(spark, d).withColumn("is_causal", F.col("confidence") > 0.5))
 
 
-@query(f"WITH {FOUND} SELECT source AS parameter, relation_type, round(confidence, 6) AS confidence FROM r WHERE target = 'P7'")
+@query(f"""WITH {FOUND} SELECT 'causes' AS kind, source AS name, round(confidence, 6) AS x FROM r WHERE target = 'P7' UNION ALL SELECT 'effects', target, round(confidence, 6) FROM r WHERE source = 'P7'
+UNION ALL SELECT 'alarm_causes', 'P' || CAST(p_partkey AS VARCHAR), CAST(p_partkey % 9 AS DOUBLE) FROM part WHERE p_size = 7 UNION ALL SELECT 'leading_indicators', 'P' || CAST(p_partkey AS VARCHAR), CAST(p_size AS DOUBLE) FROM part WHERE p_brand = 'Brand#11'
+UNION ALL SELECT 'group', min(p_brand), NULL FROM part WHERE p_size = 7""")
 def knowledge_lookup(spark, d):
-    return rounded(joins.knowledge_lookup(_found(spark, d), "causes", "P7"))
+    part = v.load(spark, d, "part").withColumns({"name": F.concat(F.lit("P"), F.col("p_partkey").cast("string")), "size": F.concat(F.lit("A"), F.col("p_size").cast("string"))})
+    causes = part.select(F.col("size").alias("alarm_code"), F.col("name").alias("cause_parameter"), (F.col("p_partkey") % 9).alias("priority"))
+    ahead = part.select(F.col("p_brand").alias("target_event"), F.col("name").alias("indicator"), F.col("p_size").cast("double").alias("lead_time"))
+    groups = part.groupBy(F.col("p_brand").alias("group_name")).agg(F.collect_set("size").alias("parameters"))
+    none = F.lit(None).cast("double")
+    asked = [("causes", _found(spark, d), "P7", "parameter", F.col("confidence")), ("effects", _found(spark, d), "P7", "parameter", F.col("confidence")), ("alarm_causes", causes, "A7", "cause_parameter", F.col("priority").cast("double")), ("leading_indicators", ahead, "Brand#11", "indicator", F.col("lead_time")), ("group", groups, "A7", "group_name", none)]
+    out = [joins.knowledge_lookup(t, kind, key).select(F.lit(kind).alias("kind"), F.col(c).alias("name"), x.alias("x")) for kind, t, key, c, x in asked]
+    return rounded(reduce(DataFrame.unionByName, out))
 
 
 @query("""SELECT alarm_code, cause_parameter, priority, CAST(row_number() OVER (PARTITION BY alarm_code ORDER BY priority, cause_parameter) AS INTEGER) AS step, row_number() OVER (PARTITION BY alarm_code ORDER BY priority, cause_parameter) <= 2 AS is_suspect

@@ -9,8 +9,8 @@ from millrace.operators.graph import upsert_by_key
 
 FAULTS = "start_idx int, end_idx int, fault_type string, affected_sensor int, duration int, start_timestamp timestamp, end_timestamp timestamp, sensor_name string"
 EXPERT = (
-    "causal_relations array<struct<source:string,target:string,relation_type:string,direction:string,lag_range:array<double>,confidence:double,physics:string>>, alarm_causes array<struct<alarm_code:string,cause_parameter:string,condition:string,probability:double,action:string,priority:int>>, "
-    "leading_indicators array<struct<target_event:string,indicator:string,pattern:string,lead_time:double>>, impossible_relations array<struct<param1:string,param2:string,reason:string>>"
+    "causal_relationships array<struct<source:string,target:string,relation_type:string,direction:string,lag_range:array<double>,confidence:double,physics:string>>, alarm_causes array<struct<alarm_code:string,cause_parameter:string,condition:string,probability:double,action:string,priority:int>>, "
+    "leading_indicators array<struct<target_event:string,indicator:string,pattern:string,lead_time:double>>, impossible_relationships array<struct<param1:string,param2:string,reason:string>>, parameter_groups array<struct<group_name:string,parameters:array<string>,description:string>>"
 )
 
 
@@ -25,7 +25,7 @@ def read_fault_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_expert_knowledge(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of causal rules, alarm causes, leading indicators and impossible pairs from one JSON document."""
+    """Tables of causal rules, alarm causes, leading indicators, impossible pairs and parameter groups from one JSON document; those that it lacks are empty."""
     doc = spark.read.schema(EXPERT).option("multiLine", True).json(path)
     return {c: doc.select(F.explode(c).alias("r")).select("r.*") for c in doc.columns}
 
