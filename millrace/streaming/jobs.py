@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.columns import micros
+from millrace.operators.anomaly import nearest
 from millrace.operators.graph import shared_folder, upsert_by_key
 from millrace.operators.joins import enrich_measurements
 from millrace.operators.windows import window_stats
@@ -172,28 +173,93 @@ def cep_drift_stream(df: DataFrame, seconds: int = 600, sigma: float = 2.0, leas
     return _trailing_alerts(rows, ["equipment_id", "param_id"], "DRIFT_DETECTED", {"value": "double"}, seconds, find)
 
 
-def ensemble_stream(df: DataFrame, history: int = 1000, drift: float = 0.5, ttl_ms: int = 86_400_000) -> DataFrame:
-    """Per row: z of the value in the last `history` values of its key and both running CUSUM sums of it. Sums go on from row to row, they never restart with a batch."""
+#: The least ensemble score of each severity, and the share of scores that a local outlier factor must exceed to vote.
+SEVERITIES = {"EMERGENCY": 0.95, "CRITICAL": 0.8, "WARNING": 0.6}
+USUAL = 0.95
+
+
+def scaled_score(score: float, past: np.ndarray) -> float:
+    """The score between the 5th and 95th percentile of the past ones (itself included), in 0 to 1; with fewer than 10 it is only clipped."""
+    if len(past) < 10:
+        return float(np.clip(score, 0, 1))
+    lo, hi = np.percentile(past, [5, 95])
+    return 0.5 if hi - lo < 1e-10 else float(np.clip((score - lo) / (hi - lo), 0, 1))
+
+
+def outlier_factor(x: np.ndarray, past: np.ndarray, k: int) -> float:
+    """The local outlier factor of x among past points, of which k count as neighbours."""
+    k, one = min(k, len(past) - 1), np.ones(len(past), np.int64)
+    _, i, d, _ = nearest(past, past, one, k, True)
+    i, d = i.reshape(-1, k), np.sqrt(d).reshape(-1, k)
+    dense = 1 / np.maximum(np.maximum(d.max(1)[i], d).mean(1), 1e-10)
+    _, j, e, _ = nearest(x[None], past, one, k)
+    return float(dense[j].mean() * max(np.maximum(d.max(1)[j], np.sqrt(e)).mean(), 1e-10))
+
+
+def score_windows(x: np.ndarray, past: np.ndarray, scores: np.ndarray, sums: tuple[float, float], history: int, least: int, near: int, k: int, drift: float) -> tuple[list[tuple[float, int]], np.ndarray, np.ndarray, tuple[float, float]]:
+    """Ensemble score and votes of the windows x (mean, std, range) in order, each against those before it; and what to remember: windows, scores of the three detectors, CUSUM sums."""
+    out, (up, down) = [], sums
+    for row in x:
+        if len(past) < least:
+            out.append((0.0, 0))
+        else:
+            std = past.std(0)
+            scale = np.where(std > 0, std, 1.0)
+            z = np.where(std > 0, (row - past.mean(0)) / scale, 0.0)
+            up, down = max(0.0, up + z[0] - drift), max(0.0, down - z[0] - drift)
+            raw = np.array([np.abs(z).max(), max(up, down), outlier_factor(row / scale, past[-near:] / scale, k)])
+            scores = np.concatenate([scores, raw[None]])[-history:]
+            votes = int(raw[0] > 3) + int(raw[1] > 5) + int(len(scores) >= least and raw[2] > np.quantile(scores[:-1, 2], USUAL))
+            out.append((float(np.mean([scaled_score(s, scores[:, i]) for i, s in enumerate(raw)])), votes))
+        past = np.concatenate([past, row[None]])[-history:]
+    return out, past, scores, (float(up), float(down))
+
+
+def merged_windows(parts: pd.DataFrame) -> pd.DataFrame:
+    """One row for each window start `us` from partial ones: n, mean m, squared deviations q, least lo and most hi."""
+    g = parts.assign(nm=parts["n"] * parts["m"]).groupby("us")
+    out = g.agg(n=("n", "sum"), nm=("nm", "sum"), q=("q", "sum"), lo=("lo", "min"), hi=("hi", "max"))
+    out["m"] = out["nm"] / out["n"]
+    apart = parts["n"] * (parts["m"] - parts["us"].map(out["m"])) ** 2
+    out["q"] += apart.groupby(parts["us"]).sum()
+    return out.reset_index()[["us", "n", "m", "q", "lo", "hi"]]
+
+
+def ensemble_stream(df: DataFrame, seconds: int = 60, history: int = 1000, least: int = 20, near: int = 100, k: int = 20, drift: float = 0.5, ttl_ms: int = 86_400_000) -> DataFrame:
+    """window_start, equipment_id, param_id, score (0 to 1), votes, is_anomaly (two votes or more) and severity of each window that the watermark has passed.
+
+    A key's state holds the open windows as counts and moments, the last `history` closed ones (mean, deviation,
+    range) with their scores, and its CUSUM sums. Detectors: the largest z-value, CUSUM of the mean, and the local
+    outlier factor among the last `near` windows; scores are scaled by the key's own history and averaged. The first
+    `least` windows of a key only teach. Rows without a value take no part.
+    """
+    width, parts = seconds * 1_000_000, ["us", "n", "m", "q", "lo", "hi"]
+    flat = lambda a, n: np.array(a, float).reshape(-1, n)
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        old = state.get if state.exists else ([], [], [], 0.0, 0.0, 0)
+        windows, last = pd.DataFrame(flat(old[0], 6), columns=parts), old[5]
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            one = pd.DataFrame({"us": rows["us"] // width * width, "n": 1, "m": rows["value"], "q": 0.0, "lo": rows["value"], "hi": rows["value"]})
+            windows, last = merged_windows(pd.concat([windows, one]).astype(float)), max(last, int(rows["us"].max()))
+        closed = windows["us"] + width <= state.getCurrentWatermarkMs() * 1000
+        done, waiting = windows[closed], windows[~closed]
+        if state.hasTimedOut and not len(windows):
             state.remove()
             return
-        past, up, down = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0.0, 0.0)
-        rows = []
-        pdf = pd.concat(list(batches)).sort_values(["us", "measurement_id"])
-        for r in pdf.itertuples():
-            past = [*past, r.value][-history:]
-            v = np.array(past)
-            z = (r.value - v.mean()) / v.std() if v.std() > 0 else 0.0
-            up, down = max(0.0, up + z - drift), max(0.0, down - z - drift)
-            rows.append((r.measurement_id, z, up, down, int(abs(z) > 3) + int(max(up, down) > 5)))
-        state.update((past, float(up), float(down)))
-        state.setTimeoutTimestamp(int(pdf["us"].max()) // 1000 + ttl_ms)
-        yield pd.DataFrame(rows, columns=["measurement_id", "z", "cusum_up", "cusum_down", "votes"])
-
-    cols = df.select("equipment_id", "param_id", "measurement_id", "time", micros(F.col("time")).alias("us"), "value")
-    return cols.groupBy("equipment_id", "param_id").applyInPandasWithState(work, "measurement_id long, z double, cusum_up double, cusum_down double, votes long", "past array<double>, up double, down double", "append", GroupStateTimeout.EventTimeTimeout)
+        x = np.column_stack([done["m"], np.sqrt(done["q"] / done["n"]), done["hi"] - done["lo"]])
+        out, past, scores, sums = score_windows(x, flat(old[1], 3), flat(old[2], 3), (old[3], old[4]), history, least, near, k, drift)
+        state.update((waiting.to_numpy().ravel().tolist(), past.ravel().tolist(), scores.ravel().tolist(), *sums, last))
+        until = int(waiting["us"].min() + width) // 1000 if len(waiting) else last // 1000 + ttl_ms
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        score, votes = np.array([x[0] for x in out]), np.array([x[1] for x in out], int)
+        severity = np.select([score >= x for x in SEVERITIES.values()], list(SEVERITIES), "NORMAL").astype(object)
+        yield pd.DataFrame({"window_start": pd.to_datetime(done["us"].astype("int64").to_numpy(), unit="us"), "equipment_id": key[0], "param_id": key[1], "score": score, "votes": votes, "is_anomaly": votes >= 2, "severity": severity})
+
+    cols = df.where(F.col("value").isNotNull()).select("equipment_id", "param_id", "time", micros(F.col("time")).alias("us"), "value")
+    schema = "window_start timestamp, equipment_id string, param_id string, score double, votes long, is_anomaly boolean, severity string"
+    return cols.groupBy("equipment_id", "param_id").applyInPandasWithState(work, schema, "open array<double>, past array<double>, scores array<double>, up double, down double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_stream(df: DataFrame, path: str, keys: list[str], update_cols: list[str], order: str, checkpoint: str):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import columns as fn
 from millrace.operators import anomaly, capability, cep, discovery, documents, features, graph, joins, normalize, predict, spc
+from millrace.streaming import jobs
 from millrace.streaming.jobs import rules_at_end
 
 
@@ -71,6 +72,40 @@ def test_stream_rules_equal_window_rules(spark):
     assert got == [rules_at_end(values[max(0, i - 24) : i + 1], 200.0, -100.0, 50.0, 50.0) for i in range(300)]
 
 
+def test_windows_of_an_ensemble():
+    x = np.random.default_rng(5).normal(size=(120, 3))
+    x[100] = 9.0
+    none = (np.zeros((0, 3)), np.zeros((0, 3)), (0.0, 0.0))
+    settings = dict(history=60, least=20, near=30, k=5, drift=0.5)
+    out, past, scores, sums = jobs.score_windows(x, *none, **settings)
+    assert out[:20] == [(0.0, 0)] * 20 and out[100] == (max(out)[0], 3) and past.tolist() == x[-60:].tolist()
+    # batches don't matter
+    first = jobs.score_windows(x[:70], *none, **settings)
+    then = jobs.score_windows(x[70:], *first[1:], **settings)
+    assert first[0] + then[0] == out and then[3] == sums and then[2].tolist() == scores.tolist()
+    # the factor, by definition
+    p, q = x[:30], x[40]
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) + np.diag(np.full(30, np.inf))
+    i = np.argsort(d, axis=1)[:, :5]
+    kd = np.sort(d, axis=1)[:, 4]
+    dense = 1 / np.maximum(kd[i], np.take_along_axis(d, i, axis=1)).mean(1)
+    e = np.sqrt(((p - q) ** 2).sum(1))
+    j = np.argsort(e)[:5]
+    assert jobs.outlier_factor(q, p, 5) == pytest.approx(dense[j].mean() * np.maximum(kd[j], e[j]).mean())
+    assert jobs.scaled_score(3.0, np.arange(5.0)) == 1.0 and jobs.scaled_score(1.0, np.ones(20)) == 0.5 and jobs.scaled_score(50.0, np.arange(101.0)) == pytest.approx(0.5)
+
+
+def test_open_windows_merge():
+    import pandas as pd
+
+    v = np.random.default_rng(6).normal(50, 3, size=40)
+    us = np.repeat([0.0, 60e6], 20)
+    one = pd.DataFrame({"us": us, "n": 1.0, "m": v, "q": 0.0, "lo": v, "hi": v})
+    for parts in (one, pd.concat([jobs.merged_windows(one[:13]), jobs.merged_windows(one[13:30]), one[30:]])):
+        got = jobs.merged_windows(parts)
+        assert got["n"].tolist() == [20, 20] and np.allclose(got["m"], [v[:20].mean(), v[20:].mean()]) and np.allclose(np.sqrt(got["q"] / got["n"]), [v[:20].std(), v[20:].std()]) and got["hi"].tolist() == [v[:20].max(), v[20:].max()]
+
+
 def test_cusum_is_the_loop(spark):
     values = np.random.default_rng(1).normal(size=200)
     got = [r["score"] for r in anomaly.cusum(series(spark, values.tolist()), ["value"], ["equipment_id"]).orderBy("measurement_id").collect()]
