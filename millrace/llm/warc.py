@@ -13,7 +13,9 @@ replica at the same place of an archive are compared as a set, in the order of t
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,21 +44,57 @@ def placed(rows: DataFrame, per_archive: int = 2000) -> DataFrame:
     return dealt.withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0).cast("long")))
 
 
+HEAD = re.compile(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*?Content-Length: *(\d+)\r\n(?:[^\r\n]+\r\n)*\r\n", re.I)
+
+
+def split_plain(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Offset and bytes of each record. Where none starts, or one does not end as its length says, the bytes up to the next record's start are one."""
+    at = 0
+    while at < len(data):
+        m = HEAD.match(data, at)
+        end = m.end() + int(m[1]) + 4 if m else 0
+        if not m or data[end - 4 : end] != b"\r\n\r\n":
+            after = HEAD.search(data, m.end() if m else at + 1)
+            end = after.start() if after else len(data)
+        yield at, data[at:end]
+        at = end
+
+
+def split_gzip(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Offset in the file and text of each member, one record each. A member that can't be read is given as it lies, up to the next one's start."""
+    at = 0
+    while at < len(data):
+        z, parts, i = zlib.decompressobj(31), [], at
+        try:
+            while i < len(data) and not z.eof:
+                parts.append(z.decompress(data[i : i + 65536]))
+                i += 65536
+        except zlib.error:
+            pass
+        if z.eof:
+            end = min(i, len(data)) - len(z.unused_data)
+        else:
+            after = data.find(b"\x1f\x8b\x08", at + 1)
+            end, parts = after if after >= 0 else len(data), [data[at : after if after >= 0 else len(data)]]
+        yield at, b"".join(parts)
+        at = end
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """archive, offset, record from uncompressed WARC files; each file is one task's work."""
-    head = re.compile(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*?Content-Length: *(\d+)\r\n(?:[^\r\n]+\r\n)*\r\n", re.I)
+    """archive, offset, record from WARC files, plain or with a gzip member for each record.
+
+    Every byte of a file belongs to one record: what is damaged becomes a record of its own and reading goes on behind
+    it, so that an audit finds one fault, not all that follow. A file is one task's work and at most 2 GB; files that
+    were compressed as one member have the whole of it as their only record.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, rows = 0, []
-                while m := head.match(data, at):
-                    end = m.end() + int(m[1]) + 4
-                    rows.append((name, at, data[at:end]))
-                    at = end
-                for a in range(0, len(rows), 1000):
-                    n, o, r = zip(*rows[a : a + 1000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(o), pa.array(r, pa.binary())], ["archive", "offset", "record"])
+                found = (split_gzip if data[:3] == b"\x1f\x8b\x08" else split_plain)(data)
+                while rows := list(islice(found, 1000)):
+                    offsets, parts = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(offsets), pa.array(parts, pa.binary())], ["archive", "offset", "record"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, offset long, record binary")
 

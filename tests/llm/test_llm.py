@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import math
 import re
 import uuid
 import zlib
@@ -183,6 +185,24 @@ def test_classifier_batches_do_not_matter():
     assert np.allclose(s.score(texts), [s.score([t])[0] for t in texts], atol=1e-6)
 
 
+def plain_score(net, text: bytes) -> float:
+    """The network's score by loops: at each byte a sum of weights over 6 places (behind the end: byte 0), the largest of each block of 128, and of it and the next one; blocks reach to the last place that a window may touch."""
+    count = (len(text) + 5) // 128 + 1
+    padded = text + bytes(6)
+    blocks = [[max((sum(net.taps[p, padded[i + p], f] for p in range(6)) for i in range(k * 128, min(k * 128 + 128, len(text)))), default=-1e9) for f in range(16)] for k in range(count)]
+    chunks = [[max(0.0, max(blocks[k][f], blocks[k + 1][f] if k + 1 < count else -1e9) + net.bias[f]) for f in range(16)] for k in range(count)]
+    x = [g([c[f] for c in chunks]) for g in (lambda v: sum(v) / len(v), max, min) for f in range(16)]
+    return 1 / (1 + math.exp(-sum(w * v for w, v in zip(net.out, x, strict=True)) - net.shift[0]))
+
+
+def test_classifier_is_the_loop():
+    rng = np.random.default_rng(8)
+    net = classifier.Net(rng.normal(size=(6, 256, 16)), rng.normal(size=16), rng.normal(0, 0.05, size=48), np.array([0.1]))
+    texts = [bytes(rng.integers(1, 255, n, dtype=np.uint8)) for n in (0, 1, 5, 122, 123, 127, 128, 129, 300, 700)]
+    want = [plain_score(net, t) for t in texts]
+    assert classifier.Scorer(net).score(texts) == pytest.approx(want, abs=1e-5) and 0.01 < min(want) < max(want) < 0.99
+
+
 def test_audit_finds_each_fault(spark):
     recs = [("w", i * 1000 + (i > 70) * 70_000, bytes([i % 250]) * 50) for i in range(200)]
     other = [r for i, r in enumerate(recs) if i != 5]
@@ -201,6 +221,32 @@ def test_warc_files(spark, data, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"".join(recs))
     back = warc.read_warc(spark, str(tmp_path)).orderBy("offset").collect()
     assert [bytes(r["record"]) for r in back] == recs
+    packed = [gzip.compress(r) for r in recs]
+    (tmp_path / "zipped").mkdir()
+    (tmp_path / "zipped" / "a.warc.gz").write_bytes(b"".join(packed))
+    back = warc.read_warc(spark, str(tmp_path / "zipped")).orderBy("offset").collect()
+    assert [bytes(r["record"]) for r in back] == recs and [r["offset"] for r in back] == np.cumsum([0, *map(len, packed)])[:-1].tolist()
+
+
+@pytest.mark.parametrize("spoil", ["header", "length", "cut", "between"])
+def test_one_fault_of_an_archive_is_one_fault(spoil):
+    recs = [b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, b"x" * n) for n in (5, 0, 300, 7, 12)]
+    bad = list(recs)
+    if spoil == "header":
+        bad[2] = b"ZARC" + recs[2][4:]
+    elif spoil == "length":
+        bad[2] = recs[2].replace(b": 300", b": 200")
+    elif spoil == "cut":
+        bad[2] = recs[2][:100]
+    else:
+        bad.insert(2, b"\0\0\0")
+    got = list(warc.split_plain(b"".join(bad)))
+    assert [r for _, r in got] == bad and [at for at, _ in got] == np.cumsum([0, *map(len, bad)])[:-1].tolist()
+    zipped = [gzip.compress(r) for r in recs]
+    zipped[2] = zipped[2][: len(zipped[2]) // 2] + (b"" if spoil == "cut" else b"\xff" * (len(zipped[2]) - len(zipped[2]) // 2))
+    got = list(warc.split_gzip(b"".join(zipped)))
+    assert [r for _, r in got] == [*recs[:2], zipped[2], *recs[3:]]
+    assert list(warc.split_plain(b"")) == [] and list(warc.split_gzip(b"")) == []
 
 
 def test_search_is_complete(spark, data):
