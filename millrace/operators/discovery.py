@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.graph import cut
+
 from millrace.functions.columns import micros
 from millrace.operators.anomaly import f_p_value, t_p_value, with_p_value
 from millrace.operators.features import all_correlations
@@ -108,13 +110,33 @@ def kendall_pairs(df: DataFrame, cols: list[str], time: str = "time") -> DataFra
     return _pair_frames(df.withColumn("t__", F.col(time)), list(itertools.combinations(cols, 2))).groupBy("a", "b").applyInPandas(work, "a string, b string, tau double, p_value double, n long")
 
 
-def lagged(df: DataFrame, cols: list[str], max_lag: int, time: str = "time") -> DataFrame:
-    """Rows in time order with lags of every column: columns c__0 ... c__max_lag. One window, one sort.
+#: Rows of a series that one task holds at once.
+STRETCH = 65_536
+
+
+def stretches(df: DataFrame, cols: list[str], max_lag: int, time: str = "time", size: int = STRETCH) -> DataFrame:
+    """t__ (place in time order, from 1), the columns, and block__: stretches of the series, each with the max_lag rows before it.
 
-    Series that are not keyed have one global order; they are aggregates (one row a time bucket), not raw rows.
+    No task holds the series: rows are dealt by ranges of time, places are those in the range plus the rows of the ranges
+    before it, and the last rows of a stretch are copied to the next. Rows of one time go by their values.
     """
-    w = Window.orderBy(time)
-    return df.select(F.row_number().over(w).alias("t__"), *[(F.lag(c, k).over(w) if k else F.col(c)).cast("double").alias(f"{c}__{k}") for c in cols for k in range(max_lag + 1)])
+    size = max(size, max_lag)
+    parts = cut(df.select(F.col(time).alias("o__"), *cols).repartitionByRange("o__", *cols).withColumn("part__", F.spark_partition_id()))
+    sizes = parts.groupBy("part__").agg(F.count("*").alias("n__"))  # one row a shuffle partition
+    before = sizes.select("part__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
+    inside = F.row_number().over(Window.partitionBy("part__").orderBy("o__", *cols))
+    placed = parts.withColumn("i__", inside).join(F.broadcast(before), "part__").withColumn("t__", F.col("before__") + F.col("i__"))
+    own = F.floor((F.col("t__") - 1) / size)
+    near_end = (F.col("t__") - 1) % size >= size - max_lag
+    return placed.select("t__", *cols, F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))).alias("block__"))
+
+
+def lagged(df: DataFrame, cols: list[str], max_lag: int, time: str = "time", size: int = STRETCH) -> DataFrame:
+    """Rows in time order with lags of every column: columns t__ and c__0 ... c__max_lag."""
+    w = Window.partitionBy("block__").orderBy("t__")
+    x = stretches(df, cols, max_lag, time, size)
+    lags = x.select("t__", "block__", *[(F.lag(c, k).over(w) if k else F.col(c)).cast("double").alias(f"{c}__{k}") for c in cols for k in range(max_lag + 1)])
+    return lags.where(F.col("block__") == F.floor((F.col("t__") - 1) / max(size, max_lag))).drop("block__")
 
 
 def gram(df: DataFrame, cols: list[str]) -> np.ndarray:
@@ -152,7 +174,7 @@ def granger(df: DataFrame, cols: list[str], max_lag: int = 10, alpha: float = 0.
     if n < least:
         return spark.createDataFrame([], schema)
     lags = min(max_lag, n // 10)
-    x = lagged(base.select(time, *[(F.col(c) - F.lit(means[c])).alias(c) for c in cols]), cols, lags, time)
+    x = cut(lagged(base.select(time, *[(F.col(c) - F.lit(means[c])).alias(c) for c in cols]), cols, lags, time))
     out = []
     for p in range(1, lags + 1):
         use = [f"{c}__{k}" for c in cols for k in range(p + 1)]
@@ -178,27 +200,51 @@ def granger(df: DataFrame, cols: list[str], max_lag: int = 10, alpha: float = 0.
     return spark.createDataFrame(rows, schema)
 
 
-def cross_correlation(df: DataFrame, cols: list[str], max_lag: int = 100, least: int = 2, threshold: float = 0.5, time: str = "time", direction: str = "lead") -> DataFrame:
-    """source, target, lag, r: the shift with the largest abs(normalized cross-correlation); the leader is source ("lead"), or the follower ("follow")."""
+def cross_correlation(df: DataFrame, cols: list[str], max_lag: int = 100, least: int = 2, threshold: float = 0.5, time: str = "time", direction: str = "lead", size: int = STRETCH) -> DataFrame:
+    """source, target, lag, r, n: the shift with the largest abs(normalized cross-correlation); the leader is source ("lead"), or the follower ("follow").
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+    Each stretch of the series adds up its lagged products of all columns; what is collected has a number for each lag
+    and pair of columns, whatever the rows. A null stays in its place and adds nothing; means, norm and n of a pair are
+    over the rows that have both. Pairs without any spread have r 0.
+    """
+    spark, c = df.sparkSession, len(cols)
+    df = cut(df.select(time, *cols))
+    means = df.agg(*[F.avg(F.col(x).cast("double")).alias(x) for x in cols]).first()
+    centred = df.select(time, *[(F.col(x).cast("double") - F.lit(means[x])).alias(x) for x in cols])
+    size = max(size, max_lag)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t__")
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        x, y = (v - v.mean() for v in (x, y))
-        norm = np.sqrt((x**2).sum() * (y**2).sum())
-        n = len(x)
-        m = 1 << (2 * n - 1).bit_length()
-        full = np.fft.irfft(np.fft.rfft(x, m) * np.conj(np.fft.rfft(y, m)), m)
-        lags = np.arange(-min(max_lag, n - 1), min(max_lag, n - 1) + 1)
-        r = full[lags % m] / norm if norm > 0 else np.zeros(len(lags))
+        x, first = pdf[cols].to_numpy(float), int((pdf["t__"] - 1 < pdf["block__"] * size).sum())
+        z = np.concatenate([np.nan_to_num(x), ~np.isnan(x)], axis=1)
+        out = []
+        for k in range(max_lag + 1):
+            at = np.arange(max(first, k), len(z))
+            out.append(z[at].T @ z[at - k])
+        out.append((z[first:] ** 2).T @ z[first:])  # squares where the other column has a value
+        k, i, j = np.indices((len(out), 2 * c, 2 * c))
+        return pd.DataFrame({"k": k.ravel(), "i": i.ravel(), "j": j.ravel(), "v": np.array(out).ravel()})
+
+    parts = stretches(centred, cols, max_lag, time, size).groupBy("block__").applyInPandas(sums, "k int, i int, j int, v double")
+    total = np.zeros((max_lag + 2, 2 * c, 2 * c))
+    for r in parts.groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect():
+        total[r["k"], r["i"], r["j"]] = r["v"]
+    rows = []
+    for a, b in itertools.combinations(cols, 2):
+        i, j = cols.index(a), cols.index(b)
+        n = int(total[0, c + i, c + j])
+        if not n:
+            continue
+        ma, mb = total[0, i, c + j] / n, total[0, j, c + i] / n
+        norm = np.sqrt(max(total[-1, i, c + j] - n * ma**2, 0) * max(total[-1, j, c + i] - n * mb**2, 0))
+        shifted = lambda i, j, mi, mj: (total[:, i, j] - mi * total[:, c + i, j] - mj * total[:, i, c + j] + mi * mj * total[:, c + i, c + j])[:-1]
+        later, earlier = shifted(i, j, ma, mb), shifted(j, i, mb, ma)  # a behind b by k; b behind a by k
+        r = np.concatenate([earlier[:0:-1], later]) / norm if norm > 1e-12 else np.zeros(2 * max_lag + 1)
         k = int(np.abs(r).argmax())
-        lag = int(lags[k])  # above 0: y leads x
-        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
+        lag = k - max_lag  # above 0: b leads a
         source, target = (b, a) if (lag > 0) == (direction == "lead") else (a, b)
-        return pd.DataFrame({"source": [source], "target": [target], "lag": [abs(lag)], "r": [float(r[k])], "n": [n]})
-
-    pairs = _pair_frames(df.withColumn("t__", F.col(time)), list(itertools.combinations(cols, 2)))
-    out = pairs.groupBy("a", "b").applyInPandas(work, "source string, target string, lag int, r double, n long")
+        rows.append((source, target, abs(lag), float(r[k]), n))
+    out = spark.createDataFrame(rows, "source string, target string, lag int, r double, n long")
     return out.where((F.col("lag") >= least) & (F.abs("r") >= threshold))
 
 

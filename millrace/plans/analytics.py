@@ -251,9 +251,12 @@ def kendall_pairs(spark, d):
     return rounded(discovery.kendall_pairs(v.wide_hours(spark, d), ["click", "error"]).select("a", "b", "tau"), 5)
 
 
-@query()
+@query(f"""WITH {P}, o AS (SELECT row_number() OVER (ORDER BY time) AS i, * FROM p), x AS (UNPIVOT (SELECT * EXCLUDE time FROM o) ON click, error, purchase, signup, view INTO NAME c VALUE v),
+z AS (SELECT i, c, v - avg(v) OVER (PARTITION BY c) AS v FROM x), q AS (SELECT c, sqrt(sum(v * v)) AS s, count(*) AS n FROM z GROUP BY c), t AS (SELECT a.c AS a, b.c AS b, a.i - b.i AS lag, sum(a.v * b.v) AS v FROM z a JOIN z b ON a.c < b.c AND abs(a.i - b.i) <= 48 GROUP BY 1, 2, 3),
+m AS (SELECT a, b, arg_max(lag, abs(v)) AS lag, arg_max(v, abs(v)) AS v FROM t GROUP BY 1, 2)
+SELECT CASE WHEN lag > 0 THEN b ELSE a END AS source, CASE WHEN lag > 0 THEN a ELSE b END AS target, CAST(abs(lag) AS INTEGER) AS lag, round(m.v / (qa.s * qb.s), 6) AS r, qa.n FROM m JOIN q qa ON qa.c = a JOIN q qb ON qb.c = b WHERE abs(lag) >= 2 AND abs(m.v / (qa.s * qb.s)) >= 0.05""")
 def cross_correlation(spark, d):
-    return discovery.cross_correlation(v.wide_hours(spark, d), v.PARAMS, max_lag=48, threshold=0.05)
+    return rounded(discovery.cross_correlation(v.wide_hours(spark, d), v.PARAMS, max_lag=48, threshold=0.05))
 
 
 @query(f"""WITH {P}, x AS (SELECT time, count(*) OVER w AS n, corr(click, error) OVER w AS r FROM p WINDOW w AS (ORDER BY time ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)) SELECT time, round(CASE WHEN n = 48 THEN r END, 6) AS corr_click_error FROM x""")

@@ -149,6 +149,23 @@ def test_lead_is_the_source(spark):
     assert te["x", "y"] > 3 * te["y", "x"]
 
 
+def test_lags_do_not_depend_on_stretches(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=103)
+    y = np.concatenate([rng.normal(size=4), x[:-4]]) + rng.normal(0, 0.1, 103)
+    rows = [(i, float(a), float(b) if i != 50 else None) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "time long, x double, y double")
+    for size in (10, 65_536):
+        got = sorted(tuple(r) for r in discovery.lagged(df, ["x", "y"], 3, size=size).collect())
+        assert len(got) == 103 and all(r[0] == i + 1 and list(r[1:5]) == [float(x[i - k]) if i >= k else None for k in range(4)] for i, r in enumerate(got))
+        (r,) = discovery.cross_correlation(df, ["x", "y"], 10, size=size).collect()
+        p, q = np.delete(x, 50), np.delete(y, 50)
+        norm = math.sqrt(((p - p.mean()) ** 2).sum() * ((q - q.mean()) ** 2).sum())
+        want = sum((x[i - 4] - p.mean()) * (y[i] - q.mean()) for i in range(4, 103) if i != 50) / norm
+        assert (r["source"], r["target"], r["lag"], r["n"]) == ("x", "y", 4, 102) and r["r"] == pytest.approx(want)
+    assert discovery.cross_correlation(df.where("false"), ["x", "y"], 10).count() == 0 and discovery.lagged(df.where("false"), ["x", "y"], 3).count() == 0
+
+
 def test_kendall_counts_pairs():
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, 9, 120).astype(float), rng.integers(0, 9, 120).astype(float)
