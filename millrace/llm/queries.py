@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, centroids, chat, classifier, html, mixing, packing, repair, rules, simhash, token_files, warc
+from millrace.llm import ann, centroids, chat, classifier, html, mixing, odd_sketch, packing, repair, rules, simhash, token_files, warc
 from millrace.llm.common import load, shared_folder, staged
 
 
@@ -65,6 +65,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(load(spark, sf_dir, "pages"))
 
 
+def op11_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = load(spark, sf_dir, "conversations")
     return repair.audits(repair.damage(conversations), conversations)
@@ -113,7 +117,7 @@ FROM b WHERE other IS DISTINCT FROM rec""".replace("\r\n", "' || chr(13) || chr(
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_files, op4_mixing, op5_quality_classifier, op6_merkle_audit, op7_one_bit_search, op8_packing, op9_simhash, op10_html_text, op12_conversation_repair, op13_sharded_lloyd)
+    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_token_files, op4_mixing, op5_quality_classifier, op6_merkle_audit, op7_one_bit_search, op8_packing, op9_simhash, op10_html_text, op11_odd_sketch, op12_conversation_repair, op13_sharded_lloyd)
 }
 
-SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_quality_rules": _quality_sql(), "op6_merkle_audit": _AUDIT_SQL, "op12_conversation_repair": repair.SQL, "op13_sharded_lloyd": centroids.sql()}
+SQL: dict[str, str] = {"op1_chat_format": chat.SQL, "op2_quality_rules": _quality_sql(), "op6_merkle_audit": _AUDIT_SQL, "op11_odd_sketch": odd_sketch.SQL, "op12_conversation_repair": repair.SQL, "op13_sharded_lloyd": centroids.sql()}
