@@ -120,7 +120,7 @@ def moved(blocks: DataFrame, near: DataFrame, centroids: np.ndarray, shards: int
 
 def lloyd(vectors: DataFrame, column: str = "embedding", dims: int = 64, k: int = K, rounds: int = ROUNDS, shards: int = SHARDS, scale: int = SCALE, seed: int = SEED) -> DataFrame:
     """vec_id, cluster, distance, cluster_inertia, inertia and centroid_sha256, a row for each vector that takes part."""
-    rows = whole_numbers(vectors, column, dims, scale)
+    rows, shards = whole_numbers(vectors, column, dims, scale), min(shards, dims)
     kind = rows.schema["vec_id"].dataType.simpleString()
     centroids = starting(rows, k, seed)
     if not len(centroids):
