@@ -7,6 +7,7 @@ Event patterns are joins and counts over n-grams of ordered sequences.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,30 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.graph import cut
-
 from millrace.functions.columns import micros
 from millrace.operators.anomaly import f_p_value, t_p_value, with_p_value
 from millrace.operators.features import all_correlations
+from millrace.operators.graph import cut
+from millrace.operators.order import GROUP, STRIPS, average_ranks, discordant, quantiles
 
 TIE = "measurement_id"
 
 
-def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Each column replaced by its average rank. Values are counted first; ranks come from running sums over distinct values, in range-partitioned order."""
-    out = df
-    for c in cols:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v__")).agg(F.count("*").alias("k__"))
-        # running sums in two levels: within buckets of the value's place, then over buckets
-        bounds = counts.select(F.percentile_approx("v__", F.array(*[F.lit(i / 32) for i in range(1, 32)]), F.lit(1000)).alias("q__"))
-        placed = counts.crossJoin(F.broadcast(bounds)).withColumn("b__", F.size(F.filter("q__", lambda q: q < F.col("v__"))))  # one row
-        inner = Window.partitionBy("b__").orderBy("v__").rowsBetween(Window.unboundedPreceding, -1)
-        before = placed.groupBy("b__").agg(F.sum("k__").alias("s__")).withColumn("t__", F.coalesce(F.sum("s__").over(Window.orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 32 rows
-        ranks = placed.withColumn("p__", F.coalesce(F.sum("k__").over(inner), F.lit(0))).join(F.broadcast(before.select("b__", "t__")), "b__").select("v__", (F.col("t__") + F.col("p__") + (F.col("k__") + 1) / 2).alias("rank__"))
-        out = out.join(ranks, F.col(c) == F.col("v__"), "left").withColumn(c, F.col("rank__")).drop("v__", "rank__")
-    return out
-
-
 def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
     """a, b, r for every pair of columns, also each with itself."""
     base = average_ranks(df.select(*cols).dropna(), cols) if method == "spearman" else df
@@ -66,48 +52,42 @@ def correlate_pairs(df: DataFrame, cols: list[str], methods: tuple[str, ...] = (
     return reduce(DataFrame.unionByName, out)
 
 
-def kendall(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Tau-b and its two-sided p-value (normal approximation with ties)."""
-    from math import erfc, sqrt
-
-    n = len(x)
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-
-    def ties(v: np.ndarray) -> np.ndarray:
-        return np.unique(v, return_counts=True)[1].astype(float)
+def kendall_pairs(df: DataFrame, cols: list[str], group: int = GROUP, strips: int = STRIPS) -> DataFrame:
+    """a, b, tau (tau-b), p_value (two-sided, normal approximation with ties), n of each pair of columns, over rows that have both.
 
-    tx, ty = ties(x), ties(y)
-    txy = np.unique(np.stack([x, y], axis=1), axis=0, return_counts=True)[1].astype(float)
-    n0, n1, n2, n3 = n * (n - 1) / 2, (tx * (tx - 1) / 2).sum(), (ty * (ty - 1) / 2).sum(), (txy * (txy - 1) / 2).sum()
-    swaps, rank = 0, np.unique(y, return_inverse=True)[1]
-    width = 1
-    while width < n:  # bottom-up merge sort; inversions of each merge by binary search
-        for a in range(0, n, 2 * width):
-            left, right = rank[a : a + width], rank[a + width : a + 2 * width]
-            swaps += int((len(left) - np.searchsorted(left, right, "right")).sum())
-            rank[a : a + 2 * width] = np.sort(rank[a : a + 2 * width], kind="stable")
-        width *= 2
-    if n0 == n1 or n0 == n2:
-        return float("nan"), float("nan")
-    s = n0 - n1 - n2 + n3 - 2 * swaps
-    v0, vt, vu = n * (n - 1) * (2 * n + 5), (tx * (tx - 1) * (2 * tx + 5)).sum(), (ty * (ty - 1) * (2 * ty + 5)).sum()
-    v1 = (tx * (tx - 1)).sum() * (ty * (ty - 1)).sum() / (2 * n * (n - 1))
-    v2 = (tx * (tx - 1) * (tx - 2)).sum() * (ty * (ty - 1) * (ty - 2)).sum() / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0.0
-    return float(s / sqrt((n0 - n1) * (n0 - n2))), erfc(abs(s) / sqrt((v0 - vt - vu) / 18 + v1 + v2) / sqrt(2))
-
-
-def _pair_frames(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """a, b, t, x, y: for pair statistics that need whole ordered series; two numbers a row and pair."""
-    return df.select("t__", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("p")).select("t__", "p.*").where("x IS NOT NULL AND y IS NOT NULL")
-
-
-def kendall_pairs(df: DataFrame, cols: list[str], time: str = "time") -> DataFrame:
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        tau, p = kendall(pdf["x"].to_numpy(), pdf["y"].to_numpy())
-        return pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "tau": [tau], "p_value": [p], "n": [len(pdf)]})
-
-    return _pair_frames(df.withColumn("t__", F.col(time)), list(itertools.combinations(cols, 2))).groupBy("a", "b").applyInPandas(work, "a string, b string, tau double, p_value double, n long")
+    Equal points are counted first; discordant pairs are counted strip by strip (order.discordant), ties by value, so no
+    task holds a series. A column without spread gives null. NaN counts as null.
+    """
+    pairs = list(itertools.combinations(cols, 2))
+    here = lambda c: F.col(c).cast("double")
+    points = df.select(F.explode(F.array(*[F.struct(F.lit(str(i)).alias("g"), here(a).alias("x"), here(b).alias("y")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
+    points = cut(points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").groupBy("g", "x", "y").agg(F.count("*").alias("k")))
+    t = F.col("t").cast("double")
+    two = t * (t - 1)
+
+    def ties(name: str, *by: str) -> DataFrame:
+        of = points.groupBy("g", *by).agg(F.sum("k").alias("t")) if by != ("x", "y") else points.withColumnRenamed("k", "t")
+        return of.groupBy("g").agg(F.sum(t).alias(f"n_{name}"), F.sum(two).alias(f"two_{name}"), F.sum(two * (t - 2)).alias(f"three_{name}"), F.sum(two * (2 * t + 5)).alias(f"five_{name}"))
+
+    sums = ties("x", "x").join(ties("y", "y"), "g").join(ties("xy", "x", "y"), "g").join(discordant(points, group, strips), "g", "left")
+
+    def tau(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                a, b = pairs[int(r["g"])]
+                n = r["n_x"]
+                n0, n1, n2, n3 = n * (n - 1) / 2, r["two_x"] / 2, r["two_y"] / 2, r["two_xy"] / 2
+                if n0 == n1 or n0 == n2:
+                    out.append((a, b, None, None, int(n)))
+                    continue
+                s = n0 - n1 - n2 + n3 - 2 * float(r["d"] or 0)
+                v = (n * (n - 1) * (2 * n + 5) - r["five_x"] - r["five_y"]) / 18 + r["two_x"] * r["two_y"] / (2 * n * (n - 1))
+                v += r["three_x"] * r["three_y"] / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0.0
+                out.append((a, b, s / math.sqrt((n0 - n1) * (n0 - n2)), math.erfc(abs(s) / math.sqrt(2 * v)), int(n)))
+            yield pd.DataFrame(out, columns=["a", "b", "tau", "p_value", "n"])
+
+    return sums.mapInPandas(tau, "a string, b string, tau double, p_value double, n long")  # a row for each pair
 
 
 #: Rows of a series that one task holds at once.
@@ -260,49 +240,89 @@ def highly_correlated(df: DataFrame, cols: list[str], threshold: float = 0.8) ->
 
 
 def quantile_bins(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
-    """Columns as bin numbers by exact quantiles (one row of bounds)."""
-    qs = [i / bins for i in range(1, bins)]
-    bounds = df.agg(*[F.percentile(c, F.array(*[F.lit(q) for q in qs])).alias(f"q{i}__") for i, c in enumerate(cols)])
-    out = df.crossJoin(F.broadcast(bounds))  # one row
-    place = lambda i, c: F.size(F.filter(f"q{i}__", lambda q: q <= F.col(c)))
-    return out.withColumns({c: place(i, c) for i, c in enumerate(cols)}).drop(*[f"q{i}__" for i in range(len(cols))])
+    """Columns as bin numbers by exact quantiles."""
+    bounds = quantiles(df, cols, [i / bins for i in range(1, bins)])
+    place = lambda c: F.size(F.filter(F.array(*[F.lit(q) for q in bounds[c]]).cast("array<double>"), lambda q: q <= F.col(c)))
+    return df.withColumns({c: place(c) for c in cols})
 
 
-def entropy_transfer(df: DataFrame, cols: list[str], max_lag: int = 5, bins: int = 10, time: str = "time") -> DataFrame:
-    """source, target, lag, te: transfer entropy in bits for each ordered pair and lag, from joint counts."""
-    x = lagged(quantile_bins(df.select(time, *cols).dropna(), cols, bins), cols, max_lag, time)
+def joint_counts(df: DataFrame, cols: list[str], max_lag: int = 5, bins: int = 10, time: str = "time") -> DataFrame:
+    """source, target, lag, y, y1, x, c: how often the target's bin y followed y1 while the source's bin was x, lag rows before y."""
+    x = lagged(quantile_bins(cut(df.select(time, *cols).dropna()), cols, bins), cols, max_lag, time)
     rows = [F.struct(F.lit(s).alias("source"), F.lit(t).alias("target"), F.lit(k).alias("lag"), F.col(f"{t}__0").alias("y"), F.col(f"{t}__1").alias("y1"), F.col(f"{s}__{k}").alias("x")) for s, t in itertools.permutations(cols, 2) for k in range(1, max_lag + 1)]
-    joint = x.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("y1 IS NOT NULL AND x IS NOT NULL").groupBy("source", "target", "lag", "y", "y1", "x").agg(F.count("*").alias("c"))
+    return x.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("y1 IS NOT NULL AND x IS NOT NULL").groupBy("source", "target", "lag", "y", "y1", "x").agg(F.count("*").alias("c"))
+
+
+def entropies(joint: DataFrame) -> DataFrame:
+    """source, target, lag, te: transfer entropy in bits, from joint counts."""
     by = lambda *k: F.sum("c").over(Window.partitionBy("source", "target", "lag", *k))
     terms = joint.withColumns({"n": by(), "cyx": by("y1", "x"), "cyy": by("y", "y1"), "cy1": by("y1")})
     te = F.sum(F.col("c") / F.col("n") * F.log2((F.col("c") / F.col("cyx")) / (F.col("cyy") / F.col("cy1"))))
     return terms.groupBy("source", "target", "lag").agg(te.alias("te"))
 
 
+def entropy_transfer(df: DataFrame, cols: list[str], max_lag: int = 5, bins: int = 10, time: str = "time") -> DataFrame:
+    """source, target, lag, te: transfer entropy in bits for each ordered pair and lag, from joint counts."""
+    return entropies(joint_counts(df, cols, max_lag, bins, time))
+
+
+def random_table(rng: np.random.Generator, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """A table of counts with these sums of rows and columns, distributed as if one of two labels of every element were shuffled.
+
+    Column by column, each a multivariate hypergeometric draw from what is left. From 10^9 elements on, where numpy has no
+    exact draw, a row's share is normal with the same mean and variance (its error is beyond the 9th digit).
+    """
+    left, out = rows.astype(np.int64).copy(), np.zeros((len(rows), len(columns)), np.int64)
+    for j, want in enumerate(columns.tolist()):
+        total = int(left.sum())
+        if j == len(columns) - 1 or want == total:
+            out[:, j] = left
+        elif total < 10**9:
+            out[:, j] = rng.multivariate_hypergeometric(left, want, method="marginals")
+        else:
+            need, rest = want, total
+            for i, have in enumerate(left.tolist()):
+                mean = need * have / rest
+                var = mean * (1 - have / rest) * (rest - need) / max(rest - 1, 1)
+                got = int(np.clip(round(rng.normal(mean, max(var, 0) ** 0.5)), max(0, need - (rest - have)), min(have, need)))
+                out[i, j], need, rest = got, need - got, rest - have
+        left -= out[:, j]
+    return out
+
+
 def transfer_entropy(df: DataFrame, cols: list[str], max_lag: int = 5, bins: int = 10, shuffles: int = 100, alpha: float = 0.05, seed: int = 1, time: str = "time") -> DataFrame:
-    """The lag of largest transfer entropy of each ordered pair, against seeded shuffles of the source: z, p and is_causal."""
-    best = entropy_transfer(df, cols, max_lag, bins, time).groupBy("source", "target").agg(F.max_by(F.struct("lag", "te"), F.struct("te", -F.col("lag"))).alias("b")).select("source", "target", "b.*")
-    binned = quantile_bins(df.select(time, *cols).dropna(), cols, bins).withColumn("t__", F.col(time))
-    series = _pair_frames(binned, list(itertools.permutations(cols, 2))).join(F.broadcast(best), (F.col("a") == F.col("source")) & (F.col("b") == F.col("target")))
+    """The lag of largest transfer entropy of each ordered pair, against seeded shuffles of the source: te, null_mean, null_std, z, p_value, is_causal.
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t__")
-        lag, te = int(pdf["lag"].iloc[0]), float(pdf["te"].iloc[0])
-        x, y = pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
-        rng, k = np.random.default_rng(seed), bins + 1
-        own, y0, y1 = x[: len(x) - lag], y[lag:], y[lag - 1 : len(y) - 1]
-
-        def h(code: np.ndarray) -> float:
-            p = np.bincount(code)
-            p = p[p > 0] / len(code)
+    A shuffle of the source leaves the counts of its bins and of the target's steps (y, y1) as they are and deals one to the
+    other at random, so the shuffled joint counts are drawn from these sums directly (random_table): no series is gathered
+    or sorted again, and a shuffle costs a few thousand numbers at any length of the series.
+    """
+    joint = cut(joint_counts(df, cols, max_lag, bins, time))
+    best = entropies(joint).groupBy("source", "target").agg(F.max_by(F.struct("lag", "te"), F.struct("te", -F.col("lag"))).alias("b")).select("source", "target", "b.*")
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:  # at most (bins + 1)^3 rows
+        source, target, te = pdf["source"].iloc[0], pdf["target"].iloc[0], float(pdf["te"].iloc[0])
+        code = pdf["y1"] * (bins + 1) + pdf["y"]
+        steps, xs = (v.groupby(k).sum() for v, k in ((pdf["c"], code), (pdf["c"], pdf["x"])))
+        y1 = (steps.index // (bins + 1)).to_numpy()
+        rng = np.random.default_rng([seed, *f"{source}>{target}".encode()])
+
+        def h(counts: np.ndarray) -> float:
+            p = counts[counts > 0] / counts.sum()
             return float(-(p * np.log2(p)).sum())
 
-        fixed = h(y0 * k + y1) - h(y1)
-        null = np.array([fixed - h((y0 * k + y1) * k + s) + h(y1 * k + s) for s in (rng.permutation(own) for _ in range(shuffles))])
-        z = (te - null.mean()) / null.std() if null.std() > 0 else 0.0
-        return pd.DataFrame({"source": [pdf["a"].iloc[0]], "target": [pdf["b"].iloc[0]], "lag": [lag], "te": [te], "z": [z], "p_value": [(1 + (null >= te).sum()) / (1 + shuffles)]})
-
-    out = series.groupBy("a", "b").applyInPandas(work, "source string, target string, lag int, te double, z double, p_value double")
+        of_y1 = np.stack([y1 == v for v in np.unique(y1)]).astype(np.int64)
+        fixed = h(steps.to_numpy()) - h(of_y1 @ steps.to_numpy())
+        null = []
+        for _ in range(shuffles):
+            drawn = random_table(rng, steps.to_numpy(), xs.to_numpy())
+            null.append(fixed - h(drawn.ravel()) + h((of_y1 @ drawn).ravel()))
+        mean, std = float(np.mean(null)), float(np.std(null))
+        z = (te - mean) / std if std > 0 else 0.0
+        return pd.DataFrame({"source": [source], "target": [target], "lag": [int(pdf["lag"].iloc[0])], "te": [te], "null_mean": [mean], "null_std": [std], "z": [z], "p_value": [(1 + int((np.array(null) >= te).sum())) / (1 + shuffles)]})
+
+    found = joint.join(best, ["source", "target", "lag"])
+    out = found.groupBy("source", "target").applyInPandas(work, "source string, target string, lag int, te double, null_mean double, null_std double, z double, p_value double")
     return out.withColumn("is_causal", F.col("p_value") < alpha)
 
 

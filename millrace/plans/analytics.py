@@ -251,6 +251,13 @@ def kendall_pairs(spark, d):
     return rounded(discovery.kendall_pairs(v.wide_hours(spark, d), ["click", "error"]).select("a", "b", "tau"), 5)
 
 
+@query(f"""WITH s AS (SELECT event_id AS i, value AS a, CAST(user_id AS DOUBLE) AS b, CAST(hour(ts) AS DOUBLE) AS c FROM events), p AS ({" UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, count(*) AS n, sum(sign(s.{k} - t.{k}) * sign(s.{m} - t.{m})) AS d, count(*) FILTER (WHERE s.{k} <> t.{k}) AS nx, count(*) FILTER (WHERE s.{m} <> t.{m}) AS ny FROM s JOIN s t ON s.i < t.i" for x, y, k, m in (("value", "user", "a", "b"), ("value", "hour", "a", "c"), ("user", "hour", "b", "c")))})
+SELECT a, b, round(d / sqrt(nx * CAST(ny AS DOUBLE)), 6) AS tau, CAST(round((1 + sqrt(1 + 8 * n)) / 2, 0) AS BIGINT) AS n FROM p""")
+def kendall_events(spark, d):
+    rows = v.load(spark, d, "events").select("value", F.col("user_id").alias("user"), F.hour("ts").alias("hour"))
+    return rounded(discovery.kendall_pairs(rows, ["value", "user", "hour"]).select("a", "b", "tau", "n"))
+
+
 @query(f"""WITH {P}, o AS (SELECT row_number() OVER (ORDER BY time) AS i, * FROM p), x AS (UNPIVOT (SELECT * EXCLUDE time FROM o) ON click, error, purchase, signup, view INTO NAME c VALUE v),
 z AS (SELECT i, c, v - avg(v) OVER (PARTITION BY c) AS v FROM x), q AS (SELECT c, sqrt(sum(v * v)) AS s, count(*) AS n FROM z GROUP BY c), t AS (SELECT a.c AS a, b.c AS b, a.i - b.i AS lag, sum(a.v * b.v) AS v FROM z a JOIN z b ON a.c < b.c AND abs(a.i - b.i) <= 48 GROUP BY 1, 2, 3),
 m AS (SELECT a, b, arg_max(lag, abs(v)) AS lag, arg_max(v, abs(v)) AS v FROM t GROUP BY 1, 2)

@@ -166,14 +166,6 @@ def test_lags_do_not_depend_on_stretches(spark):
     assert discovery.cross_correlation(df.where("false"), ["x", "y"], 10).count() == 0 and discovery.lagged(df.where("false"), ["x", "y"], 3).count() == 0
 
 
-def test_kendall_counts_pairs():
-    rng = np.random.default_rng(0)
-    x, y = rng.integers(0, 9, 120).astype(float), rng.integers(0, 9, 120).astype(float)
-    dx, dy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
-    want = (dx * dy).sum() / math.sqrt((dx**2).sum() * (dy**2).sum())
-    assert discovery.kendall(x, y)[0] == pytest.approx(want)
-
-
 def test_p_values():
     assert anomaly.t_p_value(2.228, 10) == pytest.approx(0.05, abs=2e-4)
     assert anomaly.f_p_value(4.965, 1, 10) == pytest.approx(0.05, abs=2e-4)
