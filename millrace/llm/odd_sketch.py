@@ -9,11 +9,10 @@ threshold are dropped; the others are confirmed on their full sets, so no dissim
 
 Sets are compared once, however many rows have them: groups of copies of any size are one node. Not all pairs
 of a bucket are formed. First every member of a bucket meets the bucket's smallest node, in a few bands, then
-in the others where that didn't connect them. In buckets that still hold several groups, each set outside
-the largest group meets the set with the most similar sketch of that group, and at last all similar
-sketches of different groups do. Large buckets are compared in slices of `slice_rows` sketches. So what is
-confirmed grows with the rows, and beyond that only with pairs whose sketches look similar and whose
-groups never link.
+in the others where that didn't connect them. Buckets that still hold several groups are compared in cells of
+up to two slices of `slice_rows` members, those outside the largest group with it and with one another: sketches
+first, then the full sets of those that are close to another one. Only links leave a cell, and a pair is compared
+in the first bucket that it shares.
 
 Hashes of shingles have 64 bits and stand for the shingles. Null text or no words: an empty set, linked with
 nothing. Fewer words than a shingle has: one shingle of all words. Null doc_id: the row takes part, and a
@@ -26,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +123,8 @@ def full_sets(docs: DataFrame, rows: DataFrame, chosen: DataFrame, shingle: int)
     repeated = rows.groupBy("salt").agg(F.count("*").alias("times")).where("times > 1")
     chosen = staged(chosen.join(repeated, "salt", "left").select(F.col("salt").alias("salt__"), "unit", F.col("times").isNotNull().alias("several")), "chosen")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key__"), F.col("text").cast("string").alias("text"))
-    of = lambda cond: keyed.join(chosen.where(cond), F.col("key__") == F.col("salt__")).select("unit", "text")
+    # texts are dealt by that key at every size, so that what a run needs grows in proportion
+    of = lambda cond: keyed.join(chosen.where(cond).hint("merge"), F.col("key__") == F.col("salt__")).select("unit", "text")
     texts = of("NOT several")
     if not chosen.where("several").isEmpty():
         texts = texts.unionByName(of("several").dropDuplicates(["unit"]))
@@ -155,41 +156,68 @@ def confirmed(pairs: DataFrame, info: DataFrame, sets: DataFrame, least: int) ->
     return staged(both.where(100 * F.col("common").cast("long") >= least * (F.col("n_a") + F.col("n_b") - F.col("common")).cast("long")).select("a", "b"), "confirmed")
 
 
-def _close(x: np.ndarray, y: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Rows are (main, group, unit, n, sketch...): how far each of x is from each of y, at most `most`, or most + 1."""
+def _close(x: np.ndarray, y: np.ndarray, band: int, least: int, most: int) -> np.ndarray:
+    """Places (i, j) of rows of x and y of different groups whose sketches are close, whose sizes allow the similarity, and that share no key of a band before. Rows: main, group, unit, n, sketch..., keys..."""
     far = np.zeros((len(x), len(y)), np.int16)
     for i in range(4, 4 + WORDS):
         far += np.bitwise_count(x[:, i].view(np.uint64)[:, None] ^ y[:, i].view(np.uint64)[None, :])
     sizes = x[:, 3][:, None], y[:, 3][None, :]
-    ok = (far <= most) & (least * np.maximum(*sizes) <= 100 * np.minimum(*sizes)) & (x[:, 1][:, None] != y[:, 1][None, :])
-    return np.where(ok, far, most + 1)
-
-
-def cell_pairs(rows: np.ndarray, rest: bool, best: bool, least: int, most: int) -> list[tuple[int, int]]:
-    """Units of similar sketches and different groups: of those outside the main group with it, or with one another; only the nearest of each with best."""
-    outside = np.ascontiguousarray(rows[rows[:, 0] == 0])
-    others = outside if rest else np.ascontiguousarray(rows[rows[:, 0] == 1])
-    out = []
-    for at in range(0, len(outside) if len(others) > rest else 0, 256):
-        some = outside[at : at + 256]
-        far = _close(some, others, least, most)
-        if best:
-            near = far.argmin(axis=1)
-            out += [(int(some[i, 2]), int(others[j, 2])) for i, j in enumerate(near.tolist()) if far[i, j] <= most]
-        else:
-            out += [(int(some[i, 2]), int(others[j, 2])) for i, j in np.argwhere(far <= most).tolist()]
-    return [(min(p), max(p)) for p in out]
-
-
-def across(shared: DataFrame, groups: DataFrame, info: DataFrame, best: bool, least: int, slice_rows: int) -> DataFrame:
-    """Pairs (a, b) of similar sketches in one bucket but different groups. groups: unit and group of the units that have links."""
-    members = shared.select("key", "unit").join(groups, "unit", "left").select("key", "unit", F.coalesce("group", "unit").alias("group"))
+    at = np.argwhere((far <= most) & (least * np.maximum(*sizes) <= 100 * np.minimum(*sizes)) & (x[:, 1][:, None] != y[:, 1][None, :]))
+    if band and len(at):
+        first = slice(4 + WORDS, 4 + WORDS + band)
+        at = at[~(x[at[:, 0], first] == y[at[:, 1], first]).any(axis=1)]
+    return at
+
+
+def cell_pairs(rows: np.ndarray, rest: bool, band: int, least: int, most: int) -> Iterator[np.ndarray]:
+    """Places of such pairs in a cell: of rows outside the main group with it, or with one another (each once), some at a time."""
+    outside = np.flatnonzero(rows[:, 0] == 0)
+    others = outside if rest else np.flatnonzero(rows[:, 0] == 1)
+    if len(others) <= rest:
+        return
+    own = np.ascontiguousarray(rows[others])
+    for a in range(0, len(outside), 256):
+        some = outside[a : a + 256]
+        at = _close(np.ascontiguousarray(rows[some]), own, band, least, most)
+        pairs = np.stack([some[at[:, 0]], others[at[:, 1]]], axis=1)
+        yield pairs[pairs[:, 0] < pairs[:, 1]] if rest else pairs
+
+
+def cell_links(rows: np.ndarray, sets: list[np.ndarray], rest: bool, band: int, least: int, most: int) -> list[tuple[int, int]]:
+    """Places of the pairs of a cell that their full sets confirm; pairs that links of this cell have connected aren't compared any more."""
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    of = lambda i: codes[starts[i] : starts[i + 1]]
+    group, mark, out = rows[:, 1].copy(), np.zeros(int(codes.max(initial=0)) + 1, np.int64), []
+    for pairs in cell_pairs(rows, rest, band, least, most):
+        for i in np.unique(pairs[:, 0]).tolist():
+            partners = pairs[pairs[:, 0] == i, 1]
+            partners = partners[group[partners] != group[i]]
+            if not len(partners):
+                continue
+            mark[of(i)] = 1
+            sizes = starts[partners + 1] - starts[partners]
+            both = np.add.reduceat(mark[np.concatenate([of(j) for j in partners.tolist()])], np.cumsum(sizes) - sizes)
+            mark[of(i)] = 0
+            for j in partners[100 * both >= least * (len(of(i)) + sizes - both)].tolist():
+                if group[j] != group[i]:
+                    out.append((i, j))
+                    group[group == group[j]] = group[i]
+    return out
+
+
+def across(shared: DataFrame, groups: DataFrame, info: DataFrame, sets: DataFrame, least: int, slice_rows: int) -> DataFrame:
+    """Links (a, b) between different groups of one bucket that connect whatever its pairs of similar sets connect. groups: unit and group of the units that have links.
+
+    Sketches meet first; full sets come only of units with a close sketch in their cell, and each pair is compared in the first bucket that it shares.
+    """
+    members = shared.select("band", "key", "unit").join(groups, "unit", "left").select("band", "key", "unit", F.coalesce("group", "unit").alias("group"))
     members = staged(members, "members")
     sizes = members.groupBy("key", "group").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("k", "group")).alias("m"), F.sum("k").alias("all")).where(F.col("all") > F.col("m.k"))
     slices = lambda n: F.ceil(n / slice_rows).cast("int")
     mixed = mixed.select("key", F.col("m.group").alias("main"), slices(F.col("m.k")).alias("ins"), slices(F.col("all") - F.col("m.k")).alias("outs"))
-    rows = members.join(mixed, "key").join(info, "unit")
+    rows = members.join(mixed, "key")
     is_main = F.col("group") == F.col("main")
     own = lambda n: F.pmod(F.xxhash64(F.lit(61), "unit"), n).cast("long")
     upto = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda x: x.cast("long"))
@@ -198,29 +226,43 @@ def across(shared: DataFrame, groups: DataFrame, info: DataFrame, best: bool, le
     with_main = F.transform(upto(outs), lambda j: cell(0, own(ins), j))
     with_rest = F.concat(F.transform(upto(ins), lambda i: cell(0, i, own(outs))), F.transform(upto(outs), lambda j: cell(1, F.least(own(outs), j), F.greatest(own(outs), j))))
     rows = rows.withColumn("cell", F.explode(F.when(is_main, with_main).otherwise(with_rest)))
-    at = ["key", "rest", "i", "j"]
-    rows = rows.select("key", "cell.*", is_main.cast("long").alias("main"), "group", "unit", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(WORDS)])
-    most = farthest(least)
+    at, fixed = ["key", "rest", "i", "j", "band"], ["main", "group", "unit", "n"]
+    rows = staged(rows.select("key", "cell.*", F.col("band").cast("long").alias("band"), is_main.cast("long").alias("main"), "group", "unit"), "cells")
+    flat = ["n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(WORDS)], *[F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(BANDS)]]
+    most, width = farthest(least), len(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: np.ndarray | None = None  # the cell that the next batch may continue
 
-        def pairs(matrix: np.ndarray, last: bool) -> tuple[pa.RecordBatch, np.ndarray]:
+        def close(matrix: np.ndarray, last: bool) -> tuple[pa.RecordBatch, np.ndarray]:
             cuts = np.flatnonzero((matrix[1:, :4] != matrix[:-1, :4]).any(axis=1)) + 1
-            parts = np.split(matrix, cuts)
-            found = [p for part in (parts if last else parts[:-1]) for p in cell_pairs(part[:, 4:], bool(part[0, 1]), best, least, most)]
-            both = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"]), parts[-1]
+            parts, found = np.split(matrix, cuts), []
+            for part in parts if last else parts[:-1]:
+                here = np.zeros(len(part), bool)
+                for pairs in cell_pairs(part[:, width:], bool(part[0, 1]), int(part[0, 4]), least, most):
+                    here[pairs.ravel()] = True
+                found.append(part[here][:, [0, 1, 2, 3, 4, 5, 6, 7]])
+            out = np.concatenate(found) if found else np.zeros((0, 8), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, i]) for i in range(8)], [*at, *fixed[:3]]), parts[-1]
 
         for batch in batches:
             matrix = np.stack([c.to_numpy() for c in batch.columns], axis=1)
             if len(matrix):
-                found, carry = pairs(matrix if carry is None else np.concatenate([carry, matrix]), False)
+                found, carry = close(matrix if carry is None else np.concatenate([carry, matrix]), False)
                 yield found
         if carry is not None:
-            yield pairs(carry, True)[0]
+            yield close(carry, True)[0]
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.concatenate([pdf[[*fixed[:3], "n"]].to_numpy(np.int64), np.stack(pdf["sketch"]), np.stack(pdf["keys"])], axis=1)
+        found = cell_links(matrix, list(pdf["set"]), bool(pdf["rest"].iloc[0]), int(pdf["band"].iloc[0]), least, most)
+        unit = pdf["unit"].to_numpy()
+        return pd.DataFrame([(unit[i], unit[j]) for i, j in found], columns=["a", "b"], dtype="int64")
 
-    return rows.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.join(info, "unit").select(*at, "main", "group", "unit", *flat).repartition(*at).sortWithinPartitions(*at)
+    close = staged(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in [*at, *fixed[:3]])), "close")
+    whole = close.join(info, "unit").join(sets, "unit").select(*at, *fixed, "sketch", "keys", "set")
+    return staged(whole.groupBy(*at).applyInPandas(confirm, "a long, b long"), "across")
 
 
 def linked(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -234,7 +276,7 @@ def linked(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE, slice_ro
     tops = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("unit").alias("top")).where("n > 1").select("key", "top")
     shared = staged(keyed.join(tops, "key").select("band", "key", "unit", "top"), "shared")
     with_partner = units.join(shared.select("unit").distinct(), "unit", "left_semi")
-    info = staged(with_partner.select("unit", "salt", "n", "sketch"), "info")
+    info = staged(with_partner.select("unit", "salt", "n", "sketch", "keys"), "info")
     sets = full_sets(docs, rows, info.select("salt", "unit"), shingle)
     info = info.drop("salt")
 
@@ -249,12 +291,8 @@ def linked(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE, slice_ro
     group = lambda c: groups.select(F.col("unit").alias(c), F.col("group").alias(f"of_{c}"))
     split = pairs_with_top(shared.where(F.col("band") >= FIRST)).join(group("a"), "a", "left").join(group("b"), "b", "left")
     split = staged(split.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "split")
-    tried, found = split, found.unionByName(confirmed(split, info, sets, least))
-    for best in (True, False):
-        groups = groups_of(found)
-        more = across(shared, groups, info, best, least, slice_rows).join(tried, ["a", "b"], "left_anti")
-        more = staged(more, "pairs")
-        tried, found = tried.unionByName(more), found.unionByName(confirmed(more, info, sets, least))
+    found = found.unionByName(confirmed(split, info, sets, least))
+    found = found.unionByName(across(shared, groups_of(found), info, sets, least, slice_rows))
     return rows, units.select("unit", "first_id"), groups_of(found)
 
 
