@@ -14,7 +14,7 @@ from millrace.plans import views as v
 from millrace.plans.analytics import KEYS, W
 from millrace.plans.monitoring import FOUND, _ALARMS, _DRIFT, _STATS, _THRESHOLD, _found, _we_sql
 from millrace.plans.views import EQ, M, query, rounded
-from millrace.sources import files, topics
+from millrace.sources import files, topics, upserts
 from millrace.streaming import jobs
 
 
@@ -387,6 +387,4 @@ def upsert_stream(spark, d):
     path = _folder(spark, "upsert")
     s = spark.readStream.schema(v.load(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").select("user_id", F.col("ts").alias("time"), "value")
     jobs.upsert_stream(s, path, ["user_id"], ["time", "value"], "time", _folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(path)
-    top = last.agg(F.max("version").alias("v"))
-    return last.join(F.broadcast(top), F.col("version") == F.col("v")).select("user_id", "value")
+    return upserts.read_upserts(spark, path, s.schema, ["user_id"], ["time", "value"]).select("user_id", "value")

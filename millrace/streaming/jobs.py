@@ -17,9 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.columns import micros
 from millrace.operators.anomaly import nearest
-from millrace.operators.graph import shared_folder, upsert_by_key
+from millrace.operators.graph import shared_folder
 from millrace.operators.joins import enrich_measurements
 from millrace.operators.windows import window_stats
+from millrace.sources.upserts import BUCKETS, MOST, upsert
 
 
 def with_event_time(df: DataFrame, delay: str = "5 seconds", time: str = "time") -> DataFrame:
@@ -262,19 +263,11 @@ def ensemble_stream(df: DataFrame, seconds: int = 60, history: int = 1000, least
     return cols.groupBy("equipment_id", "param_id").applyInPandasWithState(work, schema, "open array<double>, past array<double>, scores array<double>, up double, down double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_stream(df: DataFrame, path: str, keys: list[str], update_cols: list[str], order: str, checkpoint: str):
-    """Each micro-batch becomes a new version of the table at path; a batch that is run again writes the same version."""
+def upsert_stream(df: DataFrame, path: str, keys: list[str], update_cols: list[str], order: str, checkpoint: str, buckets: int = BUCKETS, most: int = MOST):
+    """Each micro-batch goes into the buckets of the table at path that it touches (see sources.upserts); one that is run again gives the same table."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else None
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        merged = upsert_by_key(old if old is not None else batch.where("false"), batch, keys, update_cols, order)
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        upsert(batch, batch_id, path, keys, update_cols, order, buckets, most)
 
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
