@@ -6,6 +6,17 @@ from functools import reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+
+def corr(a: str | Column, b: str | Column, over: WindowSpec | None = None) -> Column:
+    """Pearson's correlation over the rows that have both, as an aggregate or over a window; null where one of them is constant (the built-in function fails there)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    a, b = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    both, x, y = (p.over(over) for p in parts) if over is not None else parts
+    r = both / F.nullif(x * y, F.lit(0.0))
+    return F.when(F.isnan(r), r).when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def fdc_status(value: Column, usl: Column, lsl: Column) -> Column:

@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.columns import corr
+from millrace.operators.graph import cut
+from millrace.operators.order import runs
+from millrace.operators.spectrum import WHOLE, seasonality, series_of
+
 TIE = "measurement_id"
 
 
@@ -122,7 +127,7 @@ def all_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     parts = []
     for at in range(0, len(pairs), 300):
         some = pairs[at : at + 300]
-        row = df.agg(*[x for i, (a, b) in enumerate(some) for x in (F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))).alias(f"r{i}"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}"))])
+        row = df.agg(*[x for i, (a, b) in enumerate(some) for x in (corr(a, b).alias(f"r{i}"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}"))])
         parts.append(row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(some)])).alias("x")).select("x.*"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -140,7 +145,7 @@ def interaction_features(df: DataFrame, cols: list[str], top_n: int = 5) -> Data
 
 def feature_ranking(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """Absolute correlation of each feature with the label (0 for constants), with its place."""
-    row = df.agg(*[F.corr(c, F.col(target).cast("double")).alias(f"r{i}") for i, c in enumerate(cols)])
+    row = df.agg(*[corr(c, F.col(target).cast("double")).alias(f"r{i}") for i, c in enumerate(cols)])
     out = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.coalesce(F.nanvl(f"r{i}", F.lit(0.0)), F.lit(0.0))).alias("importance")) for i, c in enumerate(cols)])).alias("x")).select("x.*")
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))  # a row for each feature
 
@@ -191,30 +196,35 @@ def train_test_split(df: DataFrame, ratio: float = 0.2, keys: list[str] | None =
     return df.withColumn("is_test", F.percent_rank().over(_ordered(keys or [], tie)) > 1 - ratio)
 
 
-def data_characteristics(df: DataFrame, cols: list[str], keys: list[str], label: str = "is_anomaly", tie: str = TIE) -> DataFrame:
-    """Per key: rows, features, anomaly ratio, mean abs lag-1 autocorrelation, mean coefficient of variation, trend, missing ratio, mean abs pair correlation, seasonality."""
-    w = _ordered(keys, tie)
-    x = df.withColumns({"i__": F.row_number().over(w).cast("double"), **{f"{c}_lag__": F.lag(c).over(w) for c in cols}})
-    mean = lambda cs: reduce(Column.__add__, [F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) for c in cs]) / max(len(cs), 1)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    g = x.groupBy(*keys).agg(
-        F.count("*").alias("rows"), F.avg(F.col(label).cast("double")).alias("anomaly_ratio"), mean([F.abs(F.corr(c, f"{c}_lag__")) for c in cols]).alias("autocorrelation"),
-        mean([F.when(F.avg(c) != 0, F.stddev_samp(c) / F.abs(F.avg(c))) for c in cols]).alias("mean_cv"), F.greatest(*[F.abs(F.corr(c, "i__")) > 0.5 for c in cols], F.lit(False)).alias("has_trend"),
-        mean([F.avg(F.col(c).isNull().cast("double")) for c in cols]).alias("missing_ratio"), (mean([F.abs(F.corr(a, b)) for a, b in pairs]) if pairs else F.lit(0.0)).alias("pair_correlation"),
+def data_characteristics(df: DataFrame, cols: list[str], keys: list[str], label: str = "is_anomaly", tie: str = TIE, whole: int = WHOLE) -> DataFrame:
+    """Per key: rows, features, anomaly ratio, mean abs lag-1 autocorrelation, mean coefficient of variation, trend, missing ratio, mean abs pair correlation, seasonality.
+
+    A column's series are its values without nulls. Autocorrelation takes series of more than 10 values, a trend more
+    than 100, a season more than 1,000; means are over the columns that have the figure (0 if none has). Series are
+    handled in runs, and spectra of more than `whole` values in blocks, so no task holds a key.
+    """
+    series = cut(series_of(df, cols, keys, tie))
+    in_runs = runs(series, 1)
+    before = F.lag("v").over(Window.partitionBy(*keys, "column__", "run__").orderBy("i__"))
+    pairs = in_runs.withColumn("l__", before).where("own__")
+    of = pairs.groupBy(*keys, "column__").agg(F.count("*").alias("n"), F.abs(corr("v", "l__")).alias("auto"), F.abs(corr("v", F.col("i__").cast("double"))).alias("trend"), (F.stddev_samp("v") / F.abs(F.nullif(F.avg("v"), F.lit(0.0)))).alias("cv"))
+    real = lambda c: F.when(~F.isnan(c), F.col(c))
+    seasons = seasonality(series, [*keys, "column__"], whole=whole).select(*keys, "column__", "is_seasonal")
+    same = lambda a, b, ks: reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in ks])
+    both = of.join(seasons, same(of, seasons, [*keys, "column__"]), "left").select(*[of[k] for k in keys], "n", "auto", "trend", "cv", "is_seasonal")
+    g = both.groupBy(*keys).agg(
+        F.coalesce(F.avg(F.when(F.col("n") > 10, real("auto"))), F.lit(0.0)).alias("autocorrelation"), F.coalesce(F.avg(real("cv")), F.lit(0.0)).alias("mean_cv"),
+        F.coalesce(F.max((F.col("n") > 100) & (real("trend") > 0.5)), F.lit(False)).alias("has_trend"), F.coalesce(F.max("is_seasonal"), F.lit(False)).alias("seasonality"),
     )
-
-    def season(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = False
-        for c in cols:
-            p = np.abs(np.fft.rfft(pdf.sort_values("i__")[c].fillna(pdf[c].mean()).to_numpy(float)))[1:]
-            found |= bool(len(p) > 2 and p.max() > p.mean() + 3 * p.std())
-        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], found]], columns=[*keys, "seasonality"])
-
-    # a spectrum needs a whole series: the newest 4096 rows of each key
-    newest = x.withColumn("rn__", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("i__").desc()))).where("rn__ <= 4096")
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    s = newest.select(*keys, "i__", *cols).groupBy(*keys).applyInPandas(season, f"{kinds}, seasonality boolean")
-    return g.join(s, keys).withColumn("features", F.lit(len(cols)))
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    couples = [F.abs(corr(value(a), value(b))) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    some = F.filter(F.array(*couples), lambda r: r.isNotNull() & ~F.isnan(r)) if couples else F.array().cast("array<double>")
+    absent = reduce(Column.__add__, [F.avg(value(c).isNull().cast("double")) for c in cols]) / len(cols)
+    whole_rows = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(F.col(label).cast("double")).alias("anomaly_ratio"), absent.alias("missing_ratio"), some.alias("couples__"))
+    mean = F.coalesce(F.aggregate("couples__", F.lit(0.0), lambda x, y: x + y) / F.nullif(F.size("couples__"), F.lit(0)), F.lit(0.0))
+    out = whole_rows.join(g, same(whole_rows, g, keys), "left")
+    none = {"autocorrelation": F.lit(0.0), "mean_cv": F.lit(0.0), "has_trend": F.lit(False), "seasonality": F.lit(False)}
+    return out.select(*[whole_rows[k] for k in keys], "rows", "anomaly_ratio", "missing_ratio", mean.alias("pair_correlation"), *[F.coalesce(c, v).alias(c) for c, v in none.items()], F.lit(len(cols)).alias("features"))
 
 
 def failure_features(df: DataFrame, cols: list[str], keys: list[str], width: int = 60, tie: str = TIE) -> DataFrame:

@@ -137,3 +137,17 @@ def discordant(points: DataFrame, group: int = GROUP, strips: int = STRIPS) -> D
         points = in_x.unionByName(in_y)
     whole = reduce(DataFrame.unionByName, found)
     return whole.groupBy(F.substring_index("g", "/", 1).alias("g")).agg(F.sum(F.col("d").cast("decimal(38,0)")).alias("d"))
+
+
+#: Rows of a key that one window holds.
+RUN = 65_536
+
+
+def runs(rows: DataFrame, before: int, name: str = "i__", size: int = RUN) -> DataFrame:
+    """rows with run__ (stretches of `size` places of a key) and own__: false for the copies of the last `before` rows that the next run begins with."""
+    size = max(size, before)
+    own = F.floor(F.col(name) / size).cast("long")
+    copied = F.col(name) % size >= size - before
+    both = F.array(F.struct(own.alias("run__"), F.lit(True).alias("own__")), F.struct((own + 1).alias("run__"), F.lit(False).alias("own__")))
+    out = rows.withColumn("r__", F.explode(F.when(copied, both).otherwise(F.slice(both, 1, 1))))
+    return out.select(*rows.columns, "r__.run__", "r__.own__")

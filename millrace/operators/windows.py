@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import micros
+from millrace.functions.columns import corr, micros
 
 
 def window_stats(df: DataFrame, *widths: str) -> DataFrame:
@@ -154,7 +154,7 @@ def compare_correlations(wide: DataFrame, sensors: list[str], a: Column, b: Colu
     """Per pair of sensors: correlation under both conditions and its change; all pairs in one aggregate."""
     pairs = [(x, y) for i, x in enumerate(sensors) for y in sensors[i + 1 :]]
     at = lambda c, s: F.when(c, F.col(s))
-    row = wide.agg(*[F.corr(at(c, x), at(c, y)).alias(f"{n}{i}") for i, (x, y) in enumerate(pairs) for n, c in (("a", a), ("b", b))])
+    row = wide.agg(*[corr(at(c, x), at(c, y)).alias(f"{n}{i}") for i, (x, y) in enumerate(pairs) for n, c in (("a", a), ("b", b))])
     out = row.select(F.explode(F.array(*[F.struct(F.lit(x).alias("sensor1"), F.lit(y).alias("sensor2"), F.col(f"a{i}").alias("corr_a"), F.col(f"b{i}").alias("corr_b")) for i, (x, y) in enumerate(pairs)])).alias("r"))
     return out.select("r.*").withColumn("corr_change", F.col("corr_b") - F.col("corr_a"))
 

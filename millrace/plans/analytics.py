@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import anomaly, discovery, features, graph
+from millrace.operators import anomaly, discovery, features, graph, spectrum
 from millrace.plans import views as v
 from millrace.plans.monitoring import FOUND, _found
 from millrace.plans.views import C, G, M, P, query, rounded
@@ -215,12 +215,22 @@ def train_test_split(spark, d):
     return features.train_test_split(v.sensors(spark, d), 0.2, KEYS).select("measurement_id", "is_test")
 
 
-@query(f"""WITH {M}, x AS (SELECT *, lag(value) OVER {W}) AS l, CAST(row_number() OVER {W}) AS DOUBLE) AS i FROM m) SELECT param_id, equipment_id, count(*) AS rows, round(avg(CAST(status = 'ALARM' AS INTEGER)), 6) AS anomaly_ratio, round(abs(corr(value, l)), 6) AS autocorrelation, round(stddev_samp(value) / abs(avg(value)), 6) AS mean_cv, abs(corr(value, i)) > 0.5 AS has_trend, 0e0 AS missing_ratio, 0e0 AS pair_correlation, 1 AS features FROM x GROUP BY 1, 2""")
+@query(f"""WITH {M}, x AS (SELECT *, lag(value) OVER {W}) AS l, CAST(row_number() OVER {W}) AS DOUBLE) AS i FROM m) SELECT param_id, equipment_id, count(*) AS rows, round(avg(CAST(status = 'ALARM' AS INTEGER)), 6) AS anomaly_ratio, round(abs(corr(value, l)), 6) AS autocorrelation, round(stddev_samp(value) / abs(avg(value)), 6) AS mean_cv, count(value) > 100 AND abs(corr(value, i)) > 0.5 AS has_trend, 0e0 AS missing_ratio, 0e0 AS pair_correlation, 1 AS features FROM x GROUP BY 1, 2""")
 def data_characteristics(spark, d):
     m = v.sensors(spark, d).withColumn("is_anomaly", F.col("status") == "ALARM")
     return rounded(features.data_characteristics(m, ["value"], KEYS).drop("seasonality"))
 
 
+@query(f"""WITH {M}, s AS (SELECT param_id, value, row_number() OVER (PARTITION BY param_id ORDER BY time, measurement_id) - 1 AS i, count(*) OVER (PARTITION BY param_id) AS n FROM m), k AS (SELECT param_id, n, unnest(range(1, n // 2)) AS k FROM (SELECT DISTINCT param_id, n FROM s)),
+a AS (SELECT param_id, any_value(s.n) AS n, k, sqrt(pow(sum(value * cos(2 * pi() * ((k * i) % s.n) / s.n)), 2) + pow(sum(value * sin(2 * pi() * ((k * i) % s.n) / s.n)), 2)) AS v FROM s JOIN k USING (param_id) GROUP BY param_id, k),
+t AS (SELECT param_id, any_value(n) AS n, arg_max(k, v) AS frequency, max(v) AS height, avg(v) + 3 * stddev_pop(v) AS threshold FROM a GROUP BY param_id)
+SELECT param_id, n, frequency, round(height, 4) AS height, round(threshold, 4) AS threshold, n > 1000 AND height > threshold AS is_seasonal FROM t""")
+def seasonality(spark, d):
+    """The spectra of all values of each parameter, through the blocks of a long series."""
+    series = spectrum.series_of(v.sensors(spark, d), ["value"], ["param_id"], "measurement_id")
+    return rounded(spectrum.seasonality(series.drop("column__"), ["param_id"], whole=1000, cells=4096), 4)
+
+
 @query(f"""WITH {M}, r AS (SELECT *, CAST(row_number() OVER {W}) AS DOUBLE) AS i FROM m), x AS (SELECT measurement_id, i, value, avg(value) OVER w AS a, stddev_samp(value) OVER w AS s, min(value) OVER w AS lo, max(value) OVER w AS hi, lag(value) OVER {W}) AS l, regr_slope(value, i) OVER w AS sl FROM r WINDOW w AS {W} ROWS 59 PRECEDING))
 SELECT measurement_id, round(a, 6) AS value_mean, round(s, 6) AS value_std, round(lo, 6) AS value_min, round(hi, 6) AS value_max, round(hi - lo, 6) AS value_range, round(value - l, 6) AS value_diff, round(CASE WHEN l <> 0 THEN (value - l) / l END, 6) AS value_pct, round(value / a, 6) AS value_ratio, round(sl, 6) AS value_slope FROM x WHERE i >= 60""")
 def failure_features(spark, d):

@@ -124,3 +124,16 @@ def test_transfer_entropy_against_shuffled_series(spark):
     assert got["x", "y"]["lag"] == lag and got["x", "y"]["is_causal"] and got["x", "y"]["z"] > 20
     again = {(r["source"], r["target"]): r["z"] for r in discovery.transfer_entropy(df, ["x", "y"], 5, bins, shuffles).collect()}
     assert again == {k: r["z"] for k, r in got.items()}
+
+
+def test_constant_columns_have_no_correlation(spark):
+    """They did fail the query, with the session's default arithmetic."""
+    from millrace.operators import features
+
+    df = spark.createDataFrame([(i, 1.0, float(i), float(i % 7)) for i in range(60)], "time long, a double, b double, c double").withColumn("k", F.lit(1))
+    got = {(r["a"], r["b"]): r["r"] for r in features.all_correlations(df, [("a", "b"), ("b", "c"), ("b", "b")]).collect()}
+    assert got["a", "b"] is None and got["b", "b"] == pytest.approx(1) and got["b", "c"] == pytest.approx(np.corrcoef(range(60), [i % 7 for i in range(60)])[0, 1])
+    ranking = {r["feature"]: r["importance"] for r in features.feature_ranking(df, ["a", "c"], "b").collect()}
+    assert ranking["a"] == 0
+    rolled = discovery.rolling_correlation(df, [("a", "b"), ("b", "c")], 10, ["k"], "time").orderBy("time").collect()
+    assert rolled[30]["corr_a_b"] is None and rolled[30]["corr_b_c"] == pytest.approx(np.corrcoef(range(20, 30), [i % 7 for i in range(20, 30)])[0, 1])
