@@ -98,7 +98,7 @@ def sampled(df: DataFrame, keys: list[str], n: int, tie: str = TIE) -> DataFrame
     return some.withColumn("r__", F.row_number().over(Window.partitionBy(*keys).orderBy(order, tie))).where(F.col("r__") <= n).drop("r__", "salt__")
 
 
-def _path_length(n: np.ndarray) -> np.ndarray:
+def path_length(n: np.ndarray) -> np.ndarray:
     """Mean depth of an unsuccessful search among n rows."""
     m = np.maximum(np.asarray(n, float), 2)
     return np.where(np.asarray(n) < 2, 0.0, 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m)
@@ -121,7 +121,7 @@ def grow_forest(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int =
             span = np.ptp(x[rows], axis=0) if len(rows) else np.zeros(x.shape[1])
             wide = np.flatnonzero(span > 0)
             if d == depth or len(rows) <= 1 or not len(wide):
-                out[t, node, 2] = d + _path_length(len(rows))
+                out[t, node, 2] = d + path_length(len(rows))
                 continue
             f = int(rng.choice(wide))
             cut = rng.uniform(x[rows, f].min(), x[rows, f].max())
@@ -144,7 +144,7 @@ def forest_score(forest: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
             right = x[np.arange(len(x)), np.maximum(f, 0)] >= tree[at, 1]
             at = np.where(inner, 2 * at + 1 + right, at)
         total += tree[at, 2]
-    return 2 ** (-(total / len(forest)) / max(float(_path_length(size)), 1e-9))
+    return 2 ** (-(total / len(forest)) / max(float(path_length(size)), 1e-9))
 
 
 #: Rows of one key that are scored together.

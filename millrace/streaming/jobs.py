@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.columns import micros
-from millrace.operators.anomaly import nearest
+from millrace.operators.anomaly import forest_score, grow_forest, nearest, path_length
 from millrace.operators.graph import shared_folder
 from millrace.operators.joins import enrich_measurements
 from millrace.operators.windows import window_stats
@@ -197,23 +198,61 @@ def outlier_factor(x: np.ndarray, past: np.ndarray, k: int) -> float:
     return float(dense[j].mean() * max(np.maximum(d.max(1)[j], np.sqrt(e)).mean(), 1e-10))
 
 
-def score_windows(x: np.ndarray, past: np.ndarray, scores: np.ndarray, sums: tuple[float, float], history: int, least: int, near: int, k: int, drift: float) -> tuple[list[tuple[float, int]], np.ndarray, np.ndarray, tuple[float, float]]:
-    """Ensemble score and votes of the windows x (mean, std, range) in order, each against those before it; and what to remember: windows, scores of the three detectors, CUSUM sums."""
-    out, (up, down) = [], sums
-    for row in x:
+class Memory(NamedTuple):
+    """What a key remembers of its closed windows: these (mean, std, range), the scores of the four detectors, CUSUM sums, and the forest with the window start it was grown at and the score that it usually stays below."""
+
+    past: np.ndarray = np.zeros((0, 3))
+    scores: np.ndarray = np.zeros((0, 4))
+    up: float = 0.0
+    down: float = 0.0
+    forest: bytes = b""
+    grown: int = 0
+    usual: float = 1.0
+
+
+def grown_forest(past: np.ndarray, at: int, trees: int, sample: int) -> tuple[bytes, float]:
+    """An isolation forest of past windows, as float32 bytes, and the score that a share of USUAL of them stays below. Draws depend on the time only, so a batch that comes again grows the same."""
+    forest = grow_forest(past, trees, sample, at % (1 << 32)).astype(np.float32)
+    return forest.tobytes(), float(np.quantile(forest_score(forest, past, leaves(forest, sample)), USUAL))
+
+
+def leaves(forest: np.ndarray, sample: int) -> int:
+    """The number of rows that a forest's scores are scaled by: its sample, or what its depth holds where it was grown from fewer."""
+    return min(sample, (forest.shape[1] + 1) // 2)
+
+
+def isolation_score(forest: np.ndarray, row: np.ndarray, size: int) -> float:
+    """forest_score() of one row, all trees at once."""
+    tree, at = np.arange(len(forest)), np.zeros(len(forest), np.int64)
+    while True:
+        f = forest[tree, at, 0].astype(np.int64)
+        if not (f >= 0).any():
+            return float(2 ** (-forest[tree, at, 2].astype(float).mean() / max(float(path_length(size)), 1e-9)))
+        at = np.where(f >= 0, 2 * at + 1 + (row[np.maximum(f, 0)] >= forest[tree, at, 1]), at)
+
+
+def score_windows(x: np.ndarray, us: list[int], memory: Memory, history: int, least: int, near: int, k: int, drift: float, trees: int, sample: int, refit: int) -> tuple[list[tuple[float, int]], Memory]:
+    """Ensemble score and votes of the windows x (mean, std, range) that begin at us, in order, each against those before it; and what to remember."""
+    out = []
+    past, scores, up, down, packed, grown, usual = memory
+    for row, at in zip(x, us, strict=True):
         if len(past) < least:
             out.append((0.0, 0))
         else:
+            if not packed or at - grown >= refit:
+                packed, usual = grown_forest(past, at, trees, sample)
+                grown = at
             std = past.std(0)
             scale = np.where(std > 0, std, 1.0)
             z = np.where(std > 0, (row - past.mean(0)) / scale, 0.0)
             up, down = max(0.0, up + z[0] - drift), max(0.0, down - z[0] - drift)
-            raw = np.array([np.abs(z).max(), max(up, down), outlier_factor(row / scale, past[-near:] / scale, k)])
+            forest = np.frombuffer(packed, np.float32).reshape(trees, -1, 3)
+            raw = np.array([np.abs(z).max(), max(up, down), outlier_factor(row / scale, past[-near:] / scale, k), isolation_score(forest, row, leaves(forest, sample))])
             scores = np.concatenate([scores, raw[None]])[-history:]
-            votes = int(raw[0] > 3) + int(raw[1] > 5) + int(len(scores) >= least and raw[2] > np.quantile(scores[:-1, 2], USUAL))
+            votes = int(raw[0] > 3) + int(raw[1] > 5) + int(len(scores) >= least and raw[2] > np.quantile(scores[:-1, 2], USUAL)) + int(raw[3] > usual)
             out.append((float(np.mean([scaled_score(s, scores[:, i]) for i, s in enumerate(raw)])), votes))
         past = np.concatenate([past, row[None]])[-history:]
-    return out, past, scores, (float(up), float(down))
+    return out, Memory(past, scores, float(up), float(down), packed, int(grown), float(usual))
 
 
 def merged_windows(parts: pd.DataFrame) -> pd.DataFrame:
@@ -226,20 +265,22 @@ def merged_windows(parts: pd.DataFrame) -> pd.DataFrame:
     return out.reset_index()[["us", "n", "m", "q", "lo", "hi"]]
 
 
-def ensemble_stream(df: DataFrame, seconds: int = 60, history: int = 1000, least: int = 20, near: int = 100, k: int = 20, drift: float = 0.5, ttl_ms: int = 86_400_000) -> DataFrame:
+def ensemble_stream(df: DataFrame, seconds: int = 60, history: int = 1000, least: int = 20, near: int = 100, k: int = 20, drift: float = 0.5, trees: int = 50, sample: int = 64, refit_seconds: int = 86_400, ttl_ms: int = 86_400_000) -> DataFrame:
     """window_start, equipment_id, param_id, score (0 to 1), votes, is_anomaly (two votes or more) and severity of each window that the watermark has passed.
 
     A key's state holds the open windows as counts and moments, the last `history` closed ones (mean, deviation,
-    range) with their scores, and its CUSUM sums. Detectors: the largest z-value, CUSUM of the mean, and the local
-    outlier factor among the last `near` windows; scores are scaled by the key's own history and averaged. The first
-    `least` windows of a key only teach. Rows without a value take no part.
+    range) with their scores, its CUSUM sums, and an isolation forest of `trees` trees of up to `sample` windows each.
+    Detectors: the largest z-value, CUSUM of the mean, the local outlier factor among the last `near` windows, and the
+    forest, which is grown from the key's history and again once it is `refit_seconds` of event time old; scores are
+    scaled by the key's own history and averaged. The first `least` windows of a key only teach. Rows without a value
+    take no part.
     """
     width, parts = seconds * 1_000_000, ["us", "n", "m", "q", "lo", "hi"]
     flat = lambda a, n: np.array(a, float).reshape(-1, n)
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else ([], [], [], 0.0, 0.0, 0)
-        windows, last = pd.DataFrame(flat(old[0], 6), columns=parts), old[5]
+        old = state.get if state.exists else ([], 0, [], [], *Memory()[2:])
+        windows, last = pd.DataFrame(flat(old[0], 6), columns=parts), old[1]
         if not state.hasTimedOut:
             rows = pd.concat(list(batches))
             one = pd.DataFrame({"us": rows["us"] // width * width, "n": 1, "m": rows["value"], "q": 0.0, "lo": rows["value"], "hi": rows["value"]})
@@ -249,18 +290,20 @@ def ensemble_stream(df: DataFrame, seconds: int = 60, history: int = 1000, least
         if state.hasTimedOut and not len(windows):
             state.remove()
             return
-        x = np.column_stack([done["m"], np.sqrt(done["q"] / done["n"]), done["hi"] - done["lo"]])
-        out, past, scores, sums = score_windows(x, flat(old[1], 3), flat(old[2], 3), (old[3], old[4]), history, least, near, k, drift)
-        state.update((waiting.to_numpy().ravel().tolist(), past.ravel().tolist(), scores.ravel().tolist(), *sums, last))
+        x, begins = np.column_stack([done["m"], np.sqrt(done["q"] / done["n"]), done["hi"] - done["lo"]]), done["us"].astype("int64")
+        memory = Memory(flat(old[2], 3), flat(old[3], 4), old[4], old[5], bytes(old[6]), old[7], old[8])
+        out, new = score_windows(x, begins.tolist(), memory, history, least, near, k, drift, trees, sample, refit_seconds * 1_000_000)
+        state.update((waiting.to_numpy().ravel().tolist(), last, new.past.ravel().tolist(), new.scores.ravel().tolist(), *new[2:]))
         until = int(waiting["us"].min() + width) // 1000 if len(waiting) else last // 1000 + ttl_ms
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         score, votes = np.array([x[0] for x in out]), np.array([x[1] for x in out], int)
         severity = np.select([score >= x for x in SEVERITIES.values()], list(SEVERITIES), "NORMAL").astype(object)
-        yield pd.DataFrame({"window_start": pd.to_datetime(done["us"].astype("int64").to_numpy(), unit="us"), "equipment_id": key[0], "param_id": key[1], "score": score, "votes": votes, "is_anomaly": votes >= 2, "severity": severity})
+        yield pd.DataFrame({"window_start": pd.to_datetime(begins.to_numpy(), unit="us"), "equipment_id": key[0], "param_id": key[1], "score": score, "votes": votes, "is_anomaly": votes >= 2, "severity": severity})
 
     cols = df.where(F.col("value").isNotNull()).select("equipment_id", "param_id", "time", micros(F.col("time")).alias("us"), "value")
     schema = "window_start timestamp, equipment_id string, param_id string, score double, votes long, is_anomaly boolean, severity string"
-    return cols.groupBy("equipment_id", "param_id").applyInPandasWithState(work, schema, "open array<double>, past array<double>, scores array<double>, up double, down double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = "open array<double>, last long, past array<double>, scores array<double>, up double, down double, forest binary, grown long, usual double"
+    return cols.groupBy("equipment_id", "param_id").applyInPandasWithState(work, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_stream(df: DataFrame, path: str, keys: list[str], update_cols: list[str], order: str, checkpoint: str, buckets: int = BUCKETS, most: int = MOST):

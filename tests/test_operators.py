@@ -75,14 +75,26 @@ def test_stream_rules_equal_window_rules(spark):
 def test_windows_of_an_ensemble():
     x = np.random.default_rng(5).normal(size=(120, 3))
     x[100] = 9.0
-    none = (np.zeros((0, 3)), np.zeros((0, 3)), (0.0, 0.0))
-    settings = dict(history=60, least=20, near=30, k=5, drift=0.5)
-    out, past, scores, sums = jobs.score_windows(x, *none, **settings)
-    assert out[:20] == [(0.0, 0)] * 20 and out[100] == (max(out)[0], 3) and past.tolist() == x[-60:].tolist()
-    # batches don't matter
-    first = jobs.score_windows(x[:70], *none, **settings)
-    then = jobs.score_windows(x[70:], *first[1:], **settings)
-    assert first[0] + then[0] == out and then[3] == sums and then[2].tolist() == scores.tolist()
+    us = [60_000_000 * i for i in range(120)]
+    settings = dict(history=60, least=20, near=30, k=5, drift=0.5, trees=30, sample=16, refit=40 * 60_000_000)
+    out, memory = jobs.score_windows(x, us, jobs.Memory(), **settings)
+    assert out[:20] == [(0.0, 0)] * 20 and out[100] == (max(out)[0], 4) and memory.past.tolist() == x[-60:].tolist()
+    # batches don't matter, and the forest is grown anew by event time
+    first = jobs.score_windows(x[:70], us[:70], jobs.Memory(), **settings)
+    then = jobs.score_windows(x[70:], us[70:], first[1], **settings)
+    assert first[0] + then[0] == out and then[1][2:] == memory[2:] and then[1].scores.tolist() == memory.scores.tolist()
+    assert first[1].grown == us[60] and memory.grown == us[100]
+    # by a plain loop over the trees, for each window after the first forest
+    forest = np.frombuffer(first[1].forest, np.float32).reshape(30, -1, 3)
+    for row in x[60:70]:
+        depth = 0.0
+        for tree in forest:
+            at = 0
+            while tree[at, 0] >= 0:
+                at = 2 * at + 1 + int(row[int(tree[at, 0])] >= tree[at, 1])
+            depth += float(tree[at, 2])
+        mean = 2 * (math.log(15) + 0.5772156649) - 2 * 15 / 16
+        assert jobs.isolation_score(forest, row, 16) == pytest.approx(2 ** (-depth / 30 / mean), rel=1e-6) == pytest.approx(anomaly.forest_score(forest, row[None], 16)[0], rel=1e-6)
     # the factor, by definition
     p, q = x[:30], x[40]
     d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) + np.diag(np.full(30, np.inf))
