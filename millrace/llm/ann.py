@@ -78,11 +78,13 @@ def valid(vector: Column) -> Column:
 
 
 class Lists(NamedTuple):
-    """Centres, the sample they come from, and the share of |query| * |farthest vector - centre| by which what a query has at least may exceed its product with the centre."""
+    """Centres, the sample they come from (distinct rows with a hash of the vector and how often each occurs), and the share of |query| * |farthest vector - centre| by which what a query has at least may exceed its product with the centre."""
 
     centres: np.ndarray
     ids: np.ndarray
     sample: np.ndarray
+    marks: np.ndarray
+    times: np.ndarray
     reach: float
 
     def of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +113,12 @@ class Lists(NamedTuple):
         return queries @ self.centres.T + slack >= least[:, None]
 
 
-def fit_lists(ids: np.ndarray, sample: np.ndarray, count: int, rounds: int = 8, seed: int = 5) -> Lists:
+def fit_lists(ids: np.ndarray, sample: np.ndarray, marks: np.ndarray, times: np.ndarray, count: int, rounds: int = 8, seed: int = 5) -> Lists:
     """Centres by a few rounds of k-means."""
     rng = np.random.default_rng(seed)
     order = np.lexsort((*sample.T[:1], ids))
-    ids, sample = ids[order], sample[order]
-    out = Lists(sample[np.sort(rng.choice(len(ids), min(count, len(ids)), replace=False))].copy(), ids, sample, 1.0)
+    ids, sample, marks, times = ids[order], sample[order], marks[order], times[order]
+    out = Lists(sample[np.sort(rng.choice(len(ids), min(count, len(ids)), replace=False))].copy(), ids, sample, marks, times, 1.0)
     for _ in range(rounds):
         near, _ = out.of(sample)
         n = np.bincount(near, minlength=len(out.centres))
@@ -135,7 +137,7 @@ def fit_lists(ids: np.ndarray, sample: np.ndarray, count: int, rounds: int = 8,
 
 
 def nearest_in_block(vectors: np.ndarray, ids: np.ndarray, packed: tuple, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, id and exact score of each query's k nearest in a block, as far as they may reach `least`; vectors are distinct by (vector, place among equals)."""
+    """Query, place and exact score of each query's k nearest in a block, as far as they may reach `least`; vectors are distinct by (vector, place among equals)."""
     guess, error = estimate(*packed, queries, turn)
     low, high = guess - ERRORS * error, guess + ERRORS * error
     n = len(ids)
@@ -152,7 +154,7 @@ def nearest_in_block(vectors: np.ndarray, ids: np.ndarray, packed: tuple, querie
     q, v, score = q[order], v[order], score[order]
     first = np.searchsorted(q, q, "left")
     top = np.arange(len(q)) - first < k
-    return q[top], ids[v[top]], score[top]
+    return q[top], v[top], score[top]
 
 
 def _arrays(rows: list, dims: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -167,13 +169,13 @@ def _models(base: DataFrame) -> dict[int, Lists]:
     sizes = {r["dim"]: r["n"] for r in base.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()}
     wanted = {dim: min(SAMPLE, SAMPLE_BYTES // (8 * dim)) / n for dim, n in sizes.items()}
     rate = F.coalesce(*[F.when(F.col("dim") == d, F.lit(r)) for d, r in wanted.items()], F.lit(0.0))
-    rows = base.where(F.col("id").isNotNull() & (uniform(F.lit(3), F.col("id"), F.col("v")) < rate)).select("id", "dim", "v").distinct().collect()
-    dims, ids = np.array([r["dim"] for r in rows], np.int64), np.array([r["id"] for r in rows], np.int64)
-    return {dim: fit_lists(ids[at], x, min(LISTS, -(-sizes[dim] // PER_LIST))) for dim, at, x in _arrays([r["v"] for r in rows], dims)}
+    rows = base.where(F.col("id").isNotNull() & (uniform(F.lit(3), F.col("id"), F.col("v")) < rate)).groupBy("id", "dim", "v", "mark").agg(F.count("*").alias("times")).collect()
+    dims, ids, marks, times = (np.array([r[c] for r in rows], np.int64) for c in ("dim", "id", "mark", "times"))
+    return {dim: fit_lists(ids[at], x, marks[at], times[at], min(LISTS, -(-sizes[dim] // PER_LIST))) for dim, at, x in _arrays([r["v"] for r in rows], dims)}
 
 
 def _index(base: DataFrame, models: dict[int, Lists]) -> DataFrame:
-    """id, v, dim, list (-1: the length has no centres), far (distance to the centre), code, norm, along of every row."""
+    """id, v, dim, mark, list (-1: the length has no centres), far (distance to the centre), code, norm, along of every row."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
@@ -188,36 +190,39 @@ def _index(base: DataFrame, models: dict[int, Lists]) -> DataFrame:
                     code[i] = c.tobytes()
                 if dim in models:
                     lists[at], far[at] = models[dim].of(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists), pa.array(far), pa.array(code, pa.binary()), pa.array(norm), pa.array(along)], ["id", "v", "dim", "list", "far", "code", "norm", "along"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists), pa.array(far), pa.array(code, pa.binary()), pa.array(norm), pa.array(along)], ["id", "v", "dim", "mark", "list", "far", "code", "norm", "along"])
 
-    return staged(base.select("id", "v", "dim").mapInArrow(coded, "id long, v array<double>, dim int, list int, far double, code binary, norm double, along double"), "codes")
+    return staged(base.select("id", "v", "dim", "mark").mapInArrow(coded, "id long, v array<double>, dim int, mark long, list int, far double, code binary, norm double, along double"), "codes")
 
 
 def _probes(asked: DataFrame, models: dict[int, Lists], far: dict[int, np.ndarray], k: int) -> DataFrame:
-    """id, v, dim, least, lists that the query goes to, and its nearest in the sample (near, scores)."""
+    """id, v, dim, least, lists that the query goes to, and its nearest in the sample, as often as they occur (near, marks, scores)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 rows, ids = part.column(1).to_pylist(), part.column(0).fill_null(-1).to_numpy()
-                least, lists, near, scores = np.full(len(rows), -np.inf), [[-1]] * len(rows), [[]] * len(rows), [[]] * len(rows)
+                least, lists, near, marks, scores = np.full(len(rows), -np.inf), [[-1]] * len(rows), [[]] * len(rows), [[]] * len(rows), [[]] * len(rows)
                 for dim, at, x in _arrays(rows, np.array([len(r) for r in rows], np.int64)):
                     if dim in models:
                         top, score, least[at] = models[dim].best(x, ids[at], k)
+                        of = models[dim]
                         for i, hit, t, s in zip(at.tolist(), models[dim].reached(x, least[at], far[dim]), top, score, strict=True):
                             lists[i] = np.flatnonzero(hit).tolist()
-                            near[i], scores[i] = models[dim].ids[t[s > -np.inf]].tolist(), s[s > -np.inf].tolist()
-                more = [pa.array(least), pa.array(lists, pa.list_(pa.int32())), pa.array(near, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], ["id", "v", "dim", "least", "lists", "near", "scores"])
+                            t, s = t[s > -np.inf], s[s > -np.inf]
+                            often = np.minimum(of.times[t], k)
+                            near[i], marks[i], scores[i] = (np.repeat(y, often).tolist() for y in (of.ids[t], of.marks[t], s))
+                more = [pa.array(least), pa.array(lists, pa.list_(pa.int32())), pa.array(near, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], ["id", "v", "dim", "least", "lists", "near", "marks", "scores"])
 
-    return asked.mapInArrow(run, "id long, v array<double>, dim int, least double, lists array<int>, near array<long>, scores array<double>")
+    return asked.mapInArrow(run, "id long, v array<double>, dim int, least double, lists array<int>, near array<long>, marks array<long>, scores array<double>")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row for which is_query holds."""
     base = vectors.where(valid(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    base = base.withColumn("dim", F.size("v"))
+    base = base.withColumns({"dim": F.size("v"), "mark": F.xxhash64("v")})
     models = _models(base)
     index = _index(base, models)
     stats = staged(index.groupBy("dim", "list").agg(F.count("*").alias("n"), F.max("far").alias("far")), "lists")
@@ -238,25 +243,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "mark": np.zeros(0, np.int64), "score": np.zeros(0)})
         a = a.sort_values("id", kind="stable")
         # of equal vectors only the k + 1 smallest ids can be among the nearest
         a = a[a["v"].map(lambda x: x.tobytes()).groupby(a["v"].map(lambda x: x.tobytes()), sort=False).cumcount().to_numpy() <= k]
         rows = np.stack(a["v"].to_numpy())
         packed = (np.frombuffer(b"".join(a["code"]), np.uint8).reshape(len(a), -1), a["norm"].to_numpy(), a["along"].to_numpy())
-        turn, ids, found = rotations(rows.shape[1]), a["id"].to_numpy(np.int64), []
+        turn, ids, marks, found = rotations(rows.shape[1]), a["id"].to_numpy(np.int64), a["mark"].to_numpy(np.int64), []
         queries, query_ids, least = np.stack(b["v"].to_numpy()), b["id"].to_numpy(np.int64), b["least"].to_numpy()
         for at in range(0, len(b), 256):
             to = slice(at, at + 256)
             q, v, s = nearest_in_block(rows, ids, packed, queries[to], query_ids[to], least[to], turn, k)
             found.append((query_ids[at + q], v, s))
         q, v, s = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+        return pd.DataFrame({"query_id": q, "vec_id": ids[v], "mark": marks[v], "score": s})
 
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    # the sample's vectors count where their list was not asked
-    known = sent.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "scores")).alias("s")).select("query_id", F.col("s.near").alias("vec_id"), F.col("s.scores").alias("score"))
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, mark long, score double")
+    # the sample's vectors count where their list was not asked; one id may have several vectors, and a row may occur often
+    known = sent.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "marks", "scores")).alias("s")).select("query_id", F.col("s.near").alias("vec_id"), F.col("s.marks").alias("mark"), F.col("s.scores").alias("score"))
     both = near.withColumn("again", F.lit(0)).unionByName(known.withColumn("again", F.lit(1)))
-    near = both.withColumn("first", F.min("again").over(Window.partitionBy("query_id", "vec_id"))).where(F.col("again") == F.col("first")).drop("again", "first")
+    near = both.withColumn("first", F.min("again").over(Window.partitionBy("query_id", "vec_id", "mark"))).where(F.col("again") == F.col("first")).drop("again", "first", "mark")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

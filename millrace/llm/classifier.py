@@ -142,13 +142,14 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 800, max_bytes: int = 1 << 16) -> Net:
-    """Fit on at most per_class labelled texts of each class."""
+    """Fit on at most per_class labelled texts of each class: of several texts with one id, that of the smallest hash."""
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # ids are chosen from the labels alone; texts are then looked up in one scan, by at most 2 * per_class ids
     chosen = [r for q in (0, 1) for r in usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     wanted = docs.sparkSession.createDataFrame(chosen, usable.schema).withColumnRenamed("doc_id", "wanted__")
     found = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(wanted), F.col("doc_id") == F.col("wanted__"))
-    sample = sorted((r["quality"], r["doc_id"], r["text"]) for r in found.select("quality", "doc_id", "text").collect())
+    one = found.groupBy("quality", "doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("s")).select("quality", "doc_id", "s.text")
+    sample = sorted((r["quality"], r["doc_id"], r["text"]) for r in one.collect())  # at most 2 * per_class rows
     return fit([t.encode() for _, _, t in sample], np.array([q for q, _, _ in sample], np.float64))
 
 

@@ -205,3 +205,48 @@ def test_lloyd_is_brute_force(spark, shards):
 def test_lloyd_leaves_out_what_no_long_holds(spark):
     df = spark.createDataFrame([(1, [1e30, 0.0]), (2, [1.0, 2.0]), (3, [131072.0, -131072.0])], "vec_id long, embedding array<double>")
     assert sorted(r["vec_id"] for r in centroids.lloyd(df, dims=2).collect()) == [2, 3]
+
+
+def test_search_counts_repeated_rows(spark):
+    """Rows that stand there twice, over many lists, some of which are not visited; and ids with two vectors."""
+    from millrace.llm import ann
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 12)) * 4
+    rows = [(i, (centres[i % 40] + rng.normal(size=12) * 0.3).tolist()) for i in range(1600)]
+    rows += rows + [(i, (centres[(i + 7) % 40] + rng.normal(size=12) * 0.3).tolist()) for i in range(0, 1600, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in ("id", "v", "mark", "dim", "list", "far")}).repartition(4)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 25).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ids, vs = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    asked = {i: min(v for j, v in rows if j == i) for i in range(25, 1600, 50)}
+    assert set(got) == set(asked)
+    found = total = 0
+    for q, v in asked.items():
+        score = vs @ np.array(v)
+        score[ids == q] = -np.inf
+        order = np.lexsort((ids, -np.round(score, 9)))[:20]
+        want = [(int(ids[o]), round(float(score[o]), 6)) for o in order]
+        have = [(i, round(s, 6)) for _, i, s in sorted(got[q])]
+        assert [r for r, *_ in sorted(got[q])] == list(range(1, 21))
+        left = list(have)
+        for w in want:
+            total += 1
+            if w in left:
+                left.remove(w)
+                found += 1
+    assert found >= 0.97 * total
+
+
+def test_classifier_fits_on_a_bounded_sample(spark, data, monkeypatch):
+    from millrace.llm import classifier
+    from millrace.llm.common import load
+
+    sizes = []
+    monkeypatch.setattr(classifier, "fit", lambda texts, y, **_: sizes.append(len(texts)))
+    docs, labels = load(spark, data, "documents"), load(spark, data, "labels")
+    classifier.train(docs, labels, 5)
+    many = docs.crossJoin(spark.range(5).select(F.col("id").alias("copy")))
+    classifier.train(many.withColumn("text", F.concat("text", F.col("copy").cast("string"))), labels, 5)
+    assert sizes == [10, 10]
