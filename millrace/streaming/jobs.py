@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.columns import micros
@@ -78,58 +79,182 @@ def rules_at_end(v: np.ndarray, ucl: float, lcl: float, center: float, sigma: fl
     return out
 
 
-def spc_stream(df: DataFrame, history: int = 25, ttl_ms: int = 86_400_000) -> DataFrame:
-    """Per row: rules of the newest point, mean, sample std and cpk of the last `history` values of its equipment and parameter."""
+#: The store that lists, maps and timers of a key need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        past = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["us", "measurement_id"])
-        rows = []
-        for r in pdf.itertuples():
-            past = [*past, r.value][-history:]
-            v = np.array(past)
-            std = v.std(ddof=1) if len(v) > 1 else np.nan
-            cpk = min(r.usl - v.mean(), v.mean() - r.lsl) / (3 * std) if std > 0 else np.nan
-            rows.append((r.measurement_id, ",".join(rules_at_end(v, r.ucl, r.lcl, r.center, r.sigma)), v.mean(), std, cpk))
-        state.update((past,))
-        state.setTimeoutTimestamp(int(pdf["us"].max()) // 1000 + ttl_ms)
-        yield pd.DataFrame(rows, columns=["measurement_id", "rules", "x_bar", "std_dev", "cpk"])
-
-    cols = df.select("equipment_id", "param_id", "measurement_id", "time", micros(F.col("time")).alias("us"), "value", "usl", "lsl", "ucl", "lcl", "center", "sigma")
-    return cols.groupBy("equipment_id", "param_id").applyInPandasWithState(work, "measurement_id long, rules string, x_bar double, std_dev double, cpk double", "past array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+def keyed_state(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """What the processor makes of each key's rows, with state that outlives the batch. Streams that start in this session from now on keep state in RocksDB; those with a checkpoint keep the store that it names."""
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if not conf.get(name, "").endswith("RocksDBStateStoreProvider"):
+        conf.set(name, ROCKS)
+    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+class Evicted(StatefulProcessor):
+    """State that goes once event time is `ttl_ms` past the key's newest row."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.newest = handle, handle.getValueState("newest", "us long")
+
+    def seen(self, us: int) -> None:
+        """Note the newest row of the batch; the key's timer is moved there."""
+        last = self.newest.get()[0] if self.newest.exists() else None
+        if last is None or us > last:
+            if last is not None:
+                self.handle.deleteTimer(last // 1000 + self.ttl_ms)
+            self.newest.update((us,))
+            self.handle.registerTimer(us // 1000 + self.ttl_ms)
+
+    def clear(self) -> None:
+        self.newest.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.newest.get()[0] if self.newest.exists() else None
+        if last is None or expiredTimerInfo.getExpiryTimeInMs() >= last // 1000 + self.ttl_ms:
+            self.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def plain_text(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as objects, which keyed state can send (chunked text it can't)."""
+    return pdf.astype({c: object for c in pdf.columns if pd.api.types.is_string_dtype(pdf[c].dtype)})
+
+
+def rules_of_rows(v: np.ndarray, first: int, ucl: np.ndarray, lcl: np.ndarray, center: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """The rules that fire on each value from place `first` on, by the limits of its own row, as text; rules_at_end() for all rows at once."""
+    n = len(v) - first
+    with np.errstate(invalid="ignore"):
+        s = np.where(sigma > 0, sigma, (ucl - center) / 3)[:, None]
+    mid, out = center[:, None], np.full(n, "", object)
+
+    def last(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The last k values up to each row (padded), and whether there are as many."""
+        return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(k - 1, np.nan), v]), k)[first:], np.arange(first, len(v)) >= k - 1
+
+    def put(name: str, holds: np.ndarray) -> np.ndarray:
+        out[holds] += name + ","
+        return holds
+
+    put("RULE1_BEYOND_3SIGMA", (v[first:] > ucl) | (v[first:] < lcl))
+    a, full = last(9)
+    above = put("RULE2_RUN_ABOVE", full & (a > mid).all(1))
+    put("RULE2_RUN_BELOW", full & (a < mid).all(1) & ~above)
+    a, full = last(6)
+    up = put("RULE3_TREND_UP", full & (np.diff(a, axis=1) > 0).all(1))
+    put("RULE3_TREND_DOWN", full & (np.diff(a, axis=1) < 0).all(1) & ~up)
+    a, full = last(14)
+    up = np.diff(a, axis=1) > 0
+    put("RULE4_ALTERNATING", full & (up[:, 1:] != up[:, :-1]).all(1))
+    for name, k, least, far in (("RULE5_2OF3", 3, 2, 2), ("RULE6_4OF5", 5, 4, 1)):
+        a, full = last(k)
+        above = put(f"{name}_ABOVE_{far}SIGMA", full & ((a > mid + far * s).sum(1) >= least))
+        put(f"{name}_BELOW_{far}SIGMA", full & ((a < mid - far * s).sum(1) >= least) & ~above)
+    a, full = last(15)
+    put("RULE7_STRATIFICATION", full & ((a >= mid - s) & (a <= mid + s)).all(1))
+    a, full = last(8)
+    put("RULE8_MIXTURE", full & ((a > mid + s) | (a < mid - s)).all(1))
+    return np.array([x[:-1] for x in out], object)
+
+
+class Charts(Evicted):
+    """The newest values of a key, as a list of at most `history` that a batch replaces."""
+
+    def __init__(self, history: int, ttl_ms: int) -> None:
+        super().__init__(ttl_ms)
+        self.history = history
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.past = handle.getListState("past", "value double")
+
+    def clear(self) -> None:
+        super().clear()
+        self.past.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["us", "measurement_id"])
+        past = np.array([x[0] for x in self.past.get()] if self.past.exists() else [], float)
+        v = np.concatenate([past, pdf["value"].to_numpy(float)])
+        limits = {c: pdf[c].to_numpy(float) for c in ("ucl", "lcl", "center", "sigma", "usl", "lsl")}
+        rules = rules_of_rows(v, len(past), *(limits[c] for c in ("ucl", "lcl", "center", "sigma")))
+        kept = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(self.history - 1, np.nan), v]), self.history)[len(past) :]
+        n = np.minimum(np.arange(len(past), len(v)) + 1, self.history)
+        mean = np.nansum(kept, axis=1) / n
+        with np.errstate(invalid="ignore", divide="ignore"):
+            std = np.where(n > 1, np.sqrt(np.nansum((kept - mean[:, None]) ** 2, axis=1) / (n - 1)), np.nan)
+            cpk = np.where(std > 0, np.minimum(limits["usl"] - mean, mean - limits["lsl"]) / (3 * std), np.nan)
+        self.past.put([(float(x),) for x in v[-self.history :]])
+        self.seen(int(pdf["us"].max()))
+        yield plain_text(pd.DataFrame({"measurement_id": pdf["measurement_id"].to_numpy(), "rules": rules, "x_bar": mean, "std_dev": std, "cpk": cpk}))
+
+
+def spc_stream(df: DataFrame, history: int = 25, ttl_ms: int = 86_400_000) -> DataFrame:
+    """Per row: rules of the newest point, mean, sample std and cpk of the last `history` values of its equipment and parameter. Rows without a value take no part."""
+    cols = df.where(F.col("value").isNotNull()).select("equipment_id", "param_id", "measurement_id", "time", micros(F.col("time")).alias("us"), "value", "usl", "lsl", "ucl", "lcl", "center", "sigma")
+    return keyed_state(cols, ["equipment_id", "param_id"], Charts(history, ttl_ms), "measurement_id long, rules string, x_bar double, std_dev double, cpk double")
 
 
 ALERTS = "alert_id string, equipment_id string, detected_at timestamp, severity string, confidence double, points long"
 
 
+class Trailing(Evicted):
+    """A key's rows of the last `seconds` and 60 s more, in buckets of time: a batch writes the buckets that its rows belong to and removes those that no window reaches any more."""
+
+    def __init__(self, pattern: str, names: list[str], kinds: list[str], seconds: int, find) -> None:
+        super().__init__((seconds + 60) * 1000)
+        self.pattern, self.names, self.kinds, self.seconds, self.find = pattern, names, kinds, seconds, find
+        self.width = max(60, seconds // 16) * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.buckets = handle.getMapState("buckets", "bucket long", ", ".join(f"{c} array<{t}>" for c, t in zip(self.names, self.kinds, strict=True)))
+
+    def clear(self) -> None:
+        super().clear()
+        self.buckets.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))[self.names].assign(new=True)
+        newest = int(new["us"].max())
+        if self.newest.exists():
+            newest = max(newest, int(self.newest.get()[0]))
+        oldest = newest - (self.seconds + 60) * 1_000_000
+        held = {int(k[0]): v for k, v in self.buckets.iterator()} if self.buckets.exists() else {}
+        old = [pd.DataFrame(dict(zip(self.names, v, strict=True))).assign(new=False) for v in held.values()]
+        both = pd.concat([*old, new]) if old else new
+        both = both.sort_values(["us", "id"], ignore_index=True)
+        us, own = both["us"].to_numpy(np.int64), np.flatnonzero(both["new"])
+        lo, hi = np.searchsorted(us, us[own] - self.seconds * 1_000_000, "left"), np.searchsorted(us, us[own], "right")
+        fires, severity, confidence = self.find(both, lo, hi)
+        for bucket in held:
+            if (bucket + 1) * self.width <= oldest:
+                self.buckets.removeKey((bucket,))
+        touched = both["us"] // self.width
+        for bucket in np.unique(touched[own]).tolist():
+            mine = both[touched == bucket]
+            if (bucket + 1) * self.width > oldest:
+                self.buckets.updateValue((bucket,), tuple(mine[c].tolist() for c in self.names))
+        self.seen(newest)
+        hit = own[fires]
+        if len(hit):
+            yield plain_text(pd.DataFrame({"alert_id": [f"CEP-{self.pattern}-{i}" for i in both["id"][hit]], "equipment_id": key[0], "detected_at": pd.to_datetime(us[hit], unit="us"), "severity": severity[fires], "confidence": confidence[fires], "points": (hi - lo)[fires]}))
+
+
 def _trailing_alerts(df: DataFrame, keys: list[str], pattern: str, kept: dict[str, str], seconds: int, find) -> DataFrame:
     """Alerts of rows whose trailing window fires. df: keys, time, us, id and the columns of `kept`, which the state holds for the window and 60 s.
 
     find(rows, lo, hi) gets a key's known rows in order and, for each new one, where its window begins and ends among
     them; it returns which fire, their severity and confidence.
     """
-    names = ["us", "id", *kept]
-
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        new = pd.concat(list(batches))[names].assign(new=True)
-        rows = pd.concat([pd.DataFrame(dict(zip(names, state.get, strict=True))).assign(new=False), new]) if state.exists else new
-        rows = rows.sort_values(["us", "id"], ignore_index=True)
-        us, own = rows["us"].to_numpy(np.int64), np.flatnonzero(rows["new"])
-        lo, hi = np.searchsorted(us, us[own] - seconds * 1_000_000, "left"), np.searchsorted(us, us[own], "right")
-        fires, severity, confidence = find(rows, lo, hi)
-        state.update(tuple(rows.loc[us >= us[-1] - (seconds + 60) * 1_000_000, c].tolist() for c in names))
-        state.setTimeoutTimestamp(int(us[-1]) // 1000 + (seconds + 60) * 1000)
-        hit = own[fires]
-        yield pd.DataFrame({"alert_id": [f"CEP-{pattern}-{i}" for i in rows["id"][hit]], "equipment_id": key[0], "detected_at": pd.to_datetime(us[hit], unit="us"), "severity": severity[fires], "confidence": confidence[fires], "points": (hi - lo)[fires]})
-
-    kinds = ", ".join(f"{c} array<{t}>" for c, t in {"us": "bigint", "id": dict(df.dtypes)["id"], **kept}.items())
-    return df.select(*keys, "time", *names).groupBy(*keys).applyInPandasWithState(work, ALERTS, kinds, "append", GroupStateTimeout.EventTimeTimeout)
+    kinds = {"us": "bigint", "id": dict(df.dtypes)["id"], **kept}
+    return keyed_state(df.select(*keys, "time", *kinds), keys, Trailing(pattern, list(kinds), list(kinds.values()), seconds, find), ALERTS)
 
 
 def cep_stream(df: DataFrame, n: int = 3, seconds: int = 180) -> DataFrame:
