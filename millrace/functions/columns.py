@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 
+def fresh(df: DataFrame, *names: str) -> None:
+    """Raise where a column that an operator adds would take the place of one of df's own; names that end in `__` are the operators'."""
+    if clash := sorted({c for c in df.columns if c in names or c.endswith("__")}):
+        raise ValueError(f"columns {', '.join(clash)} exist already; rename them first")
+
+
+def appends(*names: str):
+    """For operators whose first argument is a table to which they add these columns: see fresh()."""
+
+    def wrap(f):
+        @wraps(f)
+        def checked(df: DataFrame, *args, **kwargs):
+            fresh(df, *names)
+            return f(df, *args, **kwargs)
+
+        return checked
+
+    return wrap
+
+
+def added(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """df with new columns, none of which takes the place of one of its own."""
+    fresh(df, *new)
+    return df.withColumns(new)
+
+
 def corr(a: str | Column, b: str | Column, over: WindowSpec | None = None) -> Column:
     """Pearson's correlation over the rows that have both, as an aggregate or over a window; null where one of them is constant (the built-in function fails there)."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))

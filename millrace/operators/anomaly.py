@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
+from millrace.functions.columns import appends, fresh
 from millrace.operators.graph import cut
+from millrace.operators.order import placed, quantiles, rolling_quantiles, runs
 
 TIE = "measurement_id"
 
@@ -26,12 +28,6 @@ def _ordered(keys: list[str], tie: str = TIE):
     return Window.partitionBy(*keys).orderBy("time", tie)
 
 
-def _fresh(df: DataFrame, *names: str) -> None:
-    """Raise where a column that an operator adds would take the place of one of df's own."""
-    if clash := sorted(set(names) & set(df.columns)):
-        raise ValueError(f"columns {', '.join(clash)} exist already; rename them first")
-
-
 def _largest(cs: list[Column]) -> Column:
     return F.greatest(*cs) if len(cs) > 1 else cs[0]
 
@@ -40,6 +36,7 @@ def _z(x: Column, mean: Column, std: Column) -> Column:
     return (x - mean) / F.when(std == 0, 1e-10).otherwise(std)
 
 
+@appends("score", "is_anomaly")
 def zscore_global(df: DataFrame, cols: list[str], keys: list[str], threshold: float = 3.0) -> DataFrame:
     """score: largest abs(z) over the columns, by mean and population std of the key; is_anomaly above the threshold.
 
@@ -51,12 +48,14 @@ def zscore_global(df: DataFrame, cols: list[str], keys: list[str], threshold: fl
     return out.select(*df.columns, "score", (F.col("score") > threshold).alias("is_anomaly"))
 
 
+@appends("score", "is_anomaly")
 def zscore_rolling(df: DataFrame, cols: list[str], keys: list[str], window: int, threshold: float = 3.0) -> DataFrame:
     w = _ordered(keys).rowsBetween(-(window - 1), 0)
     score = _largest([F.abs(_z(F.col(c), F.avg(c).over(w), F.stddev_pop(c).over(w))) for c in cols])
     return df.withColumn("score", score).withColumn("is_anomaly", F.col("score") > threshold)
 
 
+@appends("score", "is_anomaly")
 def cusum(df: DataFrame, cols: list[str], keys: list[str], threshold: float = 5.0, drift: float = 0.5) -> DataFrame:
     """Two-sided cumulative sums of z-values in closed form: with P the running sum of (z - drift), the sum that restarts at 0 is P - min(0, least P so far)."""
     w = _ordered(keys).rowsBetween(Window.unboundedPreceding, 0)
@@ -68,6 +67,7 @@ def cusum(df: DataFrame, cols: list[str], keys: list[str], threshold: float = 5.
     return out.select(*df.columns, "score", (F.col("score") > threshold).alias("is_anomaly"))
 
 
+@appends("score", "is_anomaly")
 def spc_detector(df: DataFrame, col: str, keys: list[str], n_sigma: float = 3.0) -> DataFrame:
     """Beyond n sigma, nine on one side, six trending, or two of three beyond two sigma."""
     w, whole = _ordered(keys), Window.partitionBy(*keys)
@@ -173,7 +173,7 @@ def isolation_forest(df: DataFrame, cols: list[str], key: str, contamination: fl
     rows, from that many smallest hashes, cut into disjoint samples), and meet the key's rows in bounded runs. The cut is the
     key's contamination quantile.
     """
-    _fresh(df, "decision", "is_anomaly", "severity")
+    fresh(df, "decision", "is_anomaly", "severity")
     enough = df.groupBy(key).agg(F.count("*").alias("n__")).where(F.col("n__") >= least).select(key)
     usable = df.join(enough, key, "left_semi")
 
@@ -264,7 +264,7 @@ def lof(df: DataFrame, cols: list[str], key: str, k: int = 20, contamination: fl
     Equal rows are one point that counts as often as it occurs. Keys of up to k rows use all their rows; a key's
     only row has the factor 1. Rows with a null or NaN value, or without a key, have no factor and are no neighbours.
     """
-    _fresh(df, "lof", "is_anomaly")
+    fresh(df, "lof", "is_anomaly")
     whole = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols]) & F.col(key).isNotNull()
     names = [f"x{j}__" for j in range(len(cols))]
     rows = df.withColumns({n: F.when(whole, F.col(c).cast("double")) for n, c in zip(names, cols, strict=True)})
@@ -282,7 +282,7 @@ def lof(df: DataFrame, cols: list[str], key: str, k: int = 20, contamination: fl
 
 def one_class_boundary(df: DataFrame, cols: list[str], nu: float = 0.05, features: int = 64, sample: int = 10_000, seed: int = 5) -> DataFrame:
     """decision and is_anomaly: a linear boundary over random Fourier features, fitted on at most `sample` rows (smallest hashes), scored on all."""
-    _fresh(df, "decision", "is_anomaly")
+    fresh(df, "decision", "is_anomaly")
     rows = df.select(*cols, TIE).dropna().orderBy(F.xxhash64(F.lit(3), TIE), TIE).limit(sample).toPandas()
     x = rows[cols].to_numpy(float)
     mean, std = (x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)) if len(x) else (np.zeros(len(cols)), np.ones(len(cols)))
@@ -309,7 +309,7 @@ def reconstruction_error(df: DataFrame, cols: list[str], components: int = 2, pc
 
     Without a complete row the result is empty. A column of that name, is_anomaly, severity or top_features in df is an error.
     """
-    _fresh(df, "reconstruction_error", "is_anomaly", "severity", "top_features")
+    fresh(df, "reconstruction_error", "is_anomaly", "severity", "top_features")
     clean = df.dropna(subset=cols)
     row = clean.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if row["m0"] is None:  # no complete row: no components, and no errors to report
@@ -332,11 +332,26 @@ def reconstruction_error(df: DataFrame, cols: list[str], components: int = 2, pc
     return out.withColumn("severity", severity).select(*df.columns, "reconstruction_error", "is_anomaly", "severity", "top_features")
 
 
+@appends("ensemble_score", "votes", "is_anomaly", "severity")
 def ensemble_online(df: DataFrame, scores: list[str], flags: list[str], keys: list[str], history: int = 1000) -> DataFrame:
-    """Mean of the scores scaled by the 5th and 95th percentiles of the last rows (clipped scores below 10 rows); anomaly at two votes."""
-    w = _ordered(keys).rowsBetween(-(history - 1), 0)
-    n = F.count(F.lit(1)).over(w)
-    out = df.withColumn("n__", n).withColumns({f"{q}{i}__": F.percentile(F.col(s), F.lit(p)).over(w) for i, s in enumerate(scores) for q, p in (("lo", 0.05), ("hi", 0.95))})
+    """Mean of the scores scaled by the 5th and 95th percentiles of the last rows (clipped scores below 10 rows); anomaly at two votes.
+
+    Keys are handled in runs, each with the rows before it, and a run keeps its last rows sorted while it moves on.
+    """
+    rows = placed(df, keys, ["time", TIE])
+    parts = runs(rows, history - 1)
+    bounds = [f"{q}{i}__" for i in range(len(scores)) for q in ("lo", "hi")]
+    kept = [*df.columns, "i__", *bounds]
+
+    def scale(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i__")
+        for i, s in enumerate(scores):
+            found = rolling_quantiles(pdf[s].to_numpy(float), history, [0.05, 0.95])
+            pdf[f"lo{i}__"], pdf[f"hi{i}__"] = found[:, 0], found[:, 1]
+        return pdf.loc[pdf["own__"], kept]
+
+    schema = T.StructType([*df.schema.fields, T.StructField("i__", T.LongType()), *[T.StructField(b, T.DoubleType()) for b in bounds]])
+    out = parts.groupBy(*keys, "run__").applyInPandas(scale, schema).withColumn("n__", F.least(F.col("i__") + 1, F.lit(history)))
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     scaled = [F.when((F.col("n__") < 10) | (F.col(f"hi{i}__") <= F.col(f"lo{i}__")), clip(F.col(s))).otherwise(clip((F.col(s) - F.col(f"lo{i}__")) / (F.col(f"hi{i}__") - F.col(f"lo{i}__")))) for i, s in enumerate(scores)]
     out = out.withColumns({"ensemble_score": reduce(Column.__add__, scaled) / len(scores), "votes": reduce(Column.__add__, [F.coalesce(F.col(f).cast("int"), F.lit(0)) for f in flags])})
@@ -345,15 +360,17 @@ def ensemble_online(df: DataFrame, scores: list[str], flags: list[str], keys: li
     return out.select(*df.columns, "ensemble_score", "votes", (F.col("votes") >= 2).alias("is_anomaly"), severity.alias("severity"))
 
 
+@appends("ensemble_score", "votes", "is_anomaly", "two_agree", "all_agree")
 def ensemble_batch(df: DataFrame, scores: list[str], pct: float = 0.95, votes: int = 3) -> DataFrame:
     """Scores scaled to 0..1 over all rows, each flagged at its percentile; mean, number of flags, and whether two, three or all agree."""
-    stats = df.agg(*[f for i, s in enumerate(scores) for f in (F.min(s).alias(f"a{i}__"), F.max(s).alias(f"b{i}__"), F.percentile(s, F.lit(pct)).alias(f"q{i}__"))])
-    out = df.crossJoin(F.broadcast(stats))  # one row
+    bounds = quantiles(df, scores, [0.0, 1.0, pct])
+    out = df.withColumns({f"{n}{i}__": F.lit(v).cast("double") for i, s in enumerate(scores) for n, v in zip("abq", bounds[s], strict=True)})
     scaled = [F.when(F.col(f"b{i}__") > F.col(f"a{i}__"), (F.col(s) - F.col(f"a{i}__")) / (F.col(f"b{i}__") - F.col(f"a{i}__"))).otherwise(0.0) for i, s in enumerate(scores)]
     n = reduce(Column.__add__, [(F.col(s) > F.col(f"q{i}__")).cast("int") for i, s in enumerate(scores)])
     return out.select(*df.columns, (reduce(Column.__add__, scaled) / len(scores)).alias("ensemble_score"), n.alias("votes")).withColumns({"is_anomaly": F.col("votes") >= votes, "two_agree": F.col("votes") >= 2, "all_agree": F.col("votes") == len(scores)})
 
 
+@appends("ma5", "ma15")
 def score_trend(df: DataFrame, keys: list[str], score: str = "score", tie: str = TIE) -> DataFrame:
     w = _ordered(keys, tie)
     return df.withColumns({"ma5": F.avg(score).over(w.rowsBetween(-4, 0)), "ma15": F.avg(score).over(w.rowsBetween(-14, 0))})

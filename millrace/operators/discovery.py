@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import corr, micros
+from millrace.functions.columns import added, corr, micros
 from millrace.operators.anomaly import f_p_value, t_p_value, with_p_value
 from millrace.operators.features import all_correlations
 from millrace.operators.graph import cut
@@ -231,7 +231,7 @@ def cross_correlation(df: DataFrame, cols: list[str], max_lag: int = 100, least:
 def rolling_correlation(df: DataFrame, pairs: list[tuple[str, str]], width: int, keys: list[str], tie: str = TIE) -> DataFrame:
     """Correlation over the `width` rows before each row."""
     w = Window.partitionBy(*keys).orderBy("time", tie).rowsBetween(-width, -1)
-    return df.withColumns({f"corr_{a}_{b}": F.when(F.count(F.lit(1)).over(w) == width, corr(a, b, w)) for a, b in pairs})
+    return added(df, {f"corr_{a}_{b}": F.when(F.count(F.lit(1)).over(w) == width, corr(a, b, w)) for a, b in pairs})
 
 
 def highly_correlated(df: DataFrame, cols: list[str], threshold: float = 0.8) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.columns import corr
+from millrace.functions.columns import added, appends, corr, fresh
 from millrace.operators.graph import cut
 from millrace.operators.order import runs
 from millrace.operators.spectrum import WHOLE, seasonality, series_of
@@ -29,7 +29,7 @@ def rolling_features(df: DataFrame, cols: list[str], keys: list[str], widths: tu
         for n in widths:
             f = w.rowsBetween(-(n - 1), 0)
             new |= {f"{c}_mean_{n}": F.avg(c).over(f), f"{c}_std_{n}": F.stddev_samp(c).over(f), f"{c}_max_{n}": F.max(c).over(f), f"{c}_min_{n}": F.min(c).over(f), f"{c}_range_{n}": F.max(c).over(f) - F.min(c).over(f)}
-    return df.withColumns(new)
+    return added(df, new)
 
 
 def change_features(df: DataFrame, cols: list[str], keys: list[str], lags: tuple[int, ...] = (1, 5, 10), tie: str = TIE) -> DataFrame:
@@ -39,7 +39,7 @@ def change_features(df: DataFrame, cols: list[str], keys: list[str], lags: tuple
         x, one, two = F.col(c), F.lag(c, 1).over(w), F.lag(c, 2).over(w)
         new |= {f"{c}_diff1": x - one, f"{c}_diff2": x - two, f"{c}_pct": F.when(one != 0, (x - one) / one), f"{c}_absdiff": F.abs(x - one)}
         new |= {f"{c}_lag_{k}": F.lag(c, k).over(w) for k in lags} | {f"{c}_lagdiff_{k}": x - F.lag(c, k).over(w) for k in lags}
-    return df.withColumns(new)
+    return added(df, new)
 
 
 def shape_features(df: DataFrame, cols: list[str], keys: list[str], widths: tuple[int, ...] = (30, 60), tie: str = TIE) -> DataFrame:
@@ -55,7 +55,7 @@ def shape_features(df: DataFrame, cols: list[str], keys: list[str], widths: tupl
                 f"{c}_skew_{k}": F.when((n >= 3) & moving, g1 * F.sqrt(n * (n - 1)) / (n - 2)), f"{c}_kurt_{k}": F.when((n >= 4) & moving, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)),
                 f"{c}_median_{k}": F.percentile(c, F.lit(0.5)).over(f), f"{c}_cv_{k}": F.when(mean != 0, std / mean), f"{c}_z_{k}": F.when(std > 0, (F.col(c) - mean) / std),
             }
-    return df.withColumns(new)
+    return added(df, new)
 
 
 def spectrum(x: np.ndarray, width: int) -> np.ndarray:
@@ -96,6 +96,7 @@ def peaks(x: np.ndarray, width: int, distance: int = 2) -> np.ndarray:
 def _per_key(df: DataFrame, cols: list[str], keys: list[str], names: tuple[str, ...], f, width: int, tie: str) -> DataFrame:
     """Columns that f(values, width) adds, in runs of one key split by time: each run carries the width - 1 rows before it, so long keys are many groups."""
     run = 50_000
+    fresh(df, *[f"{c}_{n}" for c in cols for n in names])
     rows = df.withColumn("i__", F.row_number().over(_ordered(keys, tie)) - 1).withColumn("run__", F.floor(F.col("i__") / run))
     before = rows.where(F.col("i__") % run >= run - (width - 1)).withColumn("run__", F.col("run__") + 1)
     marked = rows.withColumn("own__", F.lit(True)).unionByName(before.withColumn("own__", F.lit(False)))
@@ -140,7 +141,7 @@ def interaction_features(df: DataFrame, cols: list[str], top_n: int = 5) -> Data
     for r in best:
         a, b = F.col(r["a"]), F.col(r["b"])
         new |= {f"{r['a']}_over_{r['b']}": F.when(b != 0, a / b), f"{r['a']}_times_{r['b']}": a * b, f"{r['a']}_minus_{r['b']}": a - b}
-    return df.withColumns(new)
+    return added(df, new)
 
 
 def feature_ranking(df: DataFrame, cols: list[str], target: str) -> DataFrame:
@@ -189,6 +190,7 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     return out.withColumns({c: F.when(F.col(f"s{i}__") > 0, (F.col(c) - F.col(f"m{i}__")) / F.col(f"s{i}__")).otherwise(F.col(c) - F.col(f"m{i}__")) for i, c in enumerate(cols)}).select(*df.columns)
 
 
+@appends("is_test")
 def train_test_split(df: DataFrame, ratio: float = 0.2, keys: list[str] | None = None, temporal: bool = True, tie: str = TIE) -> DataFrame:
     """is_test: the last rows of each key by time, or rows by hash."""
     if not temporal:
@@ -235,4 +237,5 @@ def failure_features(df: DataFrame, cols: list[str], keys: list[str], width: int
     for c in cols:
         mean, before = F.avg(c).over(f), F.lag(c).over(w)
         new |= {f"{c}_mean": mean, f"{c}_std": F.stddev_samp(c).over(f), f"{c}_min": F.min(c).over(f), f"{c}_max": F.max(c).over(f), f"{c}_range": F.max(c).over(f) - F.min(c).over(f), f"{c}_diff": F.col(c) - before, f"{c}_pct": F.when(before != 0, (F.col(c) - before) / before), f"{c}_ratio": F.when(mean != 0, F.col(c) / mean), f"{c}_slope": F.regr_slope(c, "i__").over(f)}
+    fresh(df, *new)
     return x.withColumns(new).where(F.col("i__") >= width).drop("i__")

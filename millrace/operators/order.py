@@ -7,6 +7,7 @@ before it. Values are counted before they are sorted, so a frequent value is one
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 
 from functools import reduce
 
@@ -151,3 +152,25 @@ def runs(rows: DataFrame, before: int, name: str = "i__", size: int = RUN) -> Da
     both = F.array(F.struct(own.alias("run__"), F.lit(True).alias("own__")), F.struct((own + 1).alias("run__"), F.lit(False).alias("own__")))
     out = rows.withColumn("r__", F.explode(F.when(copied, both).otherwise(F.slice(both, 1, 1))))
     return out.select(*rows.columns, "r__.run__", "r__.own__")
+
+
+def rolling_quantiles(x: np.ndarray, width: int, probabilities: list[float]) -> np.ndarray:
+    """(row, probability): exact quantiles of the last `width` values up to each row, between two values in proportion; NaN takes no part, and without values is the result.
+
+    The window is kept sorted: a row costs two searches and two moves in it, not a sort.
+    """
+    window: list[float] = []
+    out = np.full((len(x), len(probabilities)), np.nan)
+    for i, v in enumerate(x.tolist()):
+        if i >= width and x[i - width] == x[i - width]:
+            del window[bisect_left(window, float(x[i - width]))]
+        if v == v:
+            insort(window, v)
+        if window:
+            for j, p in enumerate(probabilities):
+                place = p * (len(window) - 1)
+                low = int(place)
+                high = min(low + 1, len(window) - 1)
+                a, b = window[low], window[high]
+                out[i, j] = a if a == b or place == low else (low + 1 - place) * a + (place - low) * b
+    return out

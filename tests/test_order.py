@@ -137,3 +137,43 @@ def test_constant_columns_have_no_correlation(spark):
     assert ranking["a"] == 0
     rolled = discovery.rolling_correlation(df, [("a", "b"), ("b", "c")], 10, ["k"], "time").orderBy("time").collect()
     assert rolled[30]["corr_a_b"] is None and rolled[30]["corr_b_c"] == pytest.approx(np.corrcoef(range(20, 30), [i % 7 for i in range(20, 30)])[0, 1])
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 500])
+def test_rolling_quantiles(width):
+    x = np.random.default_rng(width).integers(0, 12, 300).astype(float)
+    x[::13] = np.nan
+    got = order.rolling_quantiles(x, width, [0.05, 0.5, 0.95, 1.0])
+    for i in range(len(x)):
+        own = x[max(0, i - width + 1) : i + 1]
+        own = own[~np.isnan(own)]
+        assert np.isnan(got[i]).all() if not len(own) else got[i] == pytest.approx(np.quantile(own, [0.05, 0.5, 0.95, 1.0]))
+
+
+ADDING = {
+    "score": [("zscore_global", (["v"], ["k"])), ("zscore_rolling", (["v"], ["k"], 5)), ("cusum", (["v"], ["k"])), ("spc_detector", ("v", ["k"]))],
+    "votes": [("ensemble_online", (["v"], ["f"], ["k"])), ("ensemble_batch", (["v"],))],
+    "ma5": [("score_trend", (["k"], "v"))],
+    "v_mean_5": [("rolling_features", (["v"], ["k"]))],
+    "v_diff1": [("change_features", (["v"], ["k"]))],
+    "v_skew_30": [("shape_features", (["v"], ["k"]))],
+    "v_fft_peak": [("fft_features", (["v"], ["k"]))],
+    "v_peak_count": [("peak_features", (["v"], ["k"]))],
+    "v_slope": [("failure_features", (["v"], ["k"]))],
+    "v_over_w": [("interaction_features", (["v", "w"],))],
+    "is_test": [("train_test_split", ())],
+    "corr_v_w": [("rolling_correlation", ([("v", "w")], 5, ["k"]))],
+}
+
+
+@pytest.mark.parametrize("column,name,args", [(c, n, a) for c, many in ADDING.items() for n, a in many])
+def test_no_input_column_is_replaced(spark, column, name, args):
+    from millrace.operators import anomaly, features
+
+    f = next(getattr(m, name) for m in (anomaly, features, discovery) if hasattr(m, name))
+    df = spark.createDataFrame([(i, i, 1, float(i), float(i % 3), True) for i in range(12)], "time long, measurement_id long, k long, v double, w double, f boolean")
+    out = f(df, *args)
+    assert column in out.columns and len(set(out.columns)) == len(out.columns) and set(df.columns) <= set(out.columns)
+    for taken in (column, "x__"):
+        with pytest.raises(ValueError, match=taken):
+            f(df.withColumn(taken, F.lit(1)), *args)
