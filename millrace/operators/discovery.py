@@ -142,8 +142,8 @@ def gram(df: DataFrame, cols: list[str]) -> np.ndarray:
 def granger(df: DataFrame, cols: list[str], max_lag: int = 10, alpha: float = 0.05, least: int = 500, time: str = "time", pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """source, target, lag, f_stat, p_value, is_causal, confidence: does the past of source help to predict target?
 
-    For each lag, rows from that lag on enter; sums of squares come from one matrix of products of all lagged
-    columns, so every pair is a small solve on the driver.
+    For each lag, rows from that lag on enter. One job adds up the products of all lagged columns over the rows that
+    have all lags; the few rows before them are added for each lag, so every pair is a small solve on the driver.
     """
     spark = df.sparkSession
     base = df.select(time, *cols).dropna()
@@ -155,10 +155,15 @@ def granger(df: DataFrame, cols: list[str], max_lag: int = 10, alpha: float = 0.
         return spark.createDataFrame([], schema)
     lags = min(max_lag, n // 10)
     x = cut(lagged(base.select(time, *[(F.col(c) - F.lit(means[c])).alias(c) for c in cols]), cols, lags, time))
+    names = [f"{c}__{k}" for c in cols for k in range(lags + 1)]
+    whole = gram(x.where(F.col("t__") > lags), names)
+    first = {r["t__"]: [1.0, *[r[c] for c in names]] for r in x.where(F.col("t__") <= lags).select("t__", *names).collect()}  # `lags` rows
     out = []
     for p in range(1, lags + 1):
         use = [f"{c}__{k}" for c in cols for k in range(p + 1)]
-        g = gram(x.where(F.col("t__") > p), use)
+        own_places = [0, *[names.index(v) + 1 for v in use]]
+        edge = np.array([[row[i] for i in own_places] for t, row in first.items() if t > p], float).reshape(-1, len(own_places))
+        g = whole[np.ix_(own_places, own_places)] + edge.T @ edge
         at = {name: i + 1 for i, name in enumerate(use)}
 
         def rss(y: str, xs: list[str]) -> float:

@@ -71,12 +71,16 @@ def neighbors(edges: DataFrame, node: str, kind: str | None = None) -> DataFrame
 
 
 def traverse(edges: DataFrame, start: DataFrame, depth: int = 3, direction: str = "forward", types: list[str] | None = None) -> DataFrame:
-    """node, depth for all nodes within 1 to depth hops of the nodes in start (column node), at their smallest depth."""
-    steps = cut(both_ways(edges, direction, types).select("a", "b").distinct())
+    """node, depth for all nodes within 1 to depth hops of the nodes in start (column node), at their smallest depth.
+
+    Each hop keeps only the edges of its frontier: a semi-join, which Spark pushes below unions and distincts of the edges
+    and answers by a broadcast where the frontier is small. So the edges are scanned, never written or sorted as a whole.
+    """
+    steps = both_ways(edges, direction, types).select("a", "b")
     seen = cut(start.select("node", F.lit(0).alias("depth")).distinct())
     frontier = seen.select("node")
     for hop in range(1, depth + 1):
-        reached = frontier.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        reached = steps.join(frontier, F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         new = cut(reached.withColumn("depth", F.lit(hop)))
         if new.isEmpty():
             break
@@ -99,13 +103,14 @@ def shortest_path(edges: DataFrame, a: str, b: str, depth: int = 5) -> DataFrame
     Each hop keeps the smallest predecessor of a new node only, so the tables grow with nodes, not with paths.
     """
     spark = edges.sparkSession
-    steps = cut(both_ways(edges).select("a", "b").distinct())
+    steps = both_ways(edges).select("a", "b")
     seen = cut(spark.range(1).select(F.lit(a).alias("node"), F.lit(0).alias("step"), F.array(F.lit(a)).alias("path")))
     frontier = seen
     for hop in range(1, depth + 1):
         if a == b:
             break
-        near = frontier.join(steps, F.col("node") == F.col("a")).join(seen.select(F.col("node").alias("old__")), F.col("b") == F.col("old__"), "left_anti")
+        of = steps.join(frontier.select(F.col("node").alias("here__")), F.col("a") == F.col("here__"), "left_semi").distinct()
+        near = frontier.join(of, F.col("node") == F.col("a")).join(seen.select(F.col("node").alias("old__")), F.col("b") == F.col("old__"), "left_anti")
         new = cut(near.groupBy(F.col("b").alias("node")).agg(F.min("path").alias("path")).select("node", F.lit(hop).alias("step"), F.concat("path", F.array("node")).alias("path")))
         seen, frontier = seen.unionByName(new), new
         if new.where(F.col("node") == b).head(1) or new.isEmpty():
