@@ -80,16 +80,30 @@ def spectrum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def peaks(x: np.ndarray, width: int, distance: int = 2) -> np.ndarray:
-    """(row, 2): number and mean height of local maxima at or above the trailing window's mean, at least `distance` apart (the higher first)."""
+    """(row, 2): number and mean height of local maxima at or above the trailing window's mean, at least `distance` apart (the higher first, of equal ones the earlier)."""
     out = np.zeros((len(x), 2))
-    for i in range(len(x)):
-        w = x[max(0, i - width + 1) : i + 1]
-        at = np.flatnonzero((w[1:-1] > w[:-2]) & (w[1:-1] > w[2:]) & (w[1:-1] >= w.mean())) + 1 if len(w) > 2 else np.zeros(0, int)
-        chosen: list[int] = []
-        for j in at[np.argsort(-w[at], kind="stable")].tolist():
-            if all(abs(j - k) >= distance for k in chosen):
-                chosen.append(j)
-        out[i] = len(chosen), w[chosen].mean() if chosen else 0.0
+    if len(x) < 3 or width < 3:
+        return out
+    top = np.zeros(len(x), bool)
+    top[1:-1] = (x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])
+    windows, tops = (np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(width - 1, fill), v]), width) for v, fill in ((x, np.nan), (top, False)))
+    for a in range(0, len(x), 4096):
+        w, at = np.ascontiguousarray(windows[a : a + 4096]), tops[a : a + 4096].copy()
+        at[:, [0, -1]] = False
+        full = slice(max(0, width - 1 - a), None)
+        mean = np.nanmean(w, axis=1)
+        mean[full] = w[full].mean(axis=1)
+        with np.errstate(invalid="ignore"):
+            at &= w >= mean[:, None]
+        if distance > 2:  # strict maxima are two apart anyway
+            left, at = np.where(at, w, -np.inf), np.zeros_like(at)
+            while (open_rows := np.flatnonzero(left.max(axis=1) > -np.inf)).size:
+                best = left[open_rows].argmax(axis=1)
+                at[open_rows, best] = True
+                left[open_rows] = np.where(np.abs(np.arange(width) - best[:, None]) < distance, -np.inf, left[open_rows])
+        n = at.sum(axis=1)
+        out[a : a + 4096, 0] = n
+        out[a : a + 4096, 1] = np.where(n, np.where(at, w, 0.0).sum(axis=1) / np.maximum(n, 1), 0.0)
     return out
 
 

@@ -177,3 +177,20 @@ def test_no_input_column_is_replaced(spark, column, name, args):
     for taken in (column, "x__"):
         with pytest.raises(ValueError, match=taken):
             f(df.withColumn(taken, F.lit(1)), *args)
+
+
+@pytest.mark.parametrize("distance", [2, 3, 6])
+def test_peaks_are_those_of_each_window(distance):
+    from millrace.operators.features import peaks
+
+    rng = np.random.default_rng(distance)
+    for x in (rng.normal(size=300), rng.integers(0, 6, 400).astype(float), np.zeros(20), np.arange(2.0), np.zeros(0), rng.integers(0, 3, 5000).astype(float)):
+        got = peaks(x, 30, distance)
+        for i in [*range(min(60, len(x))), *range(4090, min(4110, len(x)))]:
+            w = x[max(0, i - 29) : i + 1]
+            at = np.flatnonzero((w[1:-1] > w[:-2]) & (w[1:-1] > w[2:]) & (w[1:-1] >= w.mean())) + 1 if len(w) > 2 else np.zeros(0, int)
+            chosen = []
+            for j in at[np.argsort(-w[at], kind="stable")].tolist():
+                if all(abs(j - k) >= distance for k in chosen):
+                    chosen.append(j)
+            assert got[i, 0] == len(chosen) and got[i, 1] == pytest.approx(w[chosen].mean() if chosen else 0.0)
