@@ -157,16 +157,21 @@ def shape_features(spark, d):
     return rounded(out.select("measurement_id", *[c for c in out.columns if c.startswith("value_")]), 5)
 
 
-@query()
+@query(f"""WITH {M}, w AS (SELECT measurement_id, list(value) OVER {W} ROWS 59 PRECEDING) AS w FROM m), f AS (SELECT measurement_id, len(w) AS n, w, unnest(range(1, len(w) // 2 + 1)) AS k FROM w WHERE len(w) >= 4),
+p AS (SELECT measurement_id, n, k, pow(list_sum(list_transform(w, lambda x, i: x * cos(2 * pi() * ((k * (i - 1)) % n) / n))), 2) + pow(list_sum(list_transform(w, lambda x, i: x * sin(2 * pi() * ((k * (i - 1)) % n) / n))), 2) AS e FROM f),
+t AS (SELECT *, sum(e) OVER (PARTITION BY measurement_id) AS total FROM p), a AS (SELECT measurement_id, any_value(total) AS energy, arg_max(k, e) / any_value(n) AS peak, -sum(e / total * log2(e / total)) AS entropy FROM t GROUP BY measurement_id)
+SELECT measurement_id, round(coalesce(energy, 0), 4) AS value_fft_energy, round(coalesce(peak, 0), 4) AS value_fft_peak, round(coalesce(entropy, 0), 4) AS value_fft_entropy FROM m LEFT JOIN a USING (measurement_id)""")
 def fft_features(spark, d):
     out = features.fft_features(v.sensors(spark, d).select("measurement_id", *KEYS, "time", "value"), ["value"], KEYS)
-    return out.select("measurement_id", "value_fft_energy", "value_fft_peak", "value_fft_entropy")
+    return rounded(out.select("measurement_id", "value_fft_energy", "value_fft_peak", "value_fft_entropy"), 4)
 
 
-@query()
+@query(f"""WITH {M}, w AS (SELECT measurement_id, list(value) OVER {W} ROWS 29 PRECEDING) AS w FROM m), t AS (SELECT measurement_id, w, list_avg(w) AS a FROM w),
+p AS (SELECT measurement_id, list_filter(w, lambda x, i: i > 1 AND i < len(w) AND x > w[i - 1] AND x > w[i + 1] AND x >= a) AS p FROM t)
+SELECT measurement_id, CAST(len(p) AS DOUBLE) AS value_peak_count, round(coalesce(list_avg(p), 0), 6) AS value_peak_height FROM p""")
 def peak_features(spark, d):
     out = features.peak_features(v.sensors(spark, d).select("measurement_id", *KEYS, "time", "value"), ["value"], KEYS)
-    return out.select("measurement_id", "value_peak_count", "value_peak_height")
+    return rounded(out.select("measurement_id", "value_peak_count", "value_peak_height"))
 
 
 @query()
