@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,10 +70,89 @@ def score_quality(model: PipelineModel, df: DataFrame, rmse: float, z: float = 1
     return out.select(*df.columns, "prediction", (F.col("prediction") - z * rmse).alias("lower"), (F.col("prediction") + z * rmse).alias("upper"))
 
 
+def _trees(model) -> list[tuple[float, list[tuple[int, float, int, int]]]]:
+    """Of an ensemble, each tree's weight and nodes: feature (-1: leaf), threshold or a leaf's value, left, right."""
+    out = []
+    share = 1 / model.getNumTrees if isinstance(model, RandomForestRegressionModel) else None
+    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
+        nodes, todo = [], [(tree._call_java("rootNode"), None)]
+        while todo:
+            node, parent = todo.pop()
+            if parent is not None:
+                nodes[parent[0]][parent[1]] = len(nodes)
+            inner = node.subtreeDepth() > 0
+            nodes.append([node.split().featureIndex(), node.split().threshold(), 0, 0] if inner else [-1, node.prediction(), 0, 0])
+            if inner:
+                at = len(nodes) - 1
+                todo += [(node.rightChild(), (at, 3)), (node.leftChild(), (at, 2))]
+        out.append((share if share else weight, [tuple(n) for n in nodes]))
+    return out
+
+
+def _walked(trees: list, x: np.ndarray, feature: int, grid: np.ndarray) -> np.ndarray:
+    """The sum over the rows of x of what the trees predict with the feature at each value of the ascending grid: a row goes down a tree once, splits on the feature part the grid."""
+    total = np.zeros(len(grid))
+    for weight, nodes in trees:
+        todo = [(0, np.arange(len(x)), 0, len(grid))]
+        while todo:
+            at, rows, lo, hi = todo.pop()
+            f, cut_, left, right = nodes[at]
+            if f < 0:
+                total[lo:hi] += weight * cut_ * len(rows)
+            elif f == feature:
+                mid = lo + int(np.searchsorted(grid[lo:hi], cut_, "right"))
+                todo += [(to, rows, a, b) for to, a, b in ((left, lo, mid), (right, mid, hi)) if a < b]
+            else:
+                small = x[rows, f] <= cut_
+                todo += [(to, part, lo, hi) for to, part in ((left, rows[small]), (right, rows[~small])) if len(part)]
+    return total
+
+
 def feature_impact(df: DataFrame, model: PipelineModel, feature: str, cols: list[str], points: int = 20) -> DataFrame:
-    """Mean prediction with one feature set to each of `points` values between its bounds."""
+    """value, mean_prediction: the mean prediction with one feature set to each of `points` values between its bounds.
+
+    Every row is read once. Down the trees of an ensemble it carries the whole grid, which splits on the feature part.
+    A linear model, also on features of degree 2, is linear in the other features, so the mean over all rows is needed
+    for one value only; the other values differ from it as they do for the mean row. Other models predict each row
+    once for each value.
+    """
+    spark = df.sparkSession
     low, high = df.agg(F.min(feature), F.max(feature)).first()
-    grid = df.sparkSession.range(points).select((F.lit(float(low)) + F.col("id") * ((float(high) - float(low)) / max(points - 1, 1))).alias("grid__"))
+    if low is None:
+        return spark.createDataFrame([], "value double, mean_prediction double")
+    values = [float(low) + i * ((float(high) - float(low)) / max(points - 1, 1)) for i in range(points)]
+    last = model.stages[-1]
+    anchored = df.select(*[F.lit(values[0]).alias(c) if c == feature else F.col(c) for c in cols])
+    made = lambda rows: spark.createDataFrame(rows, "value double, mean_prediction double")
+    if isinstance(last, LinearRegressionModel):
+        whole = model.transform(anchored).agg(F.avg("prediction").alias("p"), *[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+        if whole["p"] is None:
+            return made([])
+        mean_rows = spark.createDataFrame([tuple(v if c == feature else float(whole[c]) for c in cols) for v in values], ", ".join(f"`{c}` double" for c in cols))
+        of = {r[feature]: r["prediction"] for r in model.transform(mean_rows).select(feature, "prediction").collect()}
+        return made([(v, whole["p"] + of[v] - of[values[0]]) for v in values])
+    if isinstance(last, (RandomForestRegressionModel, GBTRegressionModel)) and not any(isinstance(x, PolynomialExpansion) for x in model.stages):
+        steps = PipelineModel(model.stages[:-1])
+        at = cols.index(feature)
+        vector = lambda rows: steps.transform(rows).select(vector_to_array(last.getFeaturesCol()).alias("x"))
+        some = df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in cols])).select(*cols).limit(1)
+        one = some.crossJoin(F.broadcast(spark.createDataFrame([(v,) for v in values], "v__ double"))).withColumn(feature, F.col("v__"))
+        grid = np.sort(np.array([r["x"][at] for r in vector(one).collect()]))  # `points` rows
+        if not len(grid):
+            return made([])
+        trees = _trees(last)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total = 0, np.zeros(len(grid))
+            for batch in batches:
+                if len(batch):
+                    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                    n, total = n + len(x), total + _walked(trees, x, at, grid)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int64()), pa.array([n] * len(grid), pa.int64()), pa.array(total)], ["i", "n", "s"])
+
+        sums = vector(anchored).mapInArrow(run, "i long, n long, s double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("mean_prediction"))
+        return sums.select(F.element_at(F.array(*map(F.lit, values)), F.col("i").cast("int") + 1).alias("value"), "mean_prediction")
+    grid = spark.createDataFrame([(v,) for v in values], "grid__ double")
     many = df.select(*[c for c in cols if c != feature]).crossJoin(F.broadcast(grid)).withColumn(feature, F.col("grid__"))  # `points` rows
     return model.transform(many).groupBy("grid__").agg(F.avg("prediction").alias("mean_prediction")).withColumnRenamed("grid__", "value")
 
