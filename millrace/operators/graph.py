@@ -162,6 +162,92 @@ def trace_root_causes(rules: DataFrame, param: str, depth: int = 3) -> DataFrame
     return up.join(caused, "node", "left").select(F.col("node").alias("cause"), "depth", F.col("caused__").isNull().alias("is_root"))
 
 
+def _chains(edges: DataFrame, chain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes with one edge in and one out: v, u, w (the nodes before and after its chain), and node, part of those on cycles of such nodes alone.
+
+    Pointers double: each round a node's pointer, if it stands on a chain, moves on to where that one points. Once the number
+    of pointers on chains stays the same, those left go round a cycle; their smallest node is found by going on.
+    """
+    at = edges.join(chain.select(F.col("node").alias("a")), "a").select(F.col("a").alias("v"), F.col("b").alias("w"))
+    back = edges.join(chain.select(F.col("node").alias("b")), "b").select(F.col("b").alias("v"), F.col("a").alias("u"))
+    now, left = cut(at.join(back, "v").select("v", "u", "w", F.least("v", "w").alias("least"), F.lit(False).alias("changed"))), None
+    while True:
+        ahead = now.select(F.col("v").alias("w"), F.col("w").alias("w2"), F.col("least").alias("least2"))
+        behind = now.select(F.col("v").alias("u"), F.col("u").alias("u2"))
+        both = now.join(ahead, "w", "left").join(behind, "u", "left")
+        least = F.least("least", F.coalesce("least2", "least"))
+        now = cut(both.select("v", F.coalesce("u2", "u").alias("u"), F.coalesce("w2", "w").alias("w"), least.alias("least"), (F.col("w2").isNotNull() & (least < F.col("least"))).alias("changed")))
+        on_chain = now.join(chain.select(F.col("node").alias("w")), "w", "left_semi")
+        n, moved = on_chain.agg(F.count("*"), F.count_if("changed")).first()
+        if not n or (n == left and not moved):
+            ends = now.join(chain.select(F.col("node").alias("w")), "w", "left_anti").select("v", "u", "w")
+            return ends, on_chain.select(F.col("v").alias("node"), F.col("least").alias("part"))
+        left = n
+
+
+def _core_parts(edges: DataFrame) -> DataFrame:
+    """node, part of the strongly connected parts of two nodes or more, by colours: each node takes the largest node that reaches it; those of a colour that reach its namesake are its part."""
+    spark, found = edges.sparkSession, []
+    while not edges.isEmpty():
+        colour = cut(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("part", F.col("node")))
+        while True:
+            coming = edges.join(colour.select(F.col("node").alias("a"), "part"), "a").groupBy(F.col("b").alias("node")).agg(F.max("part").alias("more"))
+            new = cut(colour.join(coming, "node", "left").select("node", F.greatest("part", F.coalesce("more", "part")).alias("part"), (F.col("more") > F.col("part")).alias("moved")))
+            colour = new.select("node", "part")
+            if new.where("moved").isEmpty():
+                break
+        same = cut(edges.join(colour.select(F.col("node").alias("a"), "part"), "a").join(colour.select(F.col("node").alias("b"), F.col("part").alias("q")), "b").where("part = q").select("a", "b", "part"))
+        reach = frontier = cut(colour.where("node = part"))
+        while True:
+            new = cut(same.join(frontier.select(F.col("node").alias("b"), "part"), ["b", "part"], "left_semi").select(F.col("a").alias("node"), "part").distinct().join(reach, ["node", "part"], "left_anti"))
+            if new.isEmpty():
+                break
+            reach, frontier = reach.unionByName(new), new
+        reach = cut(reach)
+        several = reach.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(reach.join(several, "part", "left_semi").select("node", "part"))
+        gone = lambda c, r=reach: r.select(F.col("node").alias(c))
+        edges = cut(same.join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti").select("a", "b"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "node string, part string")
+
+
+def on_cycles(pairs: DataFrame) -> DataFrame:
+    """node: those that edges (a, b) lead back to, with work in proportion to the edges and rounds in proportion to the logarithm of a chain's length.
+
+    Chains of nodes with one edge in and one out shrink to an edge; nodes without an edge in or out go; what is left is cut
+    into strongly connected parts. A node of a shrunk chain is on a cycle if both of the chain's ends are in one part.
+    """
+    edges = cut(pairs.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct())
+    parts, levels = [cut(edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("part")))], []
+    edges = cut(edges.where("a <> b"))
+    while True:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        degrees = cut(ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")))
+        chains, dead = degrees.agg(F.count_if((F.col("out") == 1) & (F.col("in") == 1)), F.count_if((F.col("out") == 0) | (F.col("in") == 0))).first()
+        if not chains and not dead:
+            break
+        if chains:
+            chain = degrees.where("out = 1 AND `in` = 1").select("node")
+            segments, rings = _chains(edges, chain)
+            segments = cut(segments)
+            closed = segments.where("u = w")
+            parts += [rings, closed.select(F.col("v").alias("node"), F.col("u").alias("part")), closed.select(F.col("u").alias("node"), F.col("u").alias("part")).distinct()]
+            levels.append(segments.where("u <> w"))
+            inner = lambda c, n=chain: n.select(F.col("node").alias(c))
+            core = edges.join(inner("a"), "a", "left_anti").join(inner("b"), "b", "left_anti").select("a", "b")
+            edges = cut(core.unionByName(segments.where("u <> w").select(F.col("u").alias("a"), F.col("w").alias("b"))).distinct())
+        if dead:
+            lost = degrees.where("out = 0 OR `in` = 0")
+            of = lambda c, n=lost: n.select(F.col("node").alias(c))
+            edges = cut(edges.join(of("a"), "a", "left_anti").join(of("b"), "b", "left_anti").select("a", "b"))
+    known = cut(reduce(DataFrame.unionByName, [*parts, _core_parts(edges)]).distinct())
+    for segments in reversed(levels):
+        before, after = (known.select(F.col("node").alias(c), "part") for c in ("u", "w"))
+        inside = segments.join(before, "u").join(after, ["w", "part"]).select(F.col("v").alias("node"), "part")
+        known = cut(known.unionByName(inside).distinct())
+    return known.select("node").distinct()
+
+
 def check_link_constraints(vertices: DataFrame, edges: DataFrame, valid_from: str | None = None, valid_to: str | None = None) -> DataFrame:
     """kind, key, n of what breaks a constraint: repeated edges, unknown ends, inverted validity, nodes on cycles of NEXT_STEP."""
     key = F.concat_ws("|", "src_id", "type", "dst_id")
@@ -172,6 +258,6 @@ def check_link_constraints(vertices: DataFrame, edges: DataFrame, valid_from: st
         parts.append(lost.groupBy(F.concat_ws("|", f"{end}_label", f"{end}_id").alias("key")).agg(F.count("*").alias("n")).select(F.lit(f"unknown_{end}").alias("kind"), "key", "n"))
     if valid_from and valid_to:
         parts.append(edges.where(F.col(valid_from) > F.col(valid_to)).groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit("inverted_validity").alias("kind"), "key", "n"))
-    route = closure(edges.where("type = 'NEXT_STEP'").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")))
-    parts.append(route.where("a = b").select(F.lit("cycle").alias("kind"), F.col("a").alias("key"), F.lit(1).cast("long").alias("n")))
+    route = on_cycles(edges.where("type = 'NEXT_STEP'").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")))
+    parts.append(route.select(F.lit("cycle").alias("kind"), F.col("node").alias("key"), F.lit(1).cast("long").alias("n")))
     return reduce(DataFrame.unionByName, parts)
