@@ -440,7 +440,8 @@ def traverse_edges(spark, d):
     return graph.traverse_edges(v.edges(spark, d), spark.range(1).select(F.lit("L7").alias("node")), 2, "forward")
 
 
-@query()
+@query(f"""WITH RECURSIVE {G}, e AS (SELECT src_id AS a, dst_id AS b FROM g UNION SELECT dst_id, src_id FROM g), p AS (SELECT 'L7' AS node, ['L7'] AS path, 0 AS step UNION ALL SELECT b, list_append(min(path), b), step + 1 FROM p JOIN e ON a = node WHERE step < 4 GROUP BY b, step),
+t AS (SELECT path FROM p WHERE node = 'L9' ORDER BY step LIMIT 1) SELECT CAST(r.i - 1 AS INTEGER) AS step, path[r.i] AS node FROM t, range(1, 6) r(i) WHERE r.i <= len(path)""")
 def shortest_path(spark, d):
     return graph.shortest_path(v.edges(spark, d), "L7", "L9", 4)
 
