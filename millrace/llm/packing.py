@@ -131,8 +131,8 @@ def pack(docs: DataFrame, name: str = BYTE_BPE, end: int = 0, limit: int = LIMIT
             return pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = of.encode(text.as_py() or "") + tail
+            for doc, ids in zip(batch.column(0).to_pylist(), of.encode_all(batch.column(1)), strict=True):
+                ids += tail
                 held.append((doc, ids, 0, len(ids) // 2))
                 size += len(ids) // 2
                 if size >= span:

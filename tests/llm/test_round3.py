@@ -9,10 +9,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import centroids, odd_sketch, repair
+from millrace.llm.tokens import BYTE_BPE, WORD_BPE, Encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ROLES = ["user", "assistant", "system", "tool", "", None]
@@ -250,3 +252,17 @@ def test_classifier_fits_on_a_bounded_sample(spark, data, monkeypatch):
     many = docs.crossJoin(spark.range(5).select(F.col("id").alias("copy")))
     classifier.train(many.withColumn("text", F.concat("text", F.col("copy").cast("string"))), labels, 5)
     assert sizes == [10, 10]
+
+
+@pytest.mark.parametrize("name", [WORD_BPE, BYTE_BPE])
+def test_words_are_known_without_the_marks_beside_them(name, monkeypatch):
+    words = [a + b for a in ("hain", "thé", "Ouß") for b in ("end", "ing", "ère", "EST")]
+    texts = [f"{a}{m} {b}.\n{b}{m}{a} {a}" for a in words for b in words for m in (",", ";", "$$$", "!")] + ["a 1, b's c. d", "H̱a ab ẖ", "É\x85 b", "中 b, 文", "<|endoftext|>a, b", " Ab", "Ab \n b", "", "x" * 70 + "."]
+    of = Encoder(name)
+    want = [e.ids for e in of.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for size in (1, 100, 1 << 22):
+        monkeypatch.setattr("millrace.llm.tokens.CHUNK", size)
+        got = of.encode_all(pa.array([None, *texts, None], pa.string()).slice(1))
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [*want, []]
+    assert of.encode_all(pa.array([], pa.string())) == []
+    assert not [p for p in of.known if re.search("hain|thé|ouß", p.lower()) and re.search("[,;$!.\n]", p)]
