@@ -126,7 +126,7 @@ def tokenized(docs: DataFrame, name: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(name)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of.encode(x.as_py() or "") + tail for x in batch.column(1)], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids + tail for ids in of.encode_all(batch.column(1))], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
