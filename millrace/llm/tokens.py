@@ -32,7 +32,8 @@ KIND = np.array([SPACE if c == " " else LINE if c == "\n" else LETTER if re.matc
 #: Second bytes of letters whose first byte is C3.
 SECOND = np.array([128 <= i < 192 and PLAIN.match(chr(i + 64)) is not None for i in range(256)])
 #: Bytes that may begin or end white space: between one of these and a space nothing is cut.
-GAP = np.array([i <= 32 or i == 127 or i in (0xC2, 0xE1, 0xE2, 0xE3) for i in range(256)])
+LEAD = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
+GAP = LEAD | (np.arange(256) <= 32) | (np.arange(256) == 127)
 
 
 def cuts(raw: np.ndarray, texts: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +49,7 @@ def cuts(raw: np.ndarray, texts: np.ndarray, bare: bool = False) -> tuple[np.nda
     edge[begins] = edge[-1] = True
     # bytes 2 and 3 before a space tell whether what ends there may be white space of several bytes
     loose = edge[spaces] | edge[spaces + 1] | GAP[raw[spaces - 1]] | GAP[raw[np.minimum(spaces + 1, len(raw) - 1)]]
-    loose |= (raw[spaces - 1] >= 128) & (GAP[raw[np.maximum(spaces - 2, 0)]] | GAP[raw[np.maximum(spaces - 3, 0)]])
+    loose |= (raw[spaces - 1] >= 128) & (LEAD[raw[np.maximum(spaces - 2, 0)]] | LEAD[raw[np.maximum(spaces - 3, 0)]])
     whole = kind == ODD
     whole[spaces[loose]] = True
     whole[:-1] |= ((kind[:-1] == LINE) & (kind[1:] == LINE)) | ((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
