@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.columns import added, corr, micros
 from millrace.operators.anomaly import f_p_value, t_p_value, with_p_value
@@ -342,24 +343,88 @@ def sequences_by_key(events: DataFrame, key: str, tie: str = TIE) -> DataFrame:
     return out.select("sequence_id", F.transform("events", lambda e: F.struct(e["us"].alias("us"), e["type"].alias("type"))).alias("events"))
 
 
+#: Lengths of a window that one block of a key's times holds.
+BLOCK = 32
+
+
+def _walk(us: np.ndarray, at: int, width: int) -> list[int]:
+    """Starts of the greedy windows over sorted times from place `at` on."""
+    out = []
+    while at < len(us):
+        out.append(int(us[at]))
+        at = int(np.searchsorted(us, us[at] + width, "right"))
+    return out
+
+
+def _entries(us: np.ndarray, begin: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows that may be the first to start in a block: the latest start and, of those up to it, the block's last start."""
+    known = int(np.searchsorted(us, begin + width))
+    last = np.arange(min(known + 1, len(us)))
+    after = np.searchsorted(us, us + width, "right")
+    while (on := after[last] < len(us)).any():
+        last[on] = after[last[on]]
+    ends = np.flatnonzero(np.diff(last, append=-1))
+    return us[ends], us[last[ends]]
+
+
+def window_starts(times: DataFrame, key: str, width: int) -> DataFrame:
+    """The key and s, the starts (us) of its greedy windows, of a table with the key and us.
+
+    A key's times are cut into blocks. Each block tells where its chain of windows ends for every window that may be its first;
+    with that, one row for each block, the blocks of a key are gone through in order, and then each block lists its starts.
+    """
+    size = BLOCK * max(width, 1)
+    block = F.col("us") - F.pmod("us", F.lit(size))
+    blocks = cut(times.where("us IS NOT NULL").select(key, "us").distinct().groupBy(key, block.alias("block")).agg(F.sort_array(F.collect_list("us")).alias("us")))
+    name = blocks.select(key).schema
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_entries(us.values.to_numpy(), begin, width) for us, begin in zip(b["us"], b["block"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b[key], b["block"], *[pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (0, 1)]], [key, "block", "upto", "last"])
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before = []
+            for one in b["blocks"].to_pylist():
+                at, found = None, []
+                for x in one:
+                    found.append({"block": x["block"], "before": at})
+                    i = 0 if at is None else int(np.searchsorted(x["upto"], at + width, "right"))
+                    at = x["last"][i] if i < len(x["last"]) else at
+                before.append(found)
+            yield pa.RecordBatch.from_arrays([b[key], pa.array(before, pa.list_(pa.struct([("block", pa.int64()), ("before", pa.int64())])))], [key, "blocks"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_walk(u := us.values.to_numpy(), 0 if at is None else int(np.searchsorted(u, at + width, "right")), width) for us, at in zip(b["us"], b["before"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b[key], pa.array(made, pa.list_(pa.int64()))], [key, "s"])
+
+    def schema(rest: str) -> T.StructType:
+        return T.StructType([*name.fields, *T.StructType.fromDDL(rest).fields])
+
+    each = blocks.mapInArrow(summed, schema("block long, upto array<long>, last array<long>"))
+    keyed = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("block", "upto", "last"))).alias("blocks")).mapInArrow(chained, schema("blocks array<struct<block: long, before: long>>"))
+    before = keyed.select(F.col(key).alias("k__"), F.inline("blocks").alias("b__", "before"))
+    found = blocks.join(before, blocks[key].eqNullSafe(before["k__"]) & (F.col("block") == F.col("b__"))).select(key, "us", "before")
+    return found.mapInArrow(listed, schema("s array<long>")).select(key, F.explode("s").alias("s"))
+
+
 def sequences_by_window(events: DataFrame, seconds: int = 300, key: str = "equipment_id", tie: str = TIE) -> DataFrame:
-    """Greedy windows: an event starts a new one when it is more than `seconds` after the start of the current one. One fold over each key's sorted events.
+    """Greedy windows: an event starts a new one when it is more than `seconds` after the start of the current one.
 
-    Events farther than `seconds` from the one before always start a window, so a key is first cut there: the fold runs over bursts, not over the whole key.
+    Starts are more than a window's length apart, so each stretch of that length holds one at most, and an event belongs to
+    the start in its own stretch or else to that in the one before: an equi-join. No task gathers more than one window's events.
     """
-    w = Window.partitionBy(key).orderBy("time", tie)
-    us = micros(F.col("time"))
     width = seconds * 1_000_000
-    cut = events.withColumn("us", us).withColumn("new__", F.coalesce((us - F.lag(us).over(w) > width).cast("int"), F.lit(1)))
-    cut = cut.withColumn("burst__", F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    seq = F.array_sort(F.collect_list(F.struct("us", F.col(tie).alias("id"), F.col("event_type").alias("type"))))
-    bursts = cut.groupBy(key, "burst__").agg(seq.alias("es"))
-    starts = F.aggregate(F.transform("es", lambda e: e["us"]), F.array().cast("array<bigint>"), lambda acc, u: F.when((F.size(acc) == 0) | (u - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) > width), F.concat(acc, F.array(u))).otherwise(acc))
-    each = bursts.withColumn("starts__", starts).select(key, "es", "starts__", F.posexplode("starts__").alias("i", "from__"))
-    until = F.get(F.col("starts__"), F.col("i") + 1)
-    each = each.withColumn("until__", until)
-    picked = F.transform(F.filter("es", lambda e: (e["us"] >= F.col("from__")) & (F.col("until__").isNull() | (e["us"] < F.col("until__")))), lambda e: F.struct(e["us"].alias("us"), e["type"].alias("type")))
-    return each.select(F.concat_ws("@", F.col(key).cast("string"), F.col("from__").cast("string")).alias("sequence_id"), picked.alias("events")).where(F.size("events") >= 2)
+    stretch = lambda c: F.col(c) - F.pmod(c, F.lit(max(width, 1)))
+    rows = events.select(key, micros(F.col("time")).alias("us"), F.col(tie).alias("id"), F.col("event_type").alias("type")).where("us IS NOT NULL")
+    starts = cut(window_starts(rows, key, width)).select(F.col(key).alias("k__"), "s", stretch("s").alias("at__"))
+    both = starts.select("k__", "at__", F.col("s").alias("own__"), F.lit(None).cast("long").alias("past__")).unionByName(starts.select("k__", (F.col("at__") + max(width, 1)).alias("at__"), F.lit(None).cast("long").alias("own__"), F.col("s").alias("past__")))
+    both = both.groupBy("k__", "at__").agg(F.max("own__").alias("own__"), F.max("past__").alias("past__"))
+    own = rows.join(both, rows[key].eqNullSafe(both["k__"]) & (stretch("us") == F.col("at__"))).withColumn("from__", F.when(F.col("own__") <= F.col("us"), F.col("own__")).otherwise(F.col("past__")))
+    seqs = own.groupBy(key, "from__").agg(F.sort_array(F.collect_list(F.struct("us", "id", "type"))).alias("es")).where(F.size("es") >= 2)
+    return seqs.select(F.concat_ws("@", F.col(key).cast("string"), F.col("from__").cast("string")).alias("sequence_id"), F.transform("es", lambda e: F.struct(e["us"].alias("us"), e["type"].alias("type"))).alias("events"))
 
 
 def _grams(seqs: DataFrame, n: int) -> DataFrame:
