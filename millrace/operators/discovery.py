@@ -467,8 +467,8 @@ def sequential_patterns(seqs: DataFrame, max_len: int = 5, min_support: float =
 
 def association_rules(seqs: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5) -> DataFrame:
     """antecedent, consequent, count, support, confidence, lift over the sets of event types of the sequences."""
-    total = seqs.count()
-    sets = seqs.select("sequence_id", F.array_sort(F.array_distinct(F.transform("events", lambda e: e["type"]))).alias("items"))
+    sets = cut(seqs.select(F.array_sort(F.array_distinct(F.transform("events", lambda e: e["type"]))).alias("items")))
+    total = sets.count()
     single = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("k"))
     both = sets.select("items", F.explode("items").alias("a")).select("a", F.explode("items").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("count"))
     j = both.where(F.col("count") / max(total, 1) >= min_support).join(single.select(F.col("item").alias("a"), F.col("k").alias("ka")), "a").join(single.select(F.col("item").alias("b"), F.col("k").alias("kb")), "b")

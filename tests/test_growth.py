@@ -37,3 +37,13 @@ def test_windows_of_a_key_without_gaps(spark, n, step):
     assert {r["sequence_id"]: [e["type"] for e in r["events"]] for r in found.collect()} == greedy(rows, 20_000_000)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_rules_of_dense_keys(spark):
+    """Sequences were built anew for each count."""
+    rows = dense(5, 2000, 0.7)
+    got = discovery.association_rules(discovery.sequences_by_window(table(spark, rows), 3), 0.0, 0.0)
+    sets = [set(v) for v in greedy(rows, 3_000_000).values()]
+    want = {(a, b): (sum({a, b} <= s for s in sets), sum({a, b} <= s for s in sets) / sum(a in s for s in sets)) for a in "xyz" for b in "xyz" if a != b}
+    assert {(r["antecedent"], r["consequent"]): (r["count"], pytest.approx(r["confidence"])) for r in got.collect()} == want
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
