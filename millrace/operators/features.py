@@ -172,20 +172,26 @@ def select_top_features(df: DataFrame, cols: list[str], originals: list[str], ta
 
 
 def fill_missing(df: DataFrame, cols: list[str], keys: list[str], how: str = "interpolate", tie: str = TIE) -> DataFrame:
-    """Nulls by linear interpolation over row positions ("interpolate"), the last value ("ffill"), the mean ("mean"), or next, last, then 0 ("bfill")."""
+    """Nulls by linear interpolation over row positions ("interpolate"), the last value ("ffill"), the mean ("mean"), or next, last, then 0 ("bfill").
+
+    The next value is the last one of the rows in reverse: a frame that only grows, so each row is added once. One that
+    reaches from a row to the key's end would be gone through again for each row.
+    """
     w, whole = _ordered(keys, tie), Window.partitionBy(*keys)
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    last, nxt = (lambda c: F.last(c, ignorenulls=True).over(past)), (lambda c: F.first(c, ignorenulls=True).over(ahead))
+    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy(F.col("i__").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    last, nxt = (lambda c: F.last(c, ignorenulls=True).over(past)), (lambda c: F.last(c, ignorenulls=True).over(ahead))
     if how == "ffill":
         return df.withColumns({c: last(c) for c in cols})
     if how == "mean":
         return df.withColumns({c: F.coalesce(c, F.avg(c).over(whole)) for c in cols})
+    fresh(df)
+    out = df.withColumn("i__", F.row_number().over(w))
     if how == "bfill":
-        return df.withColumns({c: F.coalesce(nxt(c), last(c), F.lit(0.0)) for c in cols})
-    out, new = df.withColumn("i__", F.row_number().over(w)), {}
+        return out.withColumns({c: F.coalesce(nxt(c), last(c), F.lit(0.0)) for c in cols}).drop("i__")
+    new = {}
     for c in cols:
         at = F.when(F.col(c).isNotNull(), F.col("i__"))
-        a, b, ia, ib = last(c), nxt(c), F.last(at, ignorenulls=True).over(past), F.first(at, ignorenulls=True).over(ahead)
+        a, b, ia, ib = last(c), nxt(c), last(at), nxt(at)
         new[c] = F.coalesce(F.col(c), a + (b - a) * (F.col("i__") - ia) / F.nullif(ib - ia, F.lit(0)), a, b)
     return out.withColumns(new).drop("i__")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import discovery
+from millrace.operators import discovery, features
 
 
 def table(spark, rows, schema="measurement_id long, equipment_id string, us long, event_type string"):
@@ -47,3 +48,31 @@ def test_rules_of_dense_keys(spark):
     want = {(a, b): (sum({a, b} <= s for s in sets), sum({a, b} <= s for s in sets) / sum(a in s for s in sets)) for a in "xyz" for b in "xyz" if a != b}
     assert {(r["antecedent"], r["consequent"]): (r["count"], pytest.approx(r["confidence"])) for r in got.collect()} == want
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def holes(spark, n: int):
+    rng = np.random.default_rng(n)
+    rows = [(i, "ab"[i % 2], i * 1_000_000, "x", None if rng.random() < 0.4 else float(rng.integers(0, 90))) for i in range(n)]
+    return rows, table(spark, rows, "measurement_id long, equipment_id string, us long, event_type string, value double")
+
+
+def frames(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("how", ["interpolate", "bfill"])
+def test_filling_grows_its_frames(spark, how):
+    """Frames that reach to a key's end are gone through again for each row."""
+    rows, df = holes(spark, 400)
+    out = features.fill_missing(df, ["value"], ["equipment_id"], how)
+    got = {r["measurement_id"]: r["value"] for r in out.collect()}
+    for k in "ab":
+        ids = [r[0] for r in rows if r[1] == k]
+        v = np.array([np.nan if r[4] is None else r[4] for r in rows if r[1] == k])
+        known = np.flatnonzero(~np.isnan(v))
+        if how == "interpolate":
+            want = np.interp(np.arange(len(v)), known, v[known])
+        else:
+            want = [v[known[min(np.searchsorted(known, i), len(known) - 1)]] for i in range(len(v))]
+        assert [got[i] for i in ids] == pytest.approx(list(want))
+    assert out.columns == df.columns and "unboundedfollowing" not in frames(out)
