@@ -76,3 +76,14 @@ def test_filling_grows_its_frames(spark, how):
             want = [v[known[min(np.searchsorted(known, i), len(known) - 1)]] for i in range(len(v))]
         assert [got[i] for i in ids] == pytest.approx(list(want))
     assert out.columns == df.columns and "unboundedfollowing" not in frames(out)
+
+
+def test_outliers_are_filled_in_growing_frames(spark):
+    rows, df = holes(spark, 300)
+    out = features.remove_outliers(df, ["value"], ["equipment_id"], 1.0)
+    got = {r["measurement_id"]: r["value"] for r in out.collect()}
+    v = np.array([np.nan if r[4] is None else r[4] for r in rows if r[1] == "a"])
+    v[np.abs(v - np.nanmean(v)) > np.nanstd(v, ddof=1)] = np.nan
+    known = np.flatnonzero(~np.isnan(v))
+    assert [got[i] for i in range(0, 300, 2)] == pytest.approx(list(np.interp(np.arange(len(v)), known, v[known])))
+    assert frames(out).count("unboundedfollowing") == frames(df.withColumn("m", F.avg("value").over(Window.partitionBy("equipment_id")))).count("unboundedfollowing") * 2
