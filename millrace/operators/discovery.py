@@ -448,11 +448,14 @@ def sequential_patterns(seqs: DataFrame, max_len: int = 5, min_support: float =
     if not total:
         return schema_empty.where("false")
     singles = seqs.select(F.explode(F.transform("events", lambda e: e["type"])).alias("type")).groupBy("type").agg(F.count("*").alias("c"))
-    shares = singles.agg(F.map_from_entries(F.collect_list(F.struct("type", (F.col("c") / F.lit(1.0)).alias("c")))).alias("m__"), F.sum("c").alias("t__"))  # a row for each event type
     counted = F.count("*") if count_mode == "occurrences" else F.count_distinct("sequence_id")
-    levels = []
-    for n in range(2, max_len + 1):
-        levels.append(_grams(seqs, n).groupBy("pattern").agg(counted.alias("count"), F.avg("gap").alias("avg_gap")).where(F.col("count") / total >= min_support))
+    return _scored([_grams(seqs, n).groupBy("pattern").agg(counted.alias("count"), F.avg("gap").alias("avg_gap")) for n in range(2, max_len + 1)], singles, total, min_support)
+
+
+def _scored(levels: list[DataFrame], singles: DataFrame, total: int, min_support: float) -> DataFrame:
+    """Support, confidence and lift of counted patterns (pattern, count, avg_gap; of two events, of three, ...) among `total` sequences with c events of each type."""
+    shares = singles.agg(F.map_from_entries(F.collect_list(F.struct("type", (F.col("c") / F.lit(1.0)).alias("c")))).alias("m__"), F.sum("c").alias("t__"))  # a row for each event type
+    levels = [x.where(F.col("count") / total >= min_support) for x in levels]
     out = []
     for n, level in enumerate(levels, 2):
         if n == 2:
@@ -483,13 +486,33 @@ def alarm_sequences(alarms: DataFrame, seconds: int = 300, max_len: int = 5) ->
 
 
 def root_cause_patterns(events: DataFrame, target: str, seconds: int = 300, max_len: int = 5, key: str = "equipment_id", tie: str = TIE) -> DataFrame:
-    """Patterns that end in the target event, over the events within the lookback before each target."""
+    """Patterns that end in the target event, over the events within the lookback before each target.
+
+    No lookback is gathered: a pattern at one place of a key's order is in the lookback of each target from its last event's
+    time up to its first event's time plus `seconds`, so its count is the difference of two running counts of targets. The
+    later one comes from a row for each event at that later time, sorted among the targets.
+    """
     width = seconds * 1_000_000
-    w = Window.partitionBy(key).orderBy(micros(F.col("time"))).rangeBetween(-width, 0)
-    history = F.array_sort(F.collect_list(F.struct(micros(F.col("time")).alias("us"), F.col(tie).alias("id"), F.col("event_type").alias("type"))).over(w))
-    # the list is only built for the targets, after the window
-    seqs = events.withColumn("h__", history).where(F.col("event_type") == target).select(F.col(tie).cast("string").alias("sequence_id"), F.transform("h__", lambda e: F.struct(e["us"].alias("us"), e["type"].alias("type"))).alias("events")).where(F.size("events") >= 2)
-    return sequential_patterns(seqs, max_len).where(F.element_at(F.split("pattern", ">"), -1) == target)
+    hit = F.coalesce((F.col("type") == target).cast("int"), F.lit(0))
+    rows = events.select(key, micros(F.col("time")).alias("us"), F.col(tie).alias("id"), F.col("event_type").alias("type")).where("us IS NOT NULL")
+    rows = rows.withColumn("before__", F.coalesce(F.sum(hit).over(Window.partitionBy(key).orderBy("us").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    later = F.struct((F.col("us") + width).alias("at__"), F.lit(True).alias("later__"))
+    marks = rows.withColumn("x__", F.explode(F.when(hit == 1, F.array(F.struct(F.col("us").alias("at__"), F.lit(False).alias("later__")), later)).otherwise(F.array(later)))).select(*rows.columns, "x__.*")
+    by_time = Window.partitionBy(key).orderBy("at__", "later__").rowsBetween(Window.unboundedPreceding, 0)
+    each = marks.withColumn("upto__", F.count_if(~F.col("later__")).over(by_time)).where("later__")
+    w = Window.partitionBy(key).orderBy("us", "id", "type")
+    ahead = lambda c, n: F.lead(c, n).over(w) if n else F.col(c)
+    alone = (F.coalesce(F.lag("us").over(w) < F.col("us") - width, F.lit(True)) & F.coalesce(F.lead("us").over(w) > F.col("us"), F.lit(True)) & (hit == 1)).cast("int")
+    grams = [F.struct(F.array().cast("array<string>").alias("pattern"), (hit - alone).cast("long").alias("n"), F.lit(0.0).alias("gap"))]
+    for n in range(1, max_len + 1):
+        many = F.col("upto__") - ahead("before__", n - 1) - (alone if n == 1 else 0)
+        grams.append(F.struct(F.array(*[ahead("type", i).cast("string") for i in range(n)]).alias("pattern"), many.alias("n"), ((ahead("us", n - 1) - F.col("us")) / 1_000_000 / max(n - 1, 1)).alias("gap")))
+    long = each.select(F.array(*grams).alias("g__")).select(F.inline("g__")).where("n > 0")
+    found = cut(long.groupBy("pattern").agg(F.sum("n").alias("count"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("avg_gap")))
+    total = (found.where(F.size("pattern") == 0).agg(F.sum("count")).first() or [None])[0] or 0
+    singles = found.where(F.size("pattern") == 1).select(F.element_at("pattern", 1).alias("type"), F.col("count").alias("c"))
+    out = _scored([found.where(F.size("pattern") == n) for n in range(2, max_len + 1)], singles, max(total, 1), 0.01)
+    return out.where(F.element_at(F.split("pattern", ">"), -1) == target)
 
 
 def integrate_relationships(*dfs: DataFrame) -> DataFrame:

@@ -87,3 +87,20 @@ def test_outliers_are_filled_in_growing_frames(spark):
     known = np.flatnonzero(~np.isnan(v))
     assert [got[i] for i in range(0, 300, 2)] == pytest.approx(list(np.interp(np.arange(len(v)), known, v[known])))
     assert frames(out).count("unboundedfollowing") == frames(df.withColumn("m", F.avg("value").over(Window.partitionBy("equipment_id")))).count("unboundedfollowing") * 2
+
+
+def test_patterns_before_a_target_are_those_of_gathered_lookbacks(spark):
+    """Lookbacks were gathered for every event, and held more events the denser these are."""
+    rows = dense(8, 900, 0.7) + dense(9, 30, 500.0)
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    width = 4_000_000
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    lookbacks = [w for t in rows if t[3] == "x" if len(w := [r for r in order if r[1] == t[1] and t[2] - width <= r[2] <= t[2]]) > 1]
+    events = [{"us": r[2], "type": r[3]} for w in lookbacks for r in w]
+    ends = np.cumsum([len(w) for w in lookbacks]).tolist()
+    seqs = spark.createDataFrame([(str(b), events[a:b]) for a, b in zip([0, *ends], ends)], "sequence_id string, events array<struct<us: long, type: string>>")
+    want = discovery.sequential_patterns(seqs, 4).where("pattern LIKE '%x'").collect()
+    out = discovery.root_cause_patterns(table(spark, rows), "x", 4, 4)
+    assert {r["pattern"]: pytest.approx(tuple(r)[1:]) for r in want} == {r["pattern"]: tuple(r)[1:] for r in out.collect()} and len(want) > 20
+    assert discovery.root_cause_patterns(table(spark, rows), "none", 4, 4).count() == 0
+    assert "windowspec" not in frames(out)
