@@ -50,9 +50,11 @@ def lookback_events(events: DataFrame, target: str, seconds: int = 300, key: str
 
 
 def label_failure_horizon(df: DataFrame, hours: int, key: str = "equipment_id") -> DataFrame:
-    """label 1 if a failure of the same equipment follows within (t, t + hours]: a forward range frame, no join."""
-    ahead = Window.partitionBy(key).orderBy(micros(F.col("time"))).rangeBetween(1, hours * 3_600_000_000)
-    return df.withColumn("label", F.coalesce(F.max((F.col("failure") == 1).cast("int")).over(ahead), F.lit(0)))
+    """label 1 if a failure of the same equipment follows within (t, t + hours]: the next failure's time, by a frame over the rows in reverse that only grows, no join."""
+    us = micros(F.col("time"))
+    later = Window.partitionBy(key).orderBy(us.desc()).rangeBetween(Window.unboundedPreceding, -1)
+    following = F.min(F.when(F.col("failure") == 1, us)).over(later)
+    return df.withColumn("label", F.coalesce((following - us <= hours * 3_600_000_000).cast("int"), F.lit(0)))
 
 
 def _edge(edges: DataFrame, kind: str) -> DataFrame:

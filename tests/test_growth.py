@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import discovery, features
+from millrace.operators import discovery, features, joins
 
 
 def table(spark, rows, schema="measurement_id long, equipment_id string, us long, event_type string"):
@@ -104,3 +104,14 @@ def test_patterns_before_a_target_are_those_of_gathered_lookbacks(spark):
     assert {r["pattern"]: pytest.approx(tuple(r)[1:]) for r in want} == {r["pattern"]: tuple(r)[1:] for r in out.collect()} and len(want) > 20
     assert discovery.root_cause_patterns(table(spark, rows), "none", 4, 4).count() == 0
     assert "windowspec" not in frames(out)
+
+
+def test_next_failure_in_a_growing_frame(spark):
+    """The frame of the next hours was gone through again for each row."""
+    rows = dense(11, 900, 60.0)
+    df = table(spark, rows).withColumn("failure", (F.col("event_type") == "x").cast("int"))
+    out = joins.label_failure_horizon(df, 1)
+    hour = 3_600_000_000
+    want = {i: int(any(k == k2 and t == "x" and us < u2 <= us + hour // 1 for _, k2, u2, t in rows)) for i, k, us, _ in rows}
+    assert {r["measurement_id"]: r["label"] for r in out.collect()} == want and set(want.values()) == {0, 1}
+    assert f"{hour}" not in frames(out).split("windowspec", 1)[1].split("]")[0]
