@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import documents, features, joins, predict
-from millrace.operators.graph import shared_folder
+from millrace.operators.graph import cut, shared_folder
 from millrace.plans import views as v
 from millrace.plans.analytics import KEYS, W
 from millrace.plans.monitoring import FOUND, _ALARMS, _DRIFT, _STATS, _THRESHOLD, _found, _we_sql
@@ -21,7 +21,7 @@ from millrace.streaming import jobs
 def _failures(spark, d):
     m = v.sensors(spark, d).withColumn("failure", (F.col("status") == "ALARM").cast("int"))
     x = features.failure_features(joins.label_failure_horizon(m, 24), ["value"], KEYS, 20)
-    return x.dropna(subset=["value_std", "value_slope", "value_pct"])
+    return cut(x.dropna(subset=["value_std", "value_slope", "value_pct"]).select("measurement_id", "label", *FAILURE_COLS))  # a fit reads it many times
 
 
 FAILURE_COLS = ["value", "value_mean", "value_std", "value_max", "value_slope", "value_ratio"]

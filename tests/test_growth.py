@@ -115,3 +115,12 @@ def test_next_failure_in_a_growing_frame(spark):
     want = {i: int(any(k == k2 and t == "x" and us < u2 <= us + hour // 1 for _, k2, u2, t in rows)) for i, k, us, _ in rows}
     assert {r["measurement_id"]: r["label"] for r in out.collect()} == want and set(want.values()) == {0, 1}
     assert f"{hour}" not in frames(out).split("windowspec", 1)[1].split("]")[0]
+
+
+def test_failure_rows_are_written_before_a_fit(spark):
+    """Each pass of a fit sorted all rows again."""
+    from millrace.plans import QUERIES, models
+
+    x = models._failures(spark, "/root/testdata/sf0.01")
+    assert "windowspec" not in frames(x) and {"measurement_id", "label", *models.FAILURE_COLS} <= set(x.columns)
+    assert QUERIES["score_failure"](spark, "/root/testdata/sf0.01").count() == x.count()
