@@ -124,3 +124,13 @@ def test_failure_rows_are_written_before_a_fit(spark):
     x = models._failures(spark, "/root/testdata/sf0.01")
     assert "windowspec" not in frames(x) and {"measurement_id", "label", *models.FAILURE_COLS} <= set(x.columns)
     assert QUERIES["score_failure"](spark, "/root/testdata/sf0.01").count() == x.count()
+
+
+def test_boosted_trees_read_written_rows(spark, monkeypatch):
+    from millrace.operators import predict
+    from millrace.plans import QUERIES
+
+    seen, fit = [], predict.train_failure_model
+    monkeypatch.setattr(predict, "train_failure_model", lambda df, *a, **k: seen.append(frames(df)) or fit(df, *a, **k))
+    assert QUERIES["train_failure_model"](spark, "/root/testdata/sf0.01").count() == 6
+    assert len(seen) == 1 and "windowspec" not in seen[0]
