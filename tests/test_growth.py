@@ -134,3 +134,13 @@ def test_boosted_trees_read_written_rows(spark, monkeypatch):
     monkeypatch.setattr(predict, "train_failure_model", lambda df, *a, **k: seen.append(frames(df)) or fit(df, *a, **k))
     assert QUERIES["train_failure_model"](spark, "/root/testdata/sf0.01").count() == 6
     assert len(seen) == 1 and "windowspec" not in seen[0]
+
+
+def test_peaks_as_high_as_the_mean():
+    """Means were added up pairwise, which decides differently on a peak of exactly that height."""
+    x, width = np.round(np.random.default_rng(3).integers(0, 30, 20_000) / 10 + 0.1, 2), 30
+    got = features.peaks(x, width)
+    for i in range(len(x)):
+        w = x[max(0, i - width + 1) : i + 1]
+        high = (w[1:-1] > w[:-2]) & (w[1:-1] > w[2:]) & (w[1:-1] >= np.cumsum(w)[-1] / len(w))
+        assert got[i, 0] == high.sum()
