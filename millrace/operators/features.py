@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -159,10 +160,16 @@ def interaction_features(df: DataFrame, cols: list[str], top_n: int = 5) -> Data
     return added(df, new)
 
 
-def feature_ranking(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """Absolute correlation of each feature with the label (0 for constants), with its place."""
-    row = df.agg(*[corr(c, F.col(target).cast("double")).alias(f"r{i}") for i, c in enumerate(cols)])
-    out = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.coalesce(F.nanvl(f"r{i}", F.lit(0.0)), F.lit(0.0))).alias("importance")) for i, c in enumerate(cols)])).alias("x")).select("x.*")
+def feature_ranking(df: DataFrame, cols: list[str], target: str, constant: float = 0.0) -> DataFrame:
+    """Absolute correlation of each feature with the label, with its place; `constant` where one of them is constant or NaN (as a NaN it comes first), null without rows that have both if it is a NaN."""
+    label = F.col(target).cast("double")
+    row = df.agg(*[x for i, c in enumerate(cols) for x in (corr(c, label).alias(f"r{i}"), F.count_if(F.col(c).isNotNull() & label.isNotNull()).alias(f"n{i}"))])
+
+    def one(i: int) -> Column:
+        r = F.coalesce(F.nanvl(f"r{i}", F.lit(constant)), F.lit(constant))
+        return F.abs(F.when(F.col(f"n{i}") > 0, r) if math.isnan(constant) else r)
+
+    out = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), one(i).alias("importance")) for i, c in enumerate(cols)])).alias("x")).select("x.*")
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))  # a row for each feature
 
 
