@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import discovery, features, joins
+from millrace.operators import cep, discovery, features, joins
 
 
 def table(spark, rows, schema="measurement_id long, equipment_id string, us long, event_type string"):
@@ -167,3 +167,22 @@ def test_deleted_lots_stay_out_with_many_parts(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT i % 40 AS l_orderkey, CAST(i % 7 + 1 AS INTEGER) AS l_linenumber, 1e0 AS l_quantity, 900000 + i * 3000 AS l_partkey, i AS l_suppkey FROM range(100) t(i)) TO '{tmp_path}/lineitem.parquet'")
     got = rows_of(QUERIES["cdc_latest_state"](spark, str(tmp_path)))
     assert got == rows_of_sql(SQL["cdc_latest_state"], str(tmp_path)) and len(got[1]) == 36
+
+
+def test_drift_by_places_in_running_sums(spark):
+    """Windows were gone through again for each row; a window without spread, or one with a value that is not finite, has no drift."""
+    rows = dense(12, 3000, 0.7)
+    rng = np.random.default_rng(4)
+    value = np.where(np.arange(3000) < 900, 1e6 + 0.1, np.round(rng.normal(0, 1, 3000), 2) + (np.arange(3000) // 150 % 2))
+    value[2500] = np.inf
+    df = table(spark, [(*r[:3], "p", float(v)) for r, v in zip(rows, value, strict=True)], "measurement_id long, equipment_id string, us long, param_id string, value double")
+    out = cep.cep_drift(df, 12, 0.9)
+    want = {}
+    for i, key, us, _ in rows:
+        w = np.array([value[r[0]] for r in sorted(rows, key=lambda r: (r[2], r[0])) if r[1] == key and us - 12_000_000 <= r[2] <= us])
+        if len(w) > 10 and np.isfinite(w).all() and w.min() < w.max():
+            far = abs(w[len(w) // 2 :].mean() - w[: len(w) // 2].mean()) / w.std(ddof=1)
+            if far >= 0.9:
+                want[str(i)] = (pytest.approx(min(1, far / 4)), str(len(w)))
+    assert {r["related_ids"][0]: (r["confidence"], r["context"]["count"]) for r in out.collect()} == want and len(want) > 10
+    assert "windowspec" not in frames(out)
