@@ -186,3 +186,20 @@ def test_drift_by_places_in_running_sums(spark):
                 want[str(i)] = (pytest.approx(min(1, far / 4)), str(len(w)))
     assert {r["related_ids"][0]: (r["confidence"], r["context"]["count"]) for r in out.collect()} == want and len(want) > 10
     assert "windowspec" not in frames(out)
+
+
+def test_counts_of_windows_by_what_enters_and_leaves(spark):
+    rows = dense(13, 1500, 0.7)
+    df = table(spark, rows).withColumnsRenamed({"measurement_id": "alarm_id", "event_type": "alarm_code"}).withColumn("alarm_code", F.when(F.col("alarm_code") != "z", F.col("alarm_code")))
+    out = cep.cep_consecutive_alarms(df.withColumn("alarm_code", F.when(F.col("alarm_id") % 9 == 0, "w").otherwise(F.col("alarm_code"))), 5, 6)
+    want = {}
+    for i, key, us, _ in rows:
+        w = [r for r in rows if r[1] == key and us - 6_000_000 <= r[2] <= us]
+        codes = {"w" if r[0] % 9 == 0 else r[3] for r in w} - {"z"}
+        if len(w) >= 5:
+            want[f"CEP-CONSECUTIVE_ALARMS-{i}"] = (str(len(w)), str(len(codes)), "CRITICAL" if len(codes) > 2 else "MAJOR", sorted(str(r[0]) for r in w))
+    got = {r["alert_id"]: (r["context"]["count"], r["context"]["codes"], r["severity"], sorted(r["related_ids"])) for r in out.collect()}
+    assert got == want and {"2", "3"} <= {w[1] for w in want.values()}
+    status = df.select(F.col("alarm_id").alias("measurement_id"), "equipment_id", "time", F.lit("p").alias("param_id"), F.lit("ALARM").alias("status"))
+    for alerts in (out, cep.cep_threshold(status, 5, 6)):
+        assert alerts.count() == len(want) and "rangeframe, -" not in frames(alerts.drop("related_ids"))
