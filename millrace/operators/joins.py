@@ -94,12 +94,21 @@ def equipment_alarms(alarms: DataFrame, equipment: str, severity: str | None = N
 
 
 def alarm_lot_impact(alarms: DataFrame, steps: DataFrame, seconds: int = 86_400) -> DataFrame:
-    """Lots at the alarm's equipment that started within so many seconds before it; impact HIGH for critical or major alarms, else LOW."""
+    """Lots at the alarm's equipment that started within so many seconds before it; impact HIGH for critical or major alarms, else LOW.
+
+    Of a lot's starts at an equipment an alarm meets the last one before it only, so each pair comes once and pairs are neither
+    shuffled nor compared; only those of an alarm_id with several rows are.
+    """
     width = seconds * 1_000_000
-    a = alarms.select("alarm_id", F.col("equipment_id").alias("e__"), "severity", micros(F.col("time")).alias("t")).withColumn("b__", F.explode(F.array(F.floor(F.col("t") / width), F.floor(F.col("t") / width) - 1)))
-    s = steps.select("lot_id", "equipment_id", micros(F.col("start_time")).alias("s")).withColumn("b", F.floor(F.col("s") / width))
-    hit = (F.col("e__") == F.col("equipment_id")) & (F.col("b__") == F.col("b")) & (F.col("s") <= F.col("t")) & (F.col("s") > F.col("t") - width)
-    return s.join(a, hit).select("alarm_id", "lot_id", F.when(F.col("severity").isin("CRITICAL", "MAJOR"), "HIGH").otherwise("LOW").alias("impact_level")).distinct()
+    size = max(-(-width // 4), 1)  # of four buckets in the time before an alarm, a fifth of what is compared does not meet
+    impact = F.when(F.col("severity").isin("CRITICAL", "MAJOR"), "HIGH").otherwise("LOW")
+    a = alarms.select("alarm_id", F.col("equipment_id").alias("e__"), impact.alias("impact_level"), micros(F.col("time")).alias("t")).distinct()
+    a = a.withColumn("several__", F.count("*").over(Window.partitionBy("alarm_id")) > 1).withColumn("b__", F.floor(F.col("t") / size))
+    s = steps.select("lot_id", "equipment_id", micros(F.col("start_time")).alias("s")).distinct()
+    s = s.withColumn("next__", F.lead("s").over(Window.partitionBy("equipment_id", "lot_id").orderBy("s"))).withColumn("b", F.floor(F.col("s") / size)).withColumn("b", F.explode(F.array(*[F.col("b") + i for i in range(5)])))
+    hit = (F.col("e__") == F.col("equipment_id")) & (F.col("b__") == F.col("b")) & (F.col("s") <= F.col("t")) & (F.col("s") > F.col("t") - width) & (F.col("next__").isNull() | (F.col("next__") > F.col("t")))
+    pairs = lambda some: s.join(some, hit).select("alarm_id", "lot_id", "impact_level")
+    return pairs(a.where("NOT several__")).unionByName(pairs(a.where("several__")).distinct())
 
 
 def pair_key(a: Column, b: Column) -> Column:
