@@ -218,3 +218,18 @@ def test_pairs_of_alarms_and_lots_are_not_shuffled(spark):
         assert sorted(tuple(r) for r in out.collect()) == sorted(want)
     once = joins.alarm_lot_impact(a.where("alarm_id >= 50").dropDuplicates(["alarm_id"]), s, 7)._jdf.queryExecution().optimizedPlan().toString()
     assert once.startswith("Union")
+
+
+def test_short_routes_go_before_chains(spark, monkeypatch):
+    """Routes without a way back were shrunk as chains, by joins of all their nodes in each round; ends of edges were looked up for each edge."""
+    from millrace.operators import graph
+
+    route = [("S", f"{r}-{i}", "NEXT_STEP", "S", f"{r}-{i + 1}") for r in range(50) for i in range(1, r % 7 + 1)]
+    ring = [("S", "9-1", "NEXT_STEP", "S", "9-0"), ("S", "9-0", "NEXT_STEP", "S", "9-1")]
+    other = [("X", "u", "MAKES", "S", "1-1"), ("X", "u", "MAKES", "Y", None), ("S", "1-1", "MAKES", "Y", None)]
+    nodes = spark.createDataFrame([("S", f"{r}-{i}") for r in range(50) for i in range(0, 9)], "label string, id string")
+    seen, chains = [], graph._chains
+    monkeypatch.setattr(graph, "_chains", lambda e, c: seen.append(c.count()) or chains(e, c))
+    edge = "src_label string, src_id string, type string, dst_label string, dst_id string"
+    got = sorted(tuple(r) for r in graph.check_link_constraints(nodes, spark.createDataFrame(route + ring + other, edge)).collect())
+    assert got == sorted([("cycle", "9-0", 1), ("cycle", "9-1", 1), ("unknown_src", "X|u", 2), ("unknown_dst", "Y", 2)]) and sum(seen) <= 2
